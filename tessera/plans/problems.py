@@ -83,3 +83,4 @@ def p4_joined_stats(spark: SparkSession, d: str) -> DataFrame:
 
 
 QUERIES = {f.__name__: f for f in (p2_found, p2_loaded, p2_edits, p3_found, p3_filled, p4_found, p4_protein_stats, p4_target_stats, p4_joined_stats)}
+SQL: dict[str, str] = {}
