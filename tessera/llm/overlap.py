@@ -34,7 +34,8 @@ _MULT = np.uint64(0x9E3779B97F4A7C15)
 
 def chain(c):  # noqa: ANN001, ANN201
     """Without white space, ``-``, ``*`` and letter case; null where nothing is left."""
-    s = F.upper(F.regexp_replace(c, r"[\s\-*\x{85}\x{a0}\x{1680}\x{2000}-\x{200a}\x{2028}\x{2029}\x{202f}\x{205f}\x{3000}]+", ""))
+    plain = ~c.rlike("[^A-Za-z]")
+    s = F.upper(F.when(plain, c).otherwise(F.regexp_replace(c, r"[\s\-*\x{85}\x{a0}\x{1680}\x{2000}-\x{200a}\x{2028}\x{2029}\x{202f}\x{205f}\x{3000}]+", "")))
     return F.when(s != "", s)
 
 
@@ -58,7 +59,7 @@ def keyed(rows: DataFrame, row: str = "row_id", split: str = "split_name", smile
 
     keys = base.select("smiles").distinct().mapInArrow(read, "smiles string, k1 bigint, k2 bigint")
     narrow = cut(base.select("row", "train", "smiles", "chain_id").join(keys, "smiles").select("row", "train", "k1", "k2", "chain_id"), "keyed")
-    return narrow, base.select("chain_id", "chain").dropDuplicates(["chain_id"])
+    return narrow, base.select("chain").distinct().withColumn("chain_id", F.xxhash64("chain"))
 
 
 def _window_min(v: np.ndarray, w: int) -> np.ndarray:
