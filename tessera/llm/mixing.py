@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from tessera.llm import tokens
 from tessera.operators.parse import strip
-from tessera.operators.prefix import running_sum
+from tessera.operators.prefix import hash_slot, running_sum
 from tessera.persist import cut
 
 #: Expected copies are whole numbers of this many parts, so that running sums are exact in any order.
@@ -69,7 +69,7 @@ def draw(texts: DataFrame, planned: DataFrame, seed: int = SEED) -> DataFrame:
     few = planned.select("source", "max_repeats", "factor")
     e = F.least(F.col("max_repeats") * F.lit(PARTS), F.floor(F.col("factor") * F.col("copies") * F.lit(float(PARTS)))).cast("bigint")
     want = texts.join(few, "source").withColumns({"expected": e, "band": F.floor(F.log2("n_tokens") * 4).cast("int")})
-    summed = running_sum(want, ["source", "band"], F.col("expected"), F.xxhash64("text_key", F.lit(seed)), "before", ["text_key"])
+    summed = running_sum(want.withColumn("h", F.xxhash64("text_key", F.lit(seed))), ["source", "band"], {"before": F.col("expected")}, hash_slot(F.col("h")), ["h", "text_key"])
     start = F.col("before") + F.pmod(F.xxhash64("source", "band", F.lit(seed)), F.lit(PARTS))
     crossed = F.floor((start + F.col("expected")) / F.lit(PARTS)) - F.floor(start / F.lit(PARTS))
     return summed.select("source", "doc_id", "n_tokens", crossed.cast("int").alias("repeats"))

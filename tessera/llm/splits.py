@@ -10,7 +10,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tessera.operators.graph import connected_components, star_edges
-from tessera.operators.prefix import running_sum
+from tessera.operators.prefix import hash_slot, running_sum
 from tessera.persist import cut
 
 SPLITS = {"train": 0.8, "validation": 0.1, "test": 0.1}
@@ -112,7 +112,7 @@ def assign(sized: DataFrame, shares: dict[str, float] | None = None, placed: Dat
         cuts.append((s, at))
     middle = F.col("_before") + F.col("rows") / 2
     to = F.coalesce(*[F.when(middle < c, s) for s, c in cuts], F.lit(names[0] if not left else cuts[-1][0]))
-    summed = running_sum(small.withColumn("_all", F.lit(0)), ["_all"], F.col("rows"), F.xxhash64("unit_kind", "unit"), "_before", ["unit_kind", "unit"])
+    summed = running_sum(small.withColumns({"_all": F.lit(0), "_h": F.xxhash64("unit_kind", "unit")}), ["_all"], {"_before": F.col("rows")}, hash_slot(F.col("_h")), ["_h", "unit_kind", "unit"])
     out = state.where("state <> 'new'").unionByName(summed.select("unit_kind", "unit", "rows", to.alias("split"), "state"))
     placed_big = new.where(F.col("rows") >= edge).join(big, ["unit_kind", "unit"]).select("unit_kind", "unit", "rows", F.col("to").alias("split"), "state")
     return cut(out.unionByName(placed_big), "assigned")
