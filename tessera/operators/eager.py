@@ -15,7 +15,7 @@ def norm_name(c: Column) -> Column:
 
 
 def key_states(rows: DataFrame, keys: dict[str, Column], sums: dict[str, Column]) -> DataFrame:
-    """One row per key: ``rows`` and for each of ``sums`` its count, sum, sum of squares, least and most.
+    """One row per key: ``rows`` and for each of ``sums`` its count, sum, squared distance from the mean, least and most.
 
     Spark sums within each input split before it shuffles, so a key with any share of the rows arrives as
     one state per split. Rows with a null key fall into no group. NaN and infinities count as missing.
@@ -26,7 +26,7 @@ def key_states(rows: DataFrame, keys: dict[str, Column], sums: dict[str, Column]
     aggs = [F.count("*").alias("rows")]
     for n in sums:
         v = F.col(f"_v_{n}")
-        aggs += [F.count(v).alias(f"{n}_count"), F.sum(v).alias(f"{n}_sum"), F.sum(v * v).alias(f"{n}_squares"), F.min(v).alias(f"{n}_min"), F.max(v).alias(f"{n}_max")]
+        aggs += [F.count(v).alias(f"{n}_count"), F.sum(v).alias(f"{n}_sum"), (F.var_pop(v) * F.count(v)).alias(f"{n}_spread"), F.min(v).alias(f"{n}_min"), F.max(v).alias(f"{n}_max")]
     return flat.groupBy(*keys).agg(*aggs)
 
 
@@ -42,25 +42,22 @@ def join_states(left: DataFrame, right: DataFrame, on: str, left_sums: list[str]
     times = F.coalesce(F.col("_rows"), F.lit(1)).cast("bigint")
     scaled = {"rows": F.col("rows") * times}
     for n in left_sums:
-        scaled |= {f"{n}_count": F.col(f"{n}_count") * times, f"{n}_sum": F.col(f"{n}_sum") * times, f"{n}_squares": F.col(f"{n}_squares") * times}
+        scaled |= {f"{n}_count": F.col(f"{n}_count") * times, f"{n}_sum": F.col(f"{n}_sum") * times, f"{n}_spread": F.col(f"{n}_spread") * times}
     return j.withColumns(scaled).drop("_rows")
 
 
 def roll_up(states: DataFrame, keys: list[str], sums: list[str]) -> DataFrame:
     """Merge states to coarser keys and finish them: mean and population deviation beside the sums."""
     aggs = [F.sum("rows").alias("rows")]
-    for n in sums:
-        aggs += [F.sum(f"{n}_{k}").alias(f"{n}_{k}") for k in ("count", "sum", "squares")]
-        aggs += [F.min(f"{n}_min").alias(f"{n}_min"), F.max(f"{n}_max").alias(f"{n}_max")]
-    return finish(states.groupBy(*keys).agg(*aggs), sums)
-
-
-def finish(states: DataFrame, sums: list[str]) -> DataFrame:
     out = {}
     for n in sums:
-        mean = F.try_divide(F.col(f"{n}_sum"), F.col(f"{n}_count"))
-        out |= {f"{n}_mean": mean, f"{n}_dev": F.sqrt(F.greatest(F.try_divide(F.col(f"{n}_squares"), F.col(f"{n}_count")) - mean * mean, F.lit(0.0)))}
-    return states.withColumns(out).drop(*[f"{n}_squares" for n in sums])
+        count, total = F.sum(f"{n}_count"), F.sum(f"{n}_sum")
+        # Squared distances within the states, and of their means from the common one.
+        between = F.sum(F.try_divide(F.col(f"{n}_sum") * F.col(f"{n}_sum"), F.col(f"{n}_count"))) - F.try_divide(total * total, count)
+        spread = F.sum(f"{n}_spread") + F.when(F.count_if(F.col(f"{n}_count") > 0) > 1, F.greatest(between, F.lit(0.0))).otherwise(0.0)
+        aggs += [count.alias(f"{n}_count"), total.alias(f"{n}_sum"), F.min(f"{n}_min").alias(f"{n}_min"), F.max(f"{n}_max").alias(f"{n}_max"), spread.alias(f"_{n}_spread")]
+        out |= {f"{n}_mean": F.try_divide(F.col(f"{n}_sum"), F.col(f"{n}_count")), f"{n}_dev": F.sqrt(F.try_divide(F.col(f"_{n}_spread"), F.col(f"{n}_count")))}
+    return states.groupBy(*keys).agg(*aggs).withColumns(out).drop(*[f"_{n}_spread" for n in sums])
 
 
 def heavy_keys(states: DataFrame, all_rows: DataFrame, key: str, share: float) -> DataFrame:

@@ -64,23 +64,54 @@ def p4_found(spark: SparkSession, d: str) -> DataFrame:
     return a.unionByName(_share(table(spark, d, "prepared_pairs"), _pair_states(spark, d), "target_name", "target_name"))
 
 
+def _rounded(stats: DataFrame) -> DataFrame:
+    return stats.withColumns({c: F.round(c, 6) for c in stats.columns if c.endswith(("_sum", "_mean", "_dev"))})
+
+
 def p4_protein_stats(spark: SparkSession, d: str) -> DataFrame:
     """Counts and activity statistics per protein."""
-    return eager.roll_up(_row_states(spark, d), ["protein_ids"], ["active", "ph", "temp"])
+    return _rounded(eager.roll_up(_row_states(spark, d), ["protein_ids"], ["active", "ph", "temp"]))
 
 
 def p4_target_stats(spark: SparkSession, d: str) -> DataFrame:
     """Counts and activity statistics per target name."""
-    return eager.roll_up(_pair_states(spark, d), ["target_name"], ["activity"])
+    return _rounded(eager.roll_up(_pair_states(spark, d), ["target_name"], ["activity"]))
 
 
 def p4_joined_stats(spark: SparkSession, d: str) -> DataFrame:
     """Statistics of indexed_rows joined with proteins, by the proteins' target name, the join done on states."""
     names = table(spark, d, "proteins").select("protein_id", eager.norm_name(F.col("tid")).alias("target_name"))
     dim = names.groupBy(F.col("protein_id").alias("protein_ids"), "target_name").agg(F.count("*").alias("rows"))
-    joined = eager.join_states(_row_states(spark, d).select("protein_ids", "rows", "active_count", "active_sum", "active_squares", "active_min", "active_max"), dim, "protein_ids", ["active"])
-    return eager.roll_up(joined, ["target_name"], ["active"])
+    joined = eager.join_states(_row_states(spark, d).select("protein_ids", "rows", "active_count", "active_sum", "active_spread", "active_min", "active_max"), dim, "protein_ids", ["active"])
+    return _rounded(eager.roll_up(joined, ["target_name"], ["active"]))
 
 
 QUERIES = {f.__name__: f for f in (p2_found, p2_loaded, p2_edits, p3_found, p3_filled, p4_found, p4_protein_stats, p4_target_stats, p4_joined_stats)}
-SQL: dict[str, str] = {}
+
+_VALID = {"ph": "CASE WHEN NOT isnan(ph) AND ph BETWEEN 0 AND 14 THEN ph END", "temp": "CASE WHEN NOT isnan(temp) AND temp BETWEEN -80 AND 100 THEN temp END"}
+
+
+def _fill_sql(f: str) -> str:
+    v = _VALID[f]
+    return f"""SELECT row_id, '{f}' AS field_name, CASE WHEN a > 0 THEN 'assay' WHEN year IS NOT NULL AND y > 0 THEN 'year' ELSE 'none' END AS fill_from
+    FROM (SELECT row_id, year, {v} AS v, CASE WHEN assay_id IS NOT NULL THEN count({v}) OVER (PARTITION BY assay_id) END AS a, count({v}) OVER (PARTITION BY year) AS y FROM prepared_rows) WHERE v IS NULL"""
+
+
+_NAME = "nullif(trim(regexp_replace(lower(target_name), '\\s+', ' ', 'g')), '')"
+_NUMBER = "CASE WHEN regexp_full_match(trim({c}), '[+-]?([0-9]+([.][0-9]*)?|[.][0-9]+)([eE][+-]?[0-9]+)?') AND try_cast(trim({c}) AS DOUBLE) > 0 AND isfinite(try_cast(trim({c}) AS DOUBLE)) THEN try_cast(trim({c}) AS DOUBLE) END"
+_ACTIVITY = "coalesce(" + ", ".join(f"9 - log10({_NUMBER.format(c=c)})" for c in ("ki_nm", "ic50_nm", "kd_nm", "ec50_nm", "other_nm")) + ")"
+
+
+def _stats_sql(name: str, expression: str) -> str:
+    v = f"({expression})"
+    return f"count({v}) AS {name}_count, round(sum({v}), 6) AS {name}_sum, min({v}) AS {name}_min, max({v}) AS {name}_max, round(avg({v}), 6) AS {name}_mean, round(stddev_pop({v}), 6) AS {name}_dev"
+
+
+SQL: dict[str, str] = {
+    "p3_found": f"{_fill_sql('ph')} UNION ALL {_fill_sql('temp')}",
+    "p4_found": f"""SELECT 'protein_ids' AS field_name, CAST(protein_ids AS VARCHAR) AS key_value FROM indexed_rows WHERE protein_ids IS NOT NULL GROUP BY protein_ids HAVING count(*) > 0.02 * (SELECT count(*) FROM indexed_rows)
+    UNION ALL SELECT 'target_name', k FROM (SELECT {_NAME} AS k FROM prepared_pairs) WHERE k IS NOT NULL GROUP BY k HAVING count(*) > 0.02 * (SELECT count(*) FROM prepared_pairs)""",
+    "p4_protein_stats": f"SELECT protein_ids, count(*) AS rows, {_stats_sql('active', 'activity_labels::DOUBLE')}, {_stats_sql('ph', 'ph::DOUBLE')}, {_stats_sql('temp', 'temp::DOUBLE')} FROM indexed_rows WHERE protein_ids IS NOT NULL GROUP BY 1",
+    "p4_target_stats": f"SELECT target_name, count(*) AS rows, {_stats_sql('activity', 'a')} FROM (SELECT {_NAME} AS target_name, {_ACTIVITY} AS a FROM prepared_pairs) WHERE target_name IS NOT NULL GROUP BY 1",
+    "p4_joined_stats": f"SELECT target_name, count(*) AS rows, {_stats_sql('active', 'activity_labels::DOUBLE')} FROM (SELECT protein_id, {_NAME.replace('target_name', 'tid')} AS target_name FROM proteins) p JOIN indexed_rows r ON r.protein_ids = p.protein_id GROUP BY 1",
+}
