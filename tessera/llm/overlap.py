@@ -46,7 +46,7 @@ def keyed(rows: DataFrame, row: str = "row_id", split: str = "split_name", smile
     """
     side = F.lower(F.trim(F.col(split)))
     base = rows.where(side.isin("train", "val", "test")).select(F.col(row).cast("bigint").alias("row"), (side == "train").alias("train"), F.col(smiles).alias("smiles"), chain(F.col(sequence)).alias("chain"))
-    base = base.where("smiles is not null and chain is not null").withColumn("chain_id", F.xxhash64("chain"))
+    base = base.where("row is not null and smiles is not null and chain is not null").withColumn("chain_id", F.xxhash64("chain"))
 
     def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:

@@ -118,14 +118,19 @@ def _joined(packed: DataFrame, folder: str, name: str) -> DataFrame:
     return words.join(encode_words(words, folder, name), "word").select("of", "at", "ids")
 
 
-def _by_position(ids: pa.Table, block: pa.Table) -> tuple[np.ndarray, np.ndarray, pa.ListArray, np.ndarray]:
+def _block(block: pa.Table) -> tuple[pa.Array, np.ndarray, np.ndarray]:
+    docs, counts, codes = (block[c].combine_chunks() for c in ("docs", "counts", "codes"))
+    docs, counts, codes = (c.chunk(0) if isinstance(c, pa.ChunkedArray) else c for c in (docs, counts, codes))
+    return docs[0].values, np.asarray(counts[0].values), np.asarray(codes[0].values)
+
+
+def _by_position(ids: pa.Table, block: pa.Table) -> tuple[pa.Array, np.ndarray, pa.ListArray, np.ndarray]:
     """Documents, ends of their words, the ids of each word, and word numbers by position, of one block."""
     order = np.argsort(np.asarray(ids["at"]))
     table = ids["ids"].combine_chunks()
     if isinstance(table, pa.ChunkedArray):
         table = pa.concat_arrays(table.chunks) if table.num_chunks else pa.array([], pa.list_(pa.int32()))
-    row = block.to_batches()[0]
-    docs, counts, codes = (np.asarray(row.column(row.schema.get_field_index(c))[0].values) for c in ("docs", "counts", "codes"))
+    docs, counts, codes = _block(block)
     return docs, np.r_[0, np.cumsum(counts)], table.take(pa.array(order)), codes
 
 
@@ -145,7 +150,7 @@ def encode(docs: DataFrame, key: str = "doc_id", text: str = "text", name: str =
         flat = table.take(pa.array(codes))
         lengths = np.r_[0, np.cumsum(np.asarray(pc.list_value_length(flat)).astype(np.int64))] if len(flat) else np.zeros(1, np.int64)
         values = flat.flatten()
-        return pa.table({key: pa.array(docs, pa.int64()), "ids": pa.ListArray.from_arrays(pa.array(lengths[ends], pa.int32()), values)})
+        return pa.table({key: docs, "ids": pa.ListArray.from_arrays(pa.array(lengths[ends], pa.int32()), values)})
 
     return _joined(packed, folder, name).groupBy("of").cogroup(packed.groupBy("block")).applyInArrow(reassemble, f"`{key}` bigint, ids array<int>")
 
@@ -160,13 +165,12 @@ def count_tokens(docs: DataFrame, key: str = "doc_id", text: str = "text", name:
     def total(sizes: pa.Table, block: pa.Table) -> pa.Table:
         if block.num_rows == 0:
             return pa.table({key: pa.array([], pa.int64()), "n_tokens": pa.array([], pa.int64())})
-        row = block.to_batches()[0]
-        docs, counts, codes = (np.asarray(row.column(row.schema.get_field_index(c))[0].values) for c in ("docs", "counts", "codes"))
+        docs, counts, codes = _block(block)
         n = np.zeros(sizes.num_rows, np.int64)
         n[np.asarray(sizes["at"])] = np.asarray(sizes["n"])
         sums = np.r_[0, np.cumsum(n[codes])] if len(codes) else np.zeros(1, np.int64)
         ends = np.r_[0, np.cumsum(counts)]
-        return pa.table({key: pa.array(docs, pa.int64()), "n_tokens": pa.array(sums[ends[1:]] - sums[ends[:-1]], pa.int64())})
+        return pa.table({key: docs, "n_tokens": pa.array(sums[ends[1:]] - sums[ends[:-1]], pa.int64())})
 
     return sized.groupBy("of").cogroup(packed.groupBy("block")).applyInArrow(total, f"`{key}` bigint, n_tokens bigint")
 
