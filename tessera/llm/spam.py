@@ -91,7 +91,7 @@ def smooth(scored: DataFrame, key: str = "doc_id") -> DataFrame:
     j = scored.join(by, "host", "left").withColumn("g", base)
     rest = (F.col("s") - F.col("p") + HOST_PRIOR * F.col("g")) / (F.col("n") - 1 + HOST_PRIOR)
     moved = _logit(F.col("p")) + HOST_WEIGHT * (_logit(rest) - _logit(F.col("g")))
-    return j.select(key, "host", "p", F.coalesce(1 / (1 + F.exp(-moved)), F.col("p")).alias("smoothed"))
+    return j.select(key, "host", "p", F.when(F.col("n").isNotNull(), 1 / (1 + F.exp(-moved))).otherwise(F.col("p")).alias("smoothed"))
 
 
 def spam_pages(docs: DataFrame, key: str = "doc_id", text: str = "text", url: str = "url") -> DataFrame:
