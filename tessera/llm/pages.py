@@ -40,9 +40,13 @@ _COUNTED = re.compile("[,;|/•★·–-]")
 FEATURES = ["sentences", "data", "neither", "links", "repeated", "distinct", "function", "separators", "hashes", "digits", "top_words", "part_words", "letters_apart"]
 
 
+def _marked(line: str) -> int:
+    return max(map(line.count, (";", "|", "\t", ",", "  ")))
+
+
 def _rows(line: str) -> int:
     """Characters in rows of a table, looked for only where one kind of field mark is frequent."""
-    marks = max(map(line.count, (";", "|", "\t", ",", "  ")))
+    marks = _marked(line)
     if marks < 3 or marks * 16 < len(line) or "★" in line:
         return 0
     return sum(len(m) - m.count(" ") for m in _ROW.findall(line))
@@ -69,7 +73,8 @@ def features(text: str) -> list[float]:
     total = sentences = data = linked = parts = functions = 0
     kinds: Counter[str] = Counter()
     all_words: list[str] = []
-    for line in text.split("\n"):
+    lines = text.split("\n")
+    for at, line in enumerate(lines):
         if not line or line.isspace():
             continue
         size = len(line) - line.count(" ")
@@ -79,6 +84,8 @@ def features(text: str) -> list[float]:
             data += size
             continue
         rows = _rows(line)
+        if not rows and len(line) < 80 and at + 1 < len(lines) and _marked(line) >= 3 and _rows(lines[at + 1]) * 2 > len(lines[at + 1]) - lines[at + 1].count(" "):
+            rows = size  # the heads of a table's columns
         if rows * 2 > size:
             total += size
             data += size

@@ -17,9 +17,10 @@ from tessera.persist import cut
 MIN_CHARS = 100
 #: Weak labels: a page is taken for spam, or for honest, where this much or little of it is neither sentences
 #: nor data; pages between have no label.
-SPAM_ABOVE, HONEST_BELOW = 0.6, 0.4
-#: Bound of the labelled sample the trees are fitted on, per label. Everything else runs over all pages.
-SAMPLE = 4000
+SPAM_ABOVE, HONEST_BELOW = 0.55, 0.5
+#: Bound of the labelled sample the trees are fitted on: about so many pages of each kind, of which there are at
+#: most 1200, few of which occur. Everything else runs over all pages.
+SAMPLE = 100
 TREES, DEPTH, SEED = 20, 5, 42
 #: A host counts as much as HOST_WEIGHT of the evidence of its other pages, of which HOST_PRIOR are taken to
 #: be as all pages are.
@@ -52,17 +53,31 @@ def weak_label(f: Column) -> Column:
     return F.when(neither > SPAM_ABOVE, 1.0).when(neither < HONEST_BELOW, 0.0)
 
 
+def coarse(f: Column) -> Column:
+    """Features in steps of a fiftieth, few enough for the trees to try every cut."""
+    return F.transform(f, lambda x: F.rint(F.least(x, F.lit(50.0)) * F.when(x > 1, 1).otherwise(50)) / F.when(x > 1, 1).otherwise(50))
+
+
+def kind(f: Column) -> Column:
+    """What sort of page it is, coarsely, so that rare sorts of honest and of spam pages are learned from too."""
+    of = lambda name: F.element_at(f, FEATURES.index(name) + 1)
+    fifths = F.least(F.floor(of("sentences") * 5), F.lit(4))
+    return F.concat_ws(" ", fifths, F.floor(of("data") * 2.99), of("links") > 0.2, of("function") < 0.05, F.floor(of("neither") * 9.99))
+
+
 def fit(pages: DataFrame, key: str = "doc_id") -> RandomForestClassificationModel | None:
-    """Trees, each on a bootstrap sample and all features; None where the pages don't give both labels.
+    """Trees, each on a bootstrap sample, with all features at every node; None where the pages don't give both labels.
 
-    At most SAMPLE pages per label are used, those first by hash of their key.
+    Of each kind and label about SAMPLE pages are taken, by hash of their key.
     """
-    labelled = pages.select(key, "f", weak_label(F.col("f")).alias("label")).where("label is not null")
-    parts = [labelled.where(F.col("label") == v).orderBy(F.xxhash64(key, F.lit(SEED)), key).limit(SAMPLE) for v in (0.0, 1.0)]
-    sample = cut(parts[0].unionByName(parts[1]).select("label", array_to_vector("f").alias("features")).repartition(4), "sample")
+    labelled = pages.select(key, "f", weak_label(F.col("f")).alias("label"), kind(F.col("f")).alias("kind")).where("label is not null")
+    sizes = labelled.groupBy("label", "kind").agg(F.count("*").alias("n"))
+    part = F.pmod(F.xxhash64(key, F.lit(SEED)), F.lit(1_000_000)) * F.col("n") < SAMPLE * 1_000_000
+    drawn = labelled.join(F.broadcast(sizes), ["label", "kind"]).where(part)
+    sample = cut(drawn.select("label", array_to_vector(coarse(F.col("f"))).alias("features")).repartition(4), "sample")
     if sample.select("label").distinct().count() < 2:
         return None
-    trees = RandomForestClassifier(labelCol="label", featuresCol="features", numTrees=TREES, maxDepth=DEPTH, featureSubsetStrategy="all", seed=SEED, bootstrap=True, minInstancesPerNode=5)
+    trees = RandomForestClassifier(labelCol="label", featuresCol="features", numTrees=TREES, maxDepth=DEPTH, featureSubsetStrategy="all", seed=SEED, bootstrap=True, minInstancesPerNode=2, maxBins=128)
     return trees.fit(sample)
 
 
@@ -70,7 +85,7 @@ def score(pages: DataFrame, model: RandomForestClassificationModel | None, key:
     """``(key, host, p)``: the trees' vote, or the weak label itself where there is no model."""
     if model is None:
         return pages.select(key, "host", F.coalesce(weak_label(F.col("f")), F.lit(0.5)).alias("p"))
-    voted = model.transform(pages.withColumn("features", array_to_vector("f")))
+    voted = model.transform(pages.withColumn("features", array_to_vector(coarse(F.col("f")))))
     return voted.select(key, "host", F.element_at(vector_to_array("probability"), 2).alias("p"))
 
 
