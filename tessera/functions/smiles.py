@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import re
+from collections.abc import Iterator
 
 import numpy as np
 
@@ -164,6 +165,96 @@ def _mix(x: np.ndarray) -> np.ndarray:
     return x ^ (x >> np.uint64(29))
 
 
+class Graphs:
+    """The molecules of a batch of texts in flat arrays: atoms of the largest parts, without hydrogens."""
+
+    def __init__(self, texts: list[str | None]) -> None:
+        atoms: list[int] = []
+        us: list[int] = []
+        vs: list[int] = []
+        orders: list[tuple[int, int]] = []
+        gone: list[int] = []
+        self.which: list[int] = []
+        self.starts: list[int] = []
+        self.n = len(texts)
+        for i, text in enumerate(texts):
+            if text is None:
+                continue
+            base, bonds, marks = len(atoms), len(us), len(orders)
+            part = read_into(text.strip(), atoms, us, vs, orders)
+            if part is False:
+                del atoms[base:], us[bonds:], vs[bonds:], orders[marks:]
+                continue
+            self.which.append(i)
+            self.starts.append(base)
+            if part is not None:
+                sizes: dict[int, int] = {}
+                for p, x in zip(part, atoms[base:]):
+                    sizes[p] = sizes.get(p, 0) + (x != 1)
+                most = max(sizes.values())
+                chosen = min((p for p, n in sizes.items() if n == most), key=lambda p: sorted(x % 1000 for x, q in zip(atoms[base:], part) if q == p))
+                gone += [base + j for j, p in enumerate(part) if p != chosen]
+        written = np.array(atoms, dtype=np.int64)
+        self.number, flag = written % 1000, (written > 1000).astype(np.int64)
+        u, v = np.array(us, dtype=np.int64), np.array(vs, dtype=np.int64)
+        order = np.zeros(len(u), dtype=np.int64)
+        if orders:
+            place, value = np.array(orders, dtype=np.int64).T
+            order[place] = value
+            for end in (u, v):
+                for o in (1, 2, 3):
+                    hit = end[place[value == o]]
+                    flag[hit] = np.maximum(flag[hit], o)
+        self.keep = self.number != 1
+        self.keep[gone] = False
+        self.label = self.number * 4 + np.where(self.number == 6, flag, 0) + 17
+        live = self.keep[u] & self.keep[v]
+        self.u, self.v, self.order = u[live], v[live], order[live]
+
+    def states(self, rounds: int, keep: np.ndarray) -> Iterator[np.ndarray]:
+        """The atoms' states after 0, 1, ... rounds of taking in their neighbours', within ``keep``."""
+        state = _mix(self.label.astype(np.uint64))
+        live = keep[self.u] & keep[self.v]
+        d, s = np.r_[self.u[live], self.v[live]], np.r_[self.v[live], self.u[live]]
+        sort = np.argsort(d, kind="stable")
+        s, d = s[sort], d[sort]
+        first = np.flatnonzero(np.r_[True, d[1:] != d[:-1]]) if len(d) else np.array([], np.int64)
+        near = np.zeros_like(state)
+        yield state
+        for _ in range(rounds):
+            if len(d):
+                near[d[first]] = np.add.reduceat(_mix(state)[s], first)
+            state = _mix(state * _M2 + near)
+            yield state
+
+    def keys(self, keep: np.ndarray) -> list[tuple[int, int] | None]:
+        out: list[tuple[int, int] | None] = [None] * self.n
+        if not self.which:
+            return out
+        for state in self.states(_ROUNDS, keep):
+            pass
+        total = np.add.reduceat(np.where(keep, _mix(state), np.uint64(0)), self.starts).view(np.int64)
+        second = np.add.reduceat(np.where(keep, _mix(state ^ _M1), np.uint64(0)), self.starts).view(np.int64)
+        for i, x, y in zip(self.which, total.tolist(), second.tolist()):
+            out[i] = (x, y)
+        return out
+
+    def core(self) -> np.ndarray:
+        """Atoms of rings, of chains between rings, and those bound to them by a double or triple bond."""
+        keep = self.keep.copy()
+        while True:
+            live = keep[self.u] & keep[self.v]
+            degree = np.bincount(self.u[live], minlength=len(keep)) + np.bincount(self.v[live], minlength=len(keep))
+            leaf = keep & (degree < 2)
+            if not leaf.any():
+                break
+            keep &= ~leaf
+        side = self.order > 0
+        back = np.r_[self.v[side & keep[self.u]], self.u[side & keep[self.v]]]
+        keep[back] = True
+        return keep
+
+
 def ligand_keys(texts: list[str | None]) -> list[tuple[int, int] | None]:
     """A pair of signed 64-bit numbers for each text: the same for the same atoms and connections of the
     largest part. None for a null text or one that isn't SMILES.
@@ -173,60 +264,33 @@ def ligand_keys(texts: list[str | None]) -> list[tuple[int, int] | None]:
     is saturated, takes part in a double or aromatic bond, or in a triple one, which is the same for both
     styles. Every atom's state takes in its neighbours' for 16 rounds; the key sums the final states.
     """
-    atoms: list[int] = []
-    us: list[int] = []
-    vs: list[int] = []
-    orders: list[tuple[int, int]] = []
-    which: list[int] = []
-    starts: list[int] = []
-    gone: list[int] = []
-    for i, text in enumerate(texts):
-        if text is None:
-            continue
-        base, bonds, marks = len(atoms), len(us), len(orders)
-        part = read_into(text.strip(), atoms, us, vs, orders)
-        if part is False:
-            del atoms[base:], us[bonds:], vs[bonds:], orders[marks:]
-            continue
-        which.append(i)
-        starts.append(base)
-        if part is not None:
-            sizes: dict[int, int] = {}
-            for p, x in zip(part, atoms[base:]):
-                sizes[p] = sizes.get(p, 0) + (x != 1)
-            most = max(sizes.values())
-            chosen = min((p for p, n in sizes.items() if n == most), key=lambda p: sorted(x % 1000 for x, q in zip(atoms[base:], part) if q == p))
-            gone += [base + j for j, p in enumerate(part) if p != chosen]
-    out: list[tuple[int, int] | None] = [None] * len(texts)
-    if not which:
+    g = Graphs(texts)
+    return g.keys(g.keep)
+
+
+def scaffold_keys(texts: list[str | None]) -> list[tuple[int, int] | None]:
+    """The same for the ring systems and the chains between them; None without rings."""
+    g = Graphs(texts)
+    if not g.which:
+        return [None] * len(texts)
+    core = g.core()
+    some = np.add.reduceat(core.astype(np.int64), g.starts) > 0
+    out = g.keys(core)
+    for i, s in zip(g.which, some.tolist()):
+        if not s:
+            out[i] = None
+    return out
+
+
+def circular_bits(texts: list[str | None], radius: int = 2, size: int = 2048) -> list[list[int] | None]:
+    """Positions set in a circular fingerprint: one per atom and radius, by our own hash of its surroundings."""
+    g = Graphs(texts)
+    out: list[list[int] | None] = [None] * len(texts)
+    if not g.which:
         return out
-    written = np.array(atoms, dtype=np.int64)
-    number, flag = written % 1000, (written > 1000).astype(np.int64)
-    u, v = np.array(us, dtype=np.int64), np.array(vs, dtype=np.int64)
-    if orders:
-        place, order = np.array(orders, dtype=np.int64).T
-        for end in (u, v):
-            for o in (1, 2, 3):
-                hit = end[place[order == o]]
-                flag[hit] = np.maximum(flag[hit], o)
-    keep = number != 1
-    keep[gone] = False
-    state = _mix((number * 4 + np.where(number == 6, flag, 0) + 17).astype(np.uint64))
-    live = keep[u] & keep[v]
-    u, v = u[live], v[live]
-    if len(u):
-        d, s = np.r_[u, v], np.r_[v, u]
-        sort = np.argsort(d, kind="stable")
-        s, d = s[sort], d[sort]
-        first = np.flatnonzero(np.r_[True, d[1:] != d[:-1]])
-        owners = d[first]
-        near = np.zeros_like(state)
-        for _ in range(_ROUNDS):
-            near[owners] = np.add.reduceat(_mix(state)[s], first)
-            state = _mix(state * _M2 + near)
-    state = np.where(keep, state, np.uint64(0))
-    total = np.add.reduceat(_mix(state), starts).view(np.int64)
-    second = np.add.reduceat(np.where(keep, _mix(state ^ _M1), np.uint64(0)), starts).view(np.int64)
-    for i, x, y in zip(which, total.tolist(), second.tolist()):
-        out[i] = (x, y)
+    ends = [*g.starts[1:], len(g.keep)]
+    bits = [(s % np.uint64(size)).astype(np.int64) for s in g.states(radius, g.keep)]
+    for i, a, b in zip(g.which, g.starts, ends):
+        live = g.keep[a:b]
+        out[i] = np.unique(np.concatenate([x[a:b][live] for x in bits])).tolist()
     return out

@@ -633,3 +633,42 @@ def left_default(spark: SparkSession, d: str) -> DataFrame:
     s, n = table(spark, d, "supplier"), table(spark, d, "nation")
     r = table(spark, d, "region").where("r_regionkey > 1")
     return s.join(n, s["s_nationkey"] == n["n_nationkey"]).join(r, n["n_regionkey"] == r["r_regionkey"], "left").select("s_suppkey", "n_name", F.coalesce("r_name", F.lit("")).alias("region"))
+
+
+@query("SELECT vec_id, round(1 / (1 + exp(-(" + _DOT + "))), 6) AS p FROM embeddings")
+def stream_scores(spark: SparkSession, d: str) -> DataFrame:
+    """The linear model's scores, computed over arriving files."""
+    from tessera.streaming.score import score_new_files
+
+    def score(df: DataFrame) -> DataFrame:
+        return df.select("vec_id", F.round(features.linear_score(F.col("embedding"), _W, 0.25), 6).alias("p"))
+
+    return score_new_files(spark, f"{d}/embeddings.parquet", "vec_id bigint, embedding array<float>, label int", score)
+
+
+@query()
+def ligand_groups(spark: SparkSession, d: str) -> DataFrame:
+    """Ligand key and scaffold of each prepared row."""
+    from tessera.functions.ligands import ligand_key, over_distinct, scaffold_group
+
+    rows = over_distinct(table(spark, d, "prepared_rows").select("row_id", "smiles"), "smiles", "ligand", ligand_key)
+    return scaffold_group(rows, "smiles", "row_id").select("row_id", "ligand", "scaffold")
+
+
+@query()
+def fingerprint_bits(spark: SparkSession, d: str) -> DataFrame:
+    """How many ligands set each position of the circular fingerprint."""
+    from tessera.functions.ligands import circular_bits
+
+    each = table(spark, d, "prepared_rows").where("smiles is not null").select("smiles").distinct().select(F.explode(circular_bits(F.col("smiles"))).alias("bit"))
+    return each.groupBy("bit").agg(F.count("*").alias("n"))
+
+
+@query()
+def forest_scores(spark: SparkSession, d: str) -> DataFrame:
+    """A forest fitted on nine tenths of the vectors, scoring the last tenth."""
+    from tessera.operators import models
+
+    rows = table(spark, d, "embeddings").select("vec_id", F.col("embedding").alias("x"), (F.col("label") % 2).alias("y"))
+    model = models.fit(rows.where("vec_id % 10 > 0"), "forest", 64, numTrees=20, maxDepth=5)
+    return models.score(model, rows.where("vec_id % 10 = 0")).select("vec_id", "y", F.round("p_active", 6).alias("p_active"))
