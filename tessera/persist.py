@@ -19,14 +19,18 @@ def shared_dir(spark: SparkSession) -> str:
     return found.rstrip("/")
 
 
-def cut(df: DataFrame, name: str = "t") -> DataFrame:
+def cut(df: DataFrame, name: str = "t", rows_together: int | None = None) -> DataFrame:
     """Write ``df`` as a Parquet table in the shared folder and read it back.
 
-    The returned frame's plan is a plain scan, whose files outlive any executor.
+    The returned frame's plan is a plain scan, whose files outlive any executor. A reader holds up to some
+    thousand rows at once; where single rows are large, ``rows_together`` bounds that.
     """
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
-    df.write.option("compression", "zstd").parquet(path)
+    writer = df.write.option("compression", "zstd")
+    if rows_together:
+        writer = writer.option("parquet.block.row.count.limit", rows_together)
+    writer.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 
 
