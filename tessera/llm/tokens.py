@@ -24,7 +24,7 @@ from tessera.persist import cut
 #: Folder of the public vocabularies; pass another where they lie elsewhere.
 VOCABULARIES = "/opt/tokenizers"
 #: Pre-tokens in a block. A block is what one task holds at a time.
-BLOCK = 1_000_000
+BLOCK = 500_000
 
 # The pattern that parts texts before merging, and white space as it understands it.
 _SPACE = r"\t-\r \x{85}\x{a0}\x{1680}\x{2000}-\x{200a}\x{2028}\x{2029}\x{202f}\x{205f}\x{3000}"
@@ -53,7 +53,7 @@ def _split(text: str) -> list[str]:
     return [text[a:b] for _, (a, b) in _splitter().pre_tokenize_str(text)]
 
 
-_PACKED = "block bigint, words array<string>, docs array<bigint>, counts array<int>, codes array<int>"
+_PACKED = "block bigint, words array<string>, docs array<bigint>, counts array<int>, codes binary"
 
 
 def pack(docs: DataFrame, key: str = "doc_id", text: str = "text", block: int = BLOCK) -> DataFrame:
@@ -88,13 +88,23 @@ def pack(docs: DataFrame, key: str = "doc_id", text: str = "text", block: int =
                         "words": _one(coded.dictionary.cast(pa.string())),
                         "docs": _one(b.column(0).slice(lo, hi - lo)),
                         "counts": _one(pa.array(counts[lo:hi], pa.int32())),
-                        "codes": _one(coded.indices.cast(pa.int32())),
+                        "codes": pa.array([_small(np.asarray(coded.indices), len(coded.dictionary))], pa.binary()),
                     }
                 )
                 number += 1
                 lo = hi
 
-    return cut(parted.mapInArrow(blocks, _PACKED), "packed")
+    return cut(parted.mapInArrow(blocks, _PACKED), "packed", rows_together=4)
+
+
+def _small(codes: np.ndarray, words: int) -> bytes:
+    """The numbers in two bytes each where they fit, else in four, of which the first byte tells."""
+    wide = words > 1 << 16
+    return bytes([wide]) + codes.astype("<u4" if wide else "<u2").tobytes()
+
+
+def _codes(stored: bytes) -> np.ndarray:
+    return np.frombuffer(stored, "<u4" if stored[0] else "<u2", offset=1).astype(np.int64)
 
 
 def _one(values: pa.Array) -> pa.ListArray:
@@ -119,9 +129,8 @@ def _joined(packed: DataFrame, folder: str, name: str) -> DataFrame:
 
 
 def _block(block: pa.Table) -> tuple[pa.Array, np.ndarray, np.ndarray]:
-    docs, counts, codes = (block[c].combine_chunks() for c in ("docs", "counts", "codes"))
-    docs, counts, codes = (c.chunk(0) if isinstance(c, pa.ChunkedArray) else c for c in (docs, counts, codes))
-    return docs[0].values, np.asarray(counts[0].values), np.asarray(codes[0].values)
+    docs, counts, codes = (block[c].chunk(0)[0] for c in ("docs", "counts", "codes"))
+    return docs.values, np.asarray(counts.values), _codes(codes.as_py())
 
 
 def _by_position(ids: pa.Table, block: pa.Table) -> tuple[pa.Array, np.ndarray, pa.ListArray, np.ndarray]:
