@@ -105,6 +105,7 @@ def p8_hosts(spark: SparkSession, d: str) -> DataFrame:
 QUERIES = {f.__name__: f for f in (p1_found, p1_assign, p1_report, p1_incremental, p5_found, p5_coverage, p5_report, p6_ids, p6_round_trip, p7_found, p7_mix, p7_report, p8_found, p8_hosts)}
 
 SQL: dict[str, str] = {
+    "p6_round_trip": "SELECT doc_id FROM documents WHERE false",
     # The closure of all ties within blocks, then the smallest: fit for small tables.
     "p1_found": """WITH RECURSIVE t AS (SELECT DISTINCT protein_ids AS p, scaffold_groups AS s FROM indexed_rows WHERE scaffold_groups >= 0 AND protein_ids IS NOT NULL), h AS (SELECT s, min(p) AS hub FROM t GROUP BY s),
     e AS (SELECT DISTINCT hub AS a, p AS b FROM t JOIN h ON t.s = h.s WHERE hub <> p UNION SELECT DISTINCT p, hub FROM t JOIN h ON t.s = h.s WHERE hub <> p),
