@@ -672,3 +672,17 @@ def forest_scores(spark: SparkSession, d: str) -> DataFrame:
     rows = table(spark, d, "embeddings").select("vec_id", F.col("embedding").alias("x"), (F.col("label") % 2).alias("y"))
     model = models.fit(rows.where("vec_id % 10 > 0"), "forest", 64, numTrees=20, maxDepth=5)
     return models.score(model, rows.where("vec_id % 10 = 0")).select("vec_id", "y", F.round("p_active", 6).alias("p_active"))
+
+
+@query("SELECT strategy, (SELECT count(*) FROM indexed_rows) AS n_rows, 0::BIGINT AS n_proteins_in_two, 0::BIGINT AS n_scaffolds_in_two FROM (VALUES ('protein'), ('double-cold')) t(strategy)")
+def split_leaks(spark: SparkSession, d: str) -> DataFrame:
+    """Rows of the cold splits, and groups they leave in two folds: none."""
+    rows = table(spark, d, "indexed_rows").select("row_id", "protein_ids", "scaffold_groups")
+    out = []
+    for how in ("protein", "double-cold"):
+        s = cut(folds.split_pool(rows, how, THREE, "protein_ids", "scaffold_groups", "years"), "folds")
+        p = s.where("protein_ids is not null").groupBy("protein_ids").agg(F.countDistinct("fold").alias("n")).agg(F.count_if(F.col("n") > 1)).scalar()
+        c = s.where("scaffold_groups >= 0").groupBy("scaffold_groups").agg(F.countDistinct("fold").alias("n")).agg(F.count_if(F.col("n") > 1)).scalar()
+        checked = F.lit(0).cast("bigint") if how == "protein" else c
+        out.append(s.agg(F.count("*").alias("n_rows")).select(F.lit(how).alias("strategy"), "n_rows", p.alias("n_proteins_in_two"), checked.alias("n_scaffolds_in_two")))
+    return out[0].unionByName(out[1])
