@@ -8,6 +8,9 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession
 
 
+_made: list[str] = []
+
+
 def shared_dir(spark: SparkSession) -> str:
     """Folder named by ``spark.checkpoint.dir``; where that is unset and the master is local, one of our own."""
     found = spark.conf.get("spark.checkpoint.dir", None)
@@ -31,9 +34,18 @@ def cut(df: DataFrame, name: str = "t", rows_together: int | None = None) -> Dat
     if rows_together:
         writer = writer.option("parquet.block.row.count.limit", rows_together)
     writer.parquet(path)
+    _made.append(path)
     return spark.read.schema(df.schema).parquet(path)
 
 
+def drop_all(spark: SparkSession) -> None:
+    """Delete every table that :func:`cut` has made in this process; call it when results are written."""
+    jvm = spark.sparkContext._jvm
+    while _made:
+        path = jvm.org.apache.hadoop.fs.Path(_made.pop())
+        path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
+
+
 def drop_cut(df: DataFrame) -> None:
     """Delete the files behind a frame made by :func:`cut` once nothing will read it again."""
     spark = df.sparkSession
