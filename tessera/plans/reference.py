@@ -643,7 +643,7 @@ def stream_scores(spark: SparkSession, d: str) -> DataFrame:
     def score(df: DataFrame) -> DataFrame:
         return df.select("vec_id", F.round(features.linear_score(F.col("embedding"), _W, 0.25), 6).alias("p"))
 
-    return score_new_files(spark, f"{d}/embeddings.parquet", "vec_id bigint, embedding array<float>, label int", score)
+    return score_new_files(spark, f"{d}/embeddings.parque[t]", "vec_id bigint, embedding array<float>, label int", score)
 
 
 @query()
