@@ -104,7 +104,7 @@ _FILLED = "nullif(CASE WHEN lower({t}) <> 'nan' THEN {t} END, '')"
 @query(
     f"""WITH dim AS (SELECT upper({_t('accession')}) AS accession, arg_max(struct_pack(n := {_FILLED.format(t=_t('tid'))}, s := {_FILLED.format(t=_t('chain_sequence'))}), record_id) AS b FROM proteins
     WHERE accession IS NOT NULL AND {_FILLED.format(t=_t('chain_sequence'))} IS NOT NULL GROUP BY 1)
-    SELECT row_id, dim.accession, coalesce(b.n, coalesce({_t('entry_name')}, '')) AS name, {_t('parent_molecule_chembl_id')} AS ligand, {_ASSAY.format(c=_t('standard_type'))} AS assay_type, {_num('standard_value')} AS nm, length(b.s) AS chain_length
+    SELECT row_id, dim.accession, coalesce(b.n, coalesce({_t('entry_name')}, '')) AS name, {_t('parent_molecule_chembl_id')} AS ligand, {_ASSAY.format(c=_t('standard_type'))} AS assay_type, {_num('standard_value')} AS nm, CAST(length(b.s) AS INTEGER) AS chain_length
     FROM gpcrdb_data g JOIN dim ON upper({_t('g.accession')}) = dim.accession WHERE ({_REASON.replace("accession", "g.accession")}) IS NULL"""
 )
 def gpcr_pairs(spark: SparkSession, d: str) -> DataFrame:
@@ -119,7 +119,7 @@ def skip_counters(spark: SparkSession, d: str) -> DataFrame:
 
 
 @query(
-    f"""SELECT target_id, b.n AS name, b.o AS organism, length(b.s) AS chain_length FROM (SELECT target_id, arg_max(struct_pack(n := coalesce({_FILLED.format(t=_t('tid'))}, {_FILLED.format(t=_t('accession'))}, target_id), o := coalesce({_t('organism')}, ''), s := {_FILLED.format(t=_t('chain_sequence'))}), record_id) AS b
+    f"""SELECT target_id, b.n AS name, b.o AS organism, CAST(length(b.s) AS INTEGER) AS chain_length FROM (SELECT target_id, arg_max(struct_pack(n := coalesce({_FILLED.format(t=_t('tid'))}, {_FILLED.format(t=_t('accession'))}, target_id), o := coalesce({_t('organism')}, ''), s := {_FILLED.format(t=_t('chain_sequence'))}), record_id) AS b
     FROM proteins WHERE target_id IS NOT NULL AND {_FILLED.format(t=_t('chain_sequence'))} IS NOT NULL GROUP BY target_id)"""
 )
 def protein_dimension(spark: SparkSession, d: str) -> DataFrame:
@@ -542,7 +542,7 @@ def pos_weights(spark: SparkSession, d: str) -> DataFrame:
 
 
 @query(
-    """SELECT row_id, len(x) AS width, round(list_sum(list_transform(x, lambda v: v::DOUBLE)), 4) AS total FROM (SELECT row_id, list_concat(p.embedding, l.embedding, list_transform(range(0, 5), lambda i: CASE WHEN i = assay_idx THEN 1.0::FLOAT ELSE 0.0::FLOAT END), [ph, temp]) AS x
+    """SELECT row_id, CAST(len(x) AS INTEGER) AS width, round(list_sum(list_transform(x, lambda v: v::DOUBLE)), 4) AS total FROM (SELECT row_id, list_concat(p.embedding, l.embedding, list_transform(range(0, 5), lambda i: CASE WHEN i = assay_idx THEN 1.0::FLOAT ELSE 0.0::FLOAT END), [ph, temp]) AS x
     FROM indexed_rows r JOIN embeddings p ON p.vec_id = r.protein_ids JOIN embeddings l ON l.vec_id = r.ligand_ids)"""
 )
 def gather_features(spark: SparkSession, d: str) -> DataFrame:
