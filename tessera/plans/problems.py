@@ -54,6 +54,18 @@ def _pair_states(spark: SparkSession, d: str) -> DataFrame:
     return eager.key_states(pairs, {"target_name": eager.norm_name(F.col("target_name"))}, {"activity": F.coalesce(*[9 - F.log10(x) for x in nm])})
 
 
+CELLS = ("ki_nm", "ic50_nm", "kd_nm", "ec50_nm", "other_nm")
+
+
+def _cell_states(spark: SparkSession, d: str) -> DataFrame:
+    """States per target name and cell of prepared_pairs; the pairs are counted with the first cell only."""
+    sums = {c: 9 - F.log10(parse.number_or_null(F.col(c))) for c in CELLS}
+    states = eager.key_states(table(spark, d, "prepared_pairs"), {"target_name": eager.norm_name(F.col("target_name"))}, sums)
+    parts = ("count", "sum", "spread", "min", "max")
+    cells = F.array(*[F.struct((F.col("rows") if c == CELLS[0] else F.lit(0).cast("bigint")).alias("rows"), *[F.col(f"{c}_{x}").alias(f"activity_{x}") for x in parts]) for c in CELLS])
+    return states.select("target_name", F.explode(cells).alias("_c")).select("target_name", "_c.*")
+
+
 def _share(rows: DataFrame, states: DataFrame, key: str, name: str) -> DataFrame:
     heavy = eager.heavy_keys(states, rows.agg(F.count("*").alias("total")), key, HEAVY_SHARE)
     return heavy.select(F.lit(name).alias("field_name"), F.col(key).cast("string").alias("key_value"))
@@ -74,10 +86,15 @@ def p4_protein_stats(spark: SparkSession, d: str) -> DataFrame:
 
 
 def p4_target_stats(spark: SparkSession, d: str) -> DataFrame:
-    """Counts and activity statistics per target name."""
+    """Counts per target name and statistics of one activity per pair, the first valid cell of Ki, IC50, Kd, EC50 and other."""
     return _rounded(eager.roll_up(_pair_states(spark, d), ["target_name"], ["activity"]))
 
 
+def p4_target_measurements(spark: SparkSession, d: str) -> DataFrame:
+    """Pairs per target name, and statistics of every valid measurement of them, a pair's second and further ones too."""
+    return _rounded(eager.roll_up(_cell_states(spark, d), ["target_name"], ["activity"]))
+
+
 def p4_joined_stats(spark: SparkSession, d: str) -> DataFrame:
     """Statistics of indexed_rows joined with proteins, by the proteins' target name, the join done on states."""
     names = table(spark, d, "proteins").select("protein_id", eager.norm_name(F.col("tid")).alias("target_name"))
@@ -86,7 +103,7 @@ def p4_joined_stats(spark: SparkSession, d: str) -> DataFrame:
     return _rounded(eager.roll_up(joined, ["target_name"], ["active"]))
 
 
-QUERIES = {f.__name__: f for f in (p2_found, p2_loaded, p2_edits, p3_found, p3_filled, p4_found, p4_protein_stats, p4_target_stats, p4_joined_stats)}
+QUERIES = {f.__name__: f for f in (p2_found, p2_loaded, p2_edits, p3_found, p3_filled, p4_found, p4_protein_stats, p4_target_stats, p4_target_measurements, p4_joined_stats)}
 
 _VALID = {"ph": "CASE WHEN NOT isnan(ph) AND ph BETWEEN 0 AND 14 THEN ph END", "temp": "CASE WHEN NOT isnan(temp) AND temp BETWEEN -80 AND 100 THEN temp END"}
 
