@@ -190,12 +190,12 @@ def _not_molecule(s: pa.Array) -> pa.Array:
 
 
 def parse_smiles(rows: DataFrame, key: str = "pair_id", smiles: str = "ligand_smiles") -> DataFrame:
-    """Key, SMILES without outer blanks and ``reason`` (``smiles`` where the text isn't one molecule).
+    """Key, SMILES without outer blanks, ``reason`` (``smiles`` where the text isn't one molecule) and all other columns.
 
     A null or blank text is missing, not failing, and loads as null.
     """
     s = strip(F.col(smiles))
-    return rows.select(F.col(key).alias("row_id"), F.when(s != "", s).alias("smiles"), F.when(_not_molecule(F.col(smiles)), "smiles").alias("reason"))
+    return rows.select(F.col(key).alias("row_id"), F.when(s != "", s).alias("smiles"), F.when(_not_molecule(F.col(smiles)), "smiles").alias("reason"), *[c for c in rows.columns if c not in (key, smiles)])
 
 
 def rejects(lines: DataFrame, data: DataFrame, pairs: DataFrame) -> DataFrame:

@@ -2,14 +2,16 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from tessera.functions import scalars as S
 from tessera.operators import eager, impute, parse
 from tessera.tables import table
 
 PH, TEMP = (0.0, 14.0), (-80.0, 100.0)
 HEAVY_SHARE = 0.02
+CELLS = ("ki_nm", "ic50_nm", "kd_nm", "ec50_nm", "other_nm")
 
 
 def p2_found(spark: SparkSession, d: str) -> DataFrame:
@@ -23,6 +25,35 @@ def p2_loaded(spark: SparkSession, d: str) -> DataFrame:
     return got.select(F.col("row_id").alias("line_id"), *names, F.col("value").alias("standard_value"))
 
 
+def _plain(c: str) -> Column:
+    """The text without outer blanks, null where nothing is left."""
+    return F.nullif(parse.strip(F.col(c)), F.lit("")).alias(c)
+
+
+def p2_loaded_data(spark: SparkSession, d: str) -> DataFrame:
+    """The valid rows of gpcrdb_data with typed values."""
+    got = parse.parse_fields(table(spark, d, "gpcrdb_data")).where("reason is null")
+    return got.select("row_id", *[_plain(f) for f in parse.FIELDS if f != "standard_value"], F.col("value").alias("standard_value"))
+
+
+def p2_loaded_pairs(spark: SparkSession, d: str) -> DataFrame:
+    """The valid rows of prepared_pairs with typed values.
+
+    A cell ``c_nm`` without a number above zero is null; a bound such as ``>100`` has its sign in ``c_relation``
+    and its number in ``c_bound``. Junk, and conditions and labels out of range, load as null; the SMILES alone decides whether
+    a row loads.
+    """
+    got = parse.parse_smiles(table(spark, d, "prepared_pairs")).where("reason is null")
+    cells = []
+    for c in CELLS:
+        s, n = parse.strip(F.col(c)), c.removesuffix("_nm")
+        sign = F.nullif(F.regexp_extract(s, r"^(<=|>=|<|>|=|~)", 1), F.lit(""))
+        bound = parse.number_or_null(F.substr(s, F.length(sign) + 1))
+        cells += [parse.number_or_null(F.col(c)).alias(c), F.when(bound.isNotNull(), sign).alias(f"{n}_relation"), bound.alias(f"{n}_bound")]
+    ph = S.ph(F.regexp_replace(parse.strip(F.col("ph")), r"^(?i:ph)\s*", "")).alias("ph")
+    return got.select(F.col("row_id").alias("pair_id"), F.col("smiles").alias("ligand_smiles"), _plain("target_name"), _plain("target_organism"), *cells, S.activity_label(F.col("activity_label")).alias("activity_label"), ph, S.temperature(F.col("temp_c")).alias("temp_c"), _plain("target_chain_sequence"), "year", "loaded_at")
+
+
 def p2_edits(spark: SparkSession, d: str) -> DataFrame:
     """Raw records whose quotes or fields are wrong, with the cheapest edits that mend them."""
     got = parse.parse_lines(table(spark, d, "gpcrdb_lines")).where("cost > 0")
@@ -54,9 +85,6 @@ def _pair_states(spark: SparkSession, d: str) -> DataFrame:
     return eager.key_states(pairs, {"target_name": eager.norm_name(F.col("target_name"))}, {"activity": F.coalesce(*[9 - F.log10(x) for x in nm])})
 
 
-CELLS = ("ki_nm", "ic50_nm", "kd_nm", "ec50_nm", "other_nm")
-
-
 def _cell_states(spark: SparkSession, d: str) -> DataFrame:
     """States per target name and cell of prepared_pairs; the pairs are counted with the first cell only."""
     sums = {c: 9 - F.log10(parse.number_or_null(F.col(c))) for c in CELLS}
@@ -103,7 +131,7 @@ def p4_joined_stats(spark: SparkSession, d: str) -> DataFrame:
     return _rounded(eager.roll_up(joined, ["target_name"], ["active"]))
 
 
-QUERIES = {f.__name__: f for f in (p2_found, p2_loaded, p2_edits, p3_found, p3_filled, p4_found, p4_protein_stats, p4_target_stats, p4_target_measurements, p4_joined_stats)}
+QUERIES = {f.__name__: f for f in (p2_found, p2_loaded, p2_loaded_data, p2_loaded_pairs, p2_edits, p3_found, p3_filled, p4_found, p4_protein_stats, p4_target_stats, p4_target_measurements, p4_joined_stats)}
 
 _VALID = {"ph": "CASE WHEN NOT isnan(ph) AND ph BETWEEN 0 AND 14 THEN ph END", "temp": "CASE WHEN NOT isnan(temp) AND temp BETWEEN -80 AND 100 THEN temp END"}
 
