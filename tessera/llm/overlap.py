@@ -9,11 +9,11 @@ other. What lies so is compared residue by residue.
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from tessera.functions.smiles import ligand_keys
@@ -109,19 +109,26 @@ def kept_suffixes(text: np.ndarray, starts: np.ndarray, ends: np.ndarray, k: int
     return which.astype(np.int64), place - starts[which], code[place]
 
 
-def _alike(a: np.ndarray, b: np.ndarray, shift: int) -> int:
-    """Equal residues with ``b`` laid ``shift`` into ``a``, or -1 where the two aren't the same chain."""
+def _alike(a: np.ndarray, b: np.ndarray, shift: int) -> tuple[np.ndarray, np.ndarray] | None:
+    """Starts and ends in ``a`` of the equal spans with ``b`` laid ``shift`` into it; None where the two aren't the same chain."""
     a0, b0 = max(shift, 0), max(-shift, 0)
     ra, rb = len(a) - a0, len(b) - b0
     n = min(ra, rb)
     if a0 > END or b0 > END or abs(ra - rb) > END or n <= 0:
-        return -1
-    differ = int(np.count_nonzero(a[a0 : a0 + n] != b[b0 : b0 + n]))
-    return n - differ if differ * 100 <= PERCENT * n else -1
+        return None
+    equal = np.zeros(n + 2, np.int8)
+    equal[1:-1] = a[a0 : a0 + n] == b[b0 : b0 + n]
+    if (n - int(np.count_nonzero(equal))) * 100 > PERCENT * n:
+        return None
+    turns = np.flatnonzero(np.diff(equal)) + a0
+    return turns[::2], turns[1::2]
 
 
-def find_in_ligands(ligand: np.ndarray, chains: list[bytes], train: np.ndarray, held: np.ndarray, bucket: np.ndarray, buckets: np.ndarray) -> list[tuple[int, int, int]]:
-    """Pairs ``(text in train, text held out, equal residues)`` of one block; texts lie sorted by ligand."""
+def find_in_ligands(ligand: np.ndarray, chains: list[bytes], train: np.ndarray, held: np.ndarray, bucket: np.ndarray, buckets: np.ndarray) -> list[tuple[int, int, list[int], list[int]]]:
+    """``(text in train, text held out, starts, ends)`` of one block, with the equal spans on the held-out text.
+
+    One of each way that a pair lies on each other; texts lie sorted by ligand.
+    """
     lengths = np.array([len(c) for c in chains], np.int64)
     ends = np.cumsum(lengths)
     starts = ends - lengths
@@ -139,7 +146,7 @@ def find_in_ligands(ligand: np.ndarray, chains: list[bytes], train: np.ndarray,
     order = np.lexsort((which, code, ligand[which]))
     which, place, code = which[order], place[order], code[order]
     owner = ligand[which]
-    found: dict[tuple[int, int], int] = {}
+    out = []
     tried: set[tuple[int, int, int]] = set()
     step = 1
     near = np.arange(len(which) - 1) if len(which) > 1 else np.array([], np.int64)
@@ -155,20 +162,26 @@ def find_in_ligands(ligand: np.ndarray, chains: list[bytes], train: np.ndarray,
                 continue
             tried.add((x, y, s))
             ca, cb = chains[x], chains[y]
-            same = _alike(np.frombuffer(ca, np.uint8), np.frombuffer(cb, np.uint8), s)
-            if same >= 0:
-                found[x, y] = max(found.get((x, y), 0), same)
+            spans = _alike(np.frombuffer(ca, np.uint8), np.frombuffer(cb, np.uint8), s)
+            if spans is None:
+                continue
+            lo, hi = spans
+            if train[x] and held[y]:
+                out.append((x, y, (lo - s).tolist(), (hi - s).tolist()))
+            if train[y] and held[x]:
+                out.append((y, x, lo.tolist(), hi.tolist()))
         step += 1
-    out = []
-    for (x, y), same in found.items():
-        if train[x] and held[y]:
-            out.append((x, y, same))
-        if train[y] and held[x]:
-            out.append((y, x, same))
     return out
 
 
 _TEXTS = 2000
+_FOUND = "k1 bigint, k2 bigint, train_chain bigint, held_chain bigint, held_length bigint, lo array<int>, hi array<int>"
+
+
+def _found(rows: Iterable[tuple]) -> pa.RecordBatch:
+    cols = list(zip(*rows)) or [[]] * 7
+    kinds = [pa.int64()] * 5 + [pa.list_(pa.int32())] * 2
+    return pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(cols, kinds)], names=[x.split()[0] for x in _FOUND.split(", ")])
 
 
 def _find(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -177,8 +190,7 @@ def _find(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     def search(rows: list[tuple]) -> pa.RecordBatch:
         cell = np.cumsum([0] + [int(x[:3] != y[:3]) for x, y in zip(rows, rows[1:])])
         got = find_in_ligands(cell, [r[4] for r in rows], np.array([r[5] for r in rows]), np.array([r[6] for r in rows]), np.array([r[2] for r in rows]), np.array([r[7] for r in rows]))
-        cols = list(zip(*[(rows[x][0], rows[x][1], rows[x][3], rows[y][3], same, len(rows[y][4])) for x, y, same in got])) or [[]] * 6
-        return pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in cols], names=["k1", "k2", "train_chain", "held_chain", "same", "held_length"])
+        return _found((rows[x][0], rows[x][1], rows[x][3], rows[y][3], len(rows[y][4]), lo, hi) for x, y, lo, hi in got)
 
     rows: list[tuple] = []
     for b in batches:
@@ -197,9 +209,9 @@ def _find(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield search(rows)
 
 
-def matches(narrow: DataFrame, chains: DataFrame) -> DataFrame:
-    """Pairs of chains under one ligand: ``(k1, k2, train_chain, held_chain, same, held_length)``, written to the
-    shared folder.
+def alignments(narrow: DataFrame, chains: DataFrame) -> DataFrame:
+    """Each way that two chains under one ligand lie on each other: ``(k1, k2, train_chain, held_chain, held_length,
+    lo, hi)``, with starts and ends of the equal spans on the held chain.
 
     Records with the same ligand and chain are one class, so copies cost nothing here. Only ligands found
     on both sides go on. Equal chains are a match by themselves.
@@ -211,11 +223,13 @@ def matches(narrow: DataFrame, chains: DataFrame) -> DataFrame:
     several = both.where("n > 1").select(*lig, F.least(F.ceil(F.col("n") / TOGETHER), F.lit(MOST_BUCKETS)).cast("int").alias("buckets"))
     cells = classes.join(several, lig).join(chains, "chain_id").withColumn("bucket", F.explode(F.sequence(F.lit(0), F.col("buckets") - 1)))
     at = [*lig, "bucket"]
-    near = cells.repartition(*at).sortWithinPartitions(*at).mapInArrow(_find, "k1 bigint, k2 bigint, train_chain bigint, held_chain bigint, same bigint, held_length bigint")
-    near = near.groupBy(*lig, "train_chain", "held_chain").agg(F.max("same").alias("same"), F.first("held_length").alias("held_length"))
-    equal = classes.where("train and held").join(chains.select("chain_id", F.length("chain").cast("bigint").alias("n")), "chain_id")
-    equal = equal.select(*lig, F.col("chain_id").alias("train_chain"), F.col("chain_id").alias("held_chain"), F.col("n").alias("same"), F.col("n").alias("held_length"))
-    return cut(near.unionByName(equal), "matches")
+    near = cells.repartition(*at).sortWithinPartitions(*at).mapInArrow(_find, _FOUND)
+    equal = classes.where("train and held").join(chains.select("chain_id", F.octet_length("chain").alias("n")), "chain_id")
+    equal = equal.select(*lig, F.col("chain_id").alias("train_chain"), F.col("chain_id").alias("held_chain"), F.col("n").cast("bigint").alias("held_length"), F.array(F.lit(0)).alias("lo"), F.array("n").alias("hi"))
+    return near.unionByName(equal)
+
+
+_PAIR = ["k1", "k2", "train_chain", "held_chain"]
 
 
 def overlaps(rows: DataFrame, **columns: str) -> DataFrame:
@@ -225,22 +239,30 @@ def overlaps(rows: DataFrame, **columns: str) -> DataFrame:
     repeated records each have their own; an empty table gives an empty result.
     """
     narrow, chains = keyed(rows, **columns)
-    pairs = matches(narrow, chains)
+    pairs = cut(alignments(narrow, chains).select(*_PAIR).distinct(), "matches")
     t = narrow.where("train").select("k1", "k2", F.col("chain_id").alias("train_chain"), F.col("row").alias("t"))
     h = narrow.where("not train").select("k1", "k2", F.col("chain_id").alias("held_chain"), F.col("row").alias("h"))
-    out = pairs.select("k1", "k2", "train_chain", "held_chain").join(t, ["k1", "k2", "train_chain"]).join(h, ["k1", "k2", "held_chain"])
+    out = pairs.join(t, ["k1", "k2", "train_chain"]).join(h, ["k1", "k2", "held_chain"])
     return out.select(F.least("t", "h").alias("row_id_1"), F.greatest("t", "h").alias("row_id_2"))
 
 
 def coverage(rows: DataFrame) -> DataFrame:
     """One row per held-out row that some train row overlaps: ``(row_id, train_rows, covered)``.
 
-    ``covered`` is the greatest share of its chain that one train chain under the same ligand repeats.
+    ``covered`` is the share of its chain that train chains under the same ligand repeat, each where it
+    lies on the held chain as the same chain: the equal spans of all of them united.
     """
     narrow, chains = keyed(rows)
-    pairs = matches(narrow, chains)
+    found = cut(alignments(narrow, chains), "matches")
+    at = ["k1", "k2", "held_chain"]
     n = narrow.where("train").groupBy("k1", "k2", F.col("chain_id").alias("train_chain")).agg(F.count("*").alias("n"))
-    by = pairs.join(n, ["k1", "k2", "train_chain"]).groupBy("k1", "k2", F.col("held_chain").alias("chain_id")).agg(F.sum("n").alias("train_rows"), F.max(F.col("same") / F.col("held_length")).alias("covered"))
+    by = found.select(*_PAIR).distinct().join(n, ["k1", "k2", "train_chain"]).groupBy(*at).agg(F.sum("n").alias("train_rows"))
+    # Of spans with one start the longest holds the others, so no held chain has more of them than residues.
+    spans = found.select(*at, "held_length", F.inline(F.arrays_zip("lo", "hi"))).groupBy(*at, "lo").agg(F.max("hi").alias("hi"), F.max("held_length").alias("held_length"))
+    before = F.max("hi").over(Window.partitionBy(*at).orderBy("lo").rowsBetween(Window.unboundedPreceding, -1))
+    new = spans.withColumn("new", F.greatest(F.col("hi") - F.greatest("lo", F.coalesce(before, F.lit(0))), F.lit(0)))
+    share = new.groupBy(*at).agg((F.sum("new") / F.max("held_length")).alias("covered"))
+    by = by.join(share, at).withColumnRenamed("held_chain", "chain_id")
     return narrow.where("not train").join(by, ["k1", "k2", "chain_id"]).select(F.col("row").alias("row_id"), "train_rows", "covered")
 
 
