@@ -26,8 +26,9 @@ END, PERCENT = 25, 3
 #: (up to SHORT long) also keep suffixes of the shorter kind, which need 17.
 PREFIX, WINDOW = 12, 14
 SHORT, SHORT_PREFIX, SHORT_WINDOW = 200, 6, 12
-#: Texts of one ligand that go into one task together; a ligand with more is spread by its suffixes' prefixes.
-TOGETHER, MOST_BUCKETS = 4096, 64
+#: Texts of one ligand that go into one task together; of a ligand with more the suffixes are shuffled, not the
+#: texts, and a prefix that more held-out texts share is parted into so many of them each.
+TOGETHER = 4096
 
 _MULT = np.uint64(0x9E3779B97F4A7C15)
 
@@ -124,11 +125,8 @@ def _alike(a: np.ndarray, b: np.ndarray, shift: int) -> tuple[np.ndarray, np.nda
     return turns[::2], turns[1::2]
 
 
-def find_in_ligands(ligand: np.ndarray, chains: list[bytes], train: np.ndarray, held: np.ndarray, bucket: np.ndarray, buckets: np.ndarray) -> list[tuple[int, int, list[int], list[int]]]:
-    """``(text in train, text held out, starts, ends)`` of one block, with the equal spans on the held-out text.
-
-    One of each way that a pair lies on each other; texts lie sorted by ligand.
-    """
+def suffixes(chains: list[bytes]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Text number, place and prefix hash of all suffixes kept of ``chains``."""
     lengths = np.array([len(c) for c in chains], np.int64)
     ends = np.cumsum(lengths)
     starts = ends - lengths
@@ -141,8 +139,15 @@ def find_in_ligands(ligand: np.ndarray, chains: list[bytes], train: np.ndarray,
         w, p, h = kept_suffixes(small, e - lengths[short], e, SHORT_PREFIX, SHORT_WINDOW)
         parts.append((short[w], p, h ^ _MULT))
     which, place, code = (np.concatenate(x) for x in zip(*parts))
-    mine = (code % buckets[which].astype(np.uint64)).astype(np.int64) == bucket[which]
-    which, place, code = which[mine], place[mine], code[mine]
+    return which, place, code
+
+
+def find_in_ligands(ligand: np.ndarray, chains: list[bytes], train: np.ndarray, held: np.ndarray) -> list[tuple[int, int, list[int], list[int]]]:
+    """``(text in train, text held out, starts, ends)`` of one block, with the equal spans on the held-out text.
+
+    One of each way that a pair lies on each other; texts lie sorted by ligand.
+    """
+    which, place, code = suffixes(chains)
     order = np.lexsort((which, code, ligand[which]))
     which, place, code = which[order], place[order], code[order]
     owner = ligand[which]
@@ -175,6 +180,7 @@ def find_in_ligands(ligand: np.ndarray, chains: list[bytes], train: np.ndarray,
 
 
 _TEXTS = 2000
+_PAIR = ["k1", "k2", "train_chain", "held_chain"]
 _FOUND = "k1 bigint, k2 bigint, train_chain bigint, held_chain bigint, held_length bigint, lo array<int>, hi array<int>"
 
 
@@ -185,22 +191,22 @@ def _found(rows: Iterable[tuple]) -> pa.RecordBatch:
 
 
 def _find(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Over rows sorted by ligand and bucket: cells are gathered whole, many small ones at a time."""
+    """Over rows sorted by ligand: ligands are gathered whole, many small ones at a time."""
 
     def search(rows: list[tuple]) -> pa.RecordBatch:
-        cell = np.cumsum([0] + [int(x[:3] != y[:3]) for x, y in zip(rows, rows[1:])])
-        got = find_in_ligands(cell, [r[4] for r in rows], np.array([r[5] for r in rows]), np.array([r[6] for r in rows]), np.array([r[2] for r in rows]), np.array([r[7] for r in rows]))
-        return _found((rows[x][0], rows[x][1], rows[x][3], rows[y][3], len(rows[y][4]), lo, hi) for x, y, lo, hi in got)
+        cell = np.cumsum([0] + [int(x[:2] != y[:2]) for x, y in zip(rows, rows[1:])])
+        got = find_in_ligands(cell, [r[3] for r in rows], np.array([r[4] for r in rows]), np.array([r[5] for r in rows]))
+        return _found((rows[x][0], rows[x][1], rows[x][2], rows[y][2], len(rows[y][3]), lo, hi) for x, y, lo, hi in got)
 
     rows: list[tuple] = []
     for b in batches:
-        names = ("k1", "k2", "bucket", "chain_id", "chain", "train", "held", "buckets")
+        names = ("k1", "k2", "chain_id", "chain", "train", "held")
         cols = [b.column(b.schema.get_field_index(n)) for n in names]
-        cols[4] = cols[4].cast(pa.binary())
+        cols[3] = cols[3].cast(pa.binary())
         rows += zip(*[c.to_pylist() for c in cols])
         if len(rows) >= _TEXTS:
             end = len(rows) - 1
-            while end > 0 and rows[end][:3] == rows[end - 1][:3]:
+            while end > 0 and rows[end][:2] == rows[end - 1][:2]:
                 end -= 1
             if end:
                 yield search(rows[:end])
@@ -209,6 +215,58 @@ def _find(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield search(rows)
 
 
+#: Residues whose suffixes are computed at once.
+_RESIDUES = 1 << 20
+
+
+def _suffix_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """``(chain_id, code, place)`` of the kept suffixes of ``(chain_id, chain)``."""
+    for b in batches:
+        ids, texts = b.column(0).to_numpy(), b.column(1).cast(pa.binary()).to_pylist()
+        lo = 0
+        while lo < len(texts):
+            hi, size = lo + 1, len(texts[lo])
+            while hi < len(texts) and size + len(texts[hi]) <= _RESIDUES:
+                size += len(texts[hi])
+                hi += 1
+            which, place, code = suffixes(texts[lo:hi])
+            yield pa.RecordBatch.from_arrays([pa.array(ids[lo:hi][which], pa.int64()), pa.array(code.view(np.int64)), pa.array(place, pa.int32())], names=["chain_id", "code", "place"])
+            lo = hi
+
+
+def _compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Of ``(k1, k2, train_chain, held_chain, shift, train_text, held_text)`` those that are the same chain."""
+    for b in batches:
+        for lo in range(0, b.num_rows, _TEXTS):
+            out = []
+            for k1, k2, t, h, shift, a, c in zip(*[x.to_pylist() for x in b.slice(lo, _TEXTS).columns]):
+                c = c.encode()
+                spans = _alike(np.frombuffer(c, np.uint8), np.frombuffer(a.encode(), np.uint8), shift)
+                if spans is not None:
+                    out.append((k1, k2, t, h, len(c), spans[0].tolist(), spans[1].tolist()))
+            yield _found(out)
+
+
+def _spread(classes: DataFrame, large: DataFrame, chains: DataFrame) -> DataFrame:
+    """:func:`alignments` of unequal chains under ligands with so many of them that no task may hold one whole.
+
+    Suffixes are computed once per chain, and texts fetched for candidate pairs only.
+    """
+    lig = ["k1", "k2"]
+    of = cut(classes.join(large, lig).select(*lig, "chain_id", "train", "held"), "of")
+    kept = of.select("chain_id").distinct().join(chains, "chain_id").select("chain_id", "chain").mapInArrow(_suffix_rows, "chain_id bigint, code bigint, place int")
+    at = cut(of.join(kept, "chain_id"), "suffixes")
+    key = [*lig, "code"]
+    hot = at.groupBy(*key).agg(F.count_if("train").alias("t"), F.count_if("held").alias("h")).where("t > 0 and h > 0")
+    at = at.join(hot.select(*key, F.ceil(F.col("h") / TOGETHER).cast("int").alias("parts")), key)
+    held = at.where("held").select(*key, F.pmod(F.xxhash64("chain_id", "place"), "parts").cast("int").alias("part"), F.col("chain_id").alias("held_chain"), F.col("place").alias("held_place"))
+    train = at.where("train").select(*key, F.explode(F.sequence(F.lit(0), F.col("parts") - 1)).alias("part"), F.col("chain_id").alias("train_chain"), "place")
+    pairs = train.join(held, [*key, "part"]).where("train_chain <> held_chain").select(*_PAIR, (F.col("held_place") - F.col("place")).alias("shift"))
+    pairs = pairs.where(F.abs("shift") <= END).distinct()
+    texts = pairs.join(chains.select(F.col("chain_id").alias("train_chain"), F.col("chain").alias("train_text")), "train_chain").join(chains.select(F.col("chain_id").alias("held_chain"), F.col("chain").alias("held_text")), "held_chain")
+    return texts.select(*_PAIR, "shift", "train_text", "held_text").mapInArrow(_compare, _FOUND)
+
+
 def alignments(narrow: DataFrame, chains: DataFrame) -> DataFrame:
     """Each way that two chains under one ligand lie on each other: ``(k1, k2, train_chain, held_chain, held_length,
     lo, hi)``, with starts and ends of the equal spans on the held chain.
@@ -220,18 +278,17 @@ def alignments(narrow: DataFrame, chains: DataFrame) -> DataFrame:
     classes = narrow.groupBy(*lig, "chain_id").agg(F.max("train").alias("train"), F.max(~F.col("train")).alias("held"))
     classes = cut(classes, "classes")
     both = classes.groupBy(*lig).agg(F.max("train").alias("t"), F.max("held").alias("h"), F.count("*").alias("n")).where("t and h")
-    several = both.where("n > 1").select(*lig, F.least(F.ceil(F.col("n") / TOGETHER), F.lit(MOST_BUCKETS)).cast("int").alias("buckets"))
-    cells = classes.join(several, lig).join(chains, "chain_id").withColumn("bucket", F.explode(F.sequence(F.lit(0), F.col("buckets") - 1)))
-    at = [*lig, "bucket"]
-    near = cells.repartition(*at).sortWithinPartitions(*at).mapInArrow(_find, _FOUND)
+    several = cut(both.where("n > 1").select(*lig, "n"), "several")
+    cells = classes.join(several.where(F.col("n") <= TOGETHER).select(*lig), lig).join(chains, "chain_id")
+    near = cells.repartition(*lig).sortWithinPartitions(*lig).mapInArrow(_find, _FOUND)
+    large = several.where(F.col("n") > TOGETHER).select(*lig)
+    if not large.isEmpty():
+        near = near.unionByName(_spread(classes, large, chains))
     equal = classes.where("train and held").join(chains.select("chain_id", F.octet_length("chain").alias("n")), "chain_id")
     equal = equal.select(*lig, F.col("chain_id").alias("train_chain"), F.col("chain_id").alias("held_chain"), F.col("n").cast("bigint").alias("held_length"), F.array(F.lit(0)).alias("lo"), F.array("n").alias("hi"))
     return near.unionByName(equal)
 
 
-_PAIR = ["k1", "k2", "train_chain", "held_chain"]
-
-
 def overlaps(rows: DataFrame, **columns: str) -> DataFrame:
     """Every pair of a train row and a held-out row with the same ligand and chain: ``(row_id_1, row_id_2)``.
 

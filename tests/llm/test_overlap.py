@@ -1,5 +1,7 @@
 import random
 
+import numpy as np
+
 from tessera.llm import overlap
 
 ROWS = "row_id bigint, split_name string, source string, smiles string, sequence string, year int"
@@ -26,3 +28,38 @@ def test_spans_of_several_train_chains_are_united(spark):
     assert got == {2: 299 / 300}
     rep = overlap.report(rows(spark, [("train", other), ("train", x[:290]), ("val", x)])).collect()
     assert [(r.n_rows, r.n_overlapping, r.n_fully_covered) for r in rep] == [(1, 1, 1)]
+
+
+def test_no_task_holds_a_large_ligand(spark, monkeypatch):
+    def found(df):
+        pairs = sorted(tuple(r) for r in overlap.overlaps(df).collect())
+        return pairs, sorted(tuple(r) for r in overlap.coverage(df).collect())
+
+    rng = random.Random(5)
+    bases = [chain(n, n) for n in (300, 301, 150)]
+    many = []
+    for i in range(90):
+        x = list(rng.choice(bases))
+        for _ in range(rng.choice([0, 2, 6, 12])):
+            x[rng.randrange(len(x))] = "A"
+        many.append((rng.choice(["train", "val", "test"]), "".join(x)[rng.choice([0, 7, 25, 26]) :]))
+    df = rows(spark, many)
+    whole = found(df)
+    assert len(whole[0]) > 50
+
+    def held_whole(batches):
+        for b in batches:
+            assert b.num_rows == 0
+            yield from ()
+
+    monkeypatch.setattr(overlap, "TOGETHER", 10)
+    monkeypatch.setattr(overlap, "_find", held_whole)
+    assert found(df) == whole
+
+
+def test_suffixes_are_those_of_each_text():
+    texts = [chain(n, n).encode() for n in (40, 300, 3, 199, 12, 800)]
+    which, place, code = overlap.suffixes(texts)
+    together = set(zip(which.tolist(), place.tolist(), code.tolist()))
+    assert together == {(i, p, c) for i, t in enumerate(texts) for _, p, c in zip(*[x.tolist() for x in overlap.suffixes([t])])}
+    assert which.dtype == np.int64
