@@ -20,14 +20,14 @@ BARE = "Br Cl B C N O P S F I b c n o p s *".split()
 
 NUMBER = {s: i + 1 for i, s in enumerate(ELEMENTS)} | {s: ELEMENTS.index(s.capitalize()) + 1 for s in AROMATIC} | {"*": 0}
 
-_TOKEN = re.compile(r"Br|Cl|[BCNOPSFIbcnops*]|\[[^\[\]]*\]|%\d\d|%\(\d+\)|[0-9]|[-=#$:/\\~]|[().]", re.ASCII)
+_TOKEN = re.compile(r"Br|Cl|[BCNOPSFIbcnops*]|\[[^\[\]]*\]|%\d\d|%\(\d+\)|[0-9]|[-=#:/\\~]|[().]", re.ASCII)
 _BRACKET = re.compile(
     r"\[\d*(?P<symbol>" + "|".join(sorted([*ELEMENTS, *AROMATIC, r"\*"], key=lambda s: -len(s))) + r")"
     r"(?:@(?:@|TH[12]|AL[12]|SP[1-3]|TB\d{1,2}|OH\d{1,2})?)?(?:H\d?)?(?:\++|-+|\+\d{1,2}|-\d{1,2})?(?::\d+)?\]",
     re.ASCII,
 )
-_KIND = {s: "a" for s in BARE} | {s: "b" for s in "-=#$:/\\~"} | {str(d): "r" for d in range(10)} | {s: s for s in "()."}
-_ORDER = {"=": 1, "#": 2, "$": 3}
+_KIND = {s: "a" for s in BARE} | {s: "b" for s in "-=#:/\\~"} | {str(d): "r" for d in range(10)} | {s: s for s in "()."}
+_ORDER = {"=": 1, "#": 2}
 _bracket_number: dict[str, int | None] = {}
 
 
@@ -202,7 +202,7 @@ class Graphs:
             place, value = np.array(orders, dtype=np.int64).T
             order[place] = value
             for end in (u, v):
-                for o in (1, 2, 3):
+                for o in (1, 2):
                     hit = end[place[value == o]]
                     flag[hit] = np.maximum(flag[hit], o)
         self.keep = self.number != 1

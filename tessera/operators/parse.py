@@ -52,10 +52,68 @@ def value_fails(c: Column) -> Column:
     return F.coalesce((s != "") & number_or_null(c).isNull(), F.lit(False))
 
 
-#: Costs of an edit: the fewest edits win, and of as many those of quotes.
-QUOTE_COST, DELIMITER_COST = 10_000, 10_001
+#: Costs of a reading, each kind above any number of the next: edits of quotes, edits of delimiters, and what speaks
+#: against a reading without being an edit (a relation or value of the wrong type, fields glued or made empty).
+QUOTE_COST, DELIMITER_COST, TYPE_COST = 1 << 40, 1 << 20, 1
 _END = re.compile(r"(?:\r\n|\n|\r)\Z")
-_PIECE = re.compile(r'[",]|[^",]+')
+_PIECE = re.compile(r'[",]|[;|\t]|[^",;|\t]+')
+_NUMBER = re.compile(NUMBER, re.ASCII)
+
+
+def _value_ok(text: str) -> bool:
+    s = text.strip(BLANK)
+    return s == "" or (_NUMBER.fullmatch(s) is not None and 0 < float(s) < float("inf"))
+
+
+def _relation_ok(text: str) -> bool:
+    s = text.strip(BLANK)
+    return s == "" or s in RELATIONS
+
+
+#: The typed fields and what they take.
+TYPES = {FIELDS.index("standard_relation"): _relation_ok, FIELDS.index("standard_value"): _value_ok}
+
+
+def zero_cost(body: str) -> list[str] | None:
+    """The fields of the reading without edits, which is unique, or None where there is none.
+
+    This is the dynamic program below kept to states of cost zero: one state lives at a time.
+    """
+    out: list[str] = []
+    held: list[str] = []
+    state = 0
+    for c in _PIECE.findall(body):
+        if c == ",":
+            if state == 2:
+                held.append(c)
+            else:
+                out.append("".join(held))
+                held.clear()
+                state = 0
+        elif c == '"':
+            if state == 1:
+                return None
+            if state == 3:
+                held.append(c)
+            state = 3 if state == 2 else 2
+        elif state == 3:
+            return None
+        else:
+            held.append(c)
+            state = state or 1
+    if state == 2:
+        return None
+    out.append("".join(held))
+    return out
+
+
+# Moves on reading a comma, a quote or anything else: from state, to state, cost, deleted. A comma that ends a field moves to the
+# next field's state 0, which is 4 further on.
+_MOVES = {
+    ",": [(0, 4, 0, 0), (1, 4, 0, 0), (3, 4, 0, 0), (2, 2, 0, 0), (0, 0, DELIMITER_COST, 1), (1, 1, DELIMITER_COST + 1, 1), (3, 3, DELIMITER_COST + 1, 1)],
+    '"': [(0, 2, 0, 0), (2, 3, 0, 0), (3, 2, 0, 0), *[(a, a, QUOTE_COST, 1) for a in range(4)]],
+    "x": [(0, 1, 0, 0), (1, 1, 0, 0), (2, 2, 0, 0)],
+}
 
 
 def min_cost_parse(text: str, fields: int = len(FIELDS)) -> list[str]:
@@ -63,88 +121,94 @@ def min_cost_parse(text: str, fields: int = len(FIELDS)) -> list[str]:
 
     States while reading: at a field's start (0), in a bare field (1), in a quoted field (2), after a
     closing quote (3); each with the number of the field. Edits: insert or delete a double quote, insert or
-    delete a comma, which joins what it parted. A line end after the last field is free. Runs without
-    quotes and commas are one step, so the work is the number of quotes and commas times the fields.
+    delete a comma, which joins what it parted. The fewest quote edits win, then the fewest of delimiters, then
+    the reading whose relation and value are of their types and that glues or empties the fewest fields. A line
+    end after the last field is free. Runs without marks are one step; the way back takes two bytes per state and step.
     """
     body = _END.sub("", text, count=1)
-    n, none = 4 * fields, 1 << 60
+    n, none = 4 * fields, 1 << 62
     cost = [none] * n
     cost[0] = 0
-    trail: list[dict[int, tuple[int, str, bool]]] = []
-
-    def insert(cost: list[int], back: dict[int, tuple[int, str, bool]], at: int) -> None:
+    read_rows: list[bytes] = []
+    insert_rows: list[bytes] = []
+    ends: list[int] = []
+
+    def insert(cost: list[int], coming: str) -> None:
+        # A delimiter between text and a quote would part what only an edit of the quote can mend.
+        ways = [(0, DELIMITER_COST + TYPE_COST)] + [(1, DELIMITER_COST)] * (coming != '"') + [(3, DELIMITER_COST)] * (coming in ("", ","))
+        back = bytearray(n)
         for s in range(0, n, 4):
             for a, b in ((s, s + 2), (s + 2, s + 3)):
                 if cost[a] + QUOTE_COST < cost[b]:
                     cost[b] = cost[a] + QUOTE_COST
-                    back[b] = (a, f"insert quote at {at}", False)
+                    back[b] = a + 1
             if s + 4 < n:
-                a = min((s, s + 1, s + 3), key=cost.__getitem__)
-                if cost[a] + DELIMITER_COST < cost[s + 4]:
-                    cost[s + 4] = cost[a] + DELIMITER_COST
-                    back[s + 4] = (a, f"insert delimiter at {at}", False)
-
-    def steps(c: str) -> list[tuple[int, int, int, str]]:
-        if c == ",":
-            return [(0, 4, 0, ""), (1, 4, 0, ""), (3, 4, 0, ""), (2, 2, 0, "")] + [(a, a, DELIMITER_COST, "delete delimiter") for a in (0, 1, 3)]
-        if c == '"':
-            return [(0, 2, 0, ""), (2, 3, 0, ""), (3, 2, 0, "")] + [(a, a, QUOTE_COST, "delete quote") for a in range(4)]
-        return [(0, 1, 0, ""), (1, 1, 0, ""), (2, 2, 0, "")]
-
-    moves = {c: steps(c) for c in (",", '"', "x")}
-    back: dict[int, tuple[int, str, bool]] = {}
-    insert(cost, back, 0)
-    trail.append(back)
+                for a, price in ways:
+                    if cost[s + a] + price < cost[s + 4]:
+                        cost[s + 4] = cost[s + a] + price
+                        back[s + 4] = s + a + 1
+        insert_rows.append(bytes(back))
+
+    insert(cost, body[:1])
+    starts: list[int] = []
     for m in _PIECE.finditer(body):
-        c = m[0] if m[0] in moves and m[0] != "x" else "x"
-        new, back = [none] * n, {}
+        c = m[0]
+        moves = _MOVES.get(c) or _MOVES["x"]
+        wrong = {f: c != '"' and (c == "," or not ok(c)) for f, ok in TYPES.items()}
+        new, back = [none] * n, bytearray(n)
         for s in range(0, n, 4):
-            for a, b, price, word in moves[c]:
-                if s + b < n and (p := cost[s + a]) < none and p + price < new[s + b]:
-                    new[s + b] = p + price
-                    back[s + b] = (s + a, word and f"{word} at {m.start()}", True)
-        insert(new, back, m.end())
+            bad = wrong.get(s >> 2)
+            for a, b, price, gone in moves:
+                p = cost[s + a]
+                if s + b < n and p < none:
+                    if bad and b < 4 and not gone:
+                        price += TYPE_COST
+                    if p + price < new[s + b]:
+                        new[s + b] = p + price
+                        back[s + b] = (s + a) * 2 + gone + 1
+        insert(new, body[m.end() : m.end() + 1])
         cost = new
-        trail.append(back)
+        read_rows.append(bytes(back))
+        starts.append(m.start())
+        ends.append(m.end())
     here = min((n - 4, n - 3, n - 1), key=cost.__getitem__)
     edits: list[str] = []
-    for back in reversed(trail):
-        read = False
-        while not read and here in back:
-            here, word, read = back[here]
-            if word:
-                edits.append(word)
+    for i in range(len(read_rows), -1, -1):
+        back = insert_rows[i]
+        at = ends[i - 1] if i else 0
+        while back[here]:
+            a = back[here] - 1
+            edits.append(f"insert {'delimiter' if here % 4 == 0 else 'quote'} at {at}")
+            here = a
+        if i:
+            code = read_rows[i - 1][here] - 1
+            if code & 1:
+                edits.append(f"delete {'delimiter' if body[starts[i - 1]] == ',' else 'quote'} at {starts[i - 1]}")
+            here = code >> 1
     return edits[::-1]
 
 
-_RECORD = re.compile(r'(?:"[^"]*(?:""[^"]*)*"|[^",]*)(?:,(?:"[^"]*(?:""[^"]*)*"|[^",]*))*+')
-_FIELD = re.compile(r'(?:"([^"]*(?:""[^"]*)*)"|([^",]*))(?:,|\Z)')
-
-
 def read_record(text: str, fields: int = len(FIELDS)) -> tuple[str | None, list[str], list[str]]:
-    """Reason, fields and edits of one raw record.
+    """Reason, fields and edits of one raw record; the reason is read off the edits.
 
-    The cost-zero reading is unique, so it is tried first by one pass over the text; only what has none
-    goes through the dynamic program. Where no number of fields gives a cost-zero reading the reason is
-    ``quoting``, where another number of fields gives one it is ``columns``.
+    No edit is reason None, with the fields. An edit of a quote is ``quoting``, else one of a delimiter is
+    ``columns``; of records with neither, a relation or value of the wrong type is an edit ``replace
+    standard_relation`` or ``replace standard_value`` and the reason ``relation`` or ``value``.
     """
-    body = _END.sub("", text, count=1)
-    if _RECORD.fullmatch(body) is None:
-        return "quoting", [], min_cost_parse(text, fields)
-    got: list[str] = []
-    at = 0
-    while True:
-        m = _FIELD.match(body, at)
-        got.append(m[1].replace('""', '"') if m[1] is not None else m[2])
-        if m.end() == len(body) and not m[0].endswith(","):
-            break
-        at = m.end()
-        if at == len(body):
-            got.append("")
-            break
-    if len(got) == fields:
-        return None, got, []
-    return "columns", [], min_cost_parse(text, fields)
+    got = zero_cost(_END.sub("", text, count=1))
+    if got is not None and len(got) == fields:
+        edits = [f"replace {FIELDS[f]}" for f, ok in TYPES.items() if f < fields and not ok(got[f])]
+        return reason_of(edits), got, edits
+    edits = min_cost_parse(text, fields)
+    return reason_of(edits), [], edits
+
+
+def reason_of(edits: list[str]) -> str | None:
+    """The first reason that a list of edits states."""
+    for word, reason in (("quote", "quoting"), ("delimiter", "columns"), ("standard_relation", "relation"), ("standard_value", "value")):
+        if any(e.split()[1] == word for e in edits):
+            return reason
+    return None
 
 
 _LINES = "row_id bigint, reason string, cost bigint, edits array<string>, " + ", ".join(f"{f} string" for f in FIELDS)
@@ -154,8 +218,8 @@ def parse_lines(lines: DataFrame, key: str = "line_id", raw: str = "raw") -> Dat
     """Read raw records: ``(row_id, reason, cost, edits, the seven fields, value)``.
 
     ``reason`` is null for rows that load, with ``value`` typed; else the first of ``quoting``,
-    ``columns``, ``relation``, ``value``, and for the first two ``edits`` says what would mend the
-    record at least cost. A null record counts as an empty one (one field, so ``columns``). Other
+    ``columns``, ``relation``, ``value`` that the ``edits`` of the cheapest reading state; ``cost`` is their
+    number. A null record counts as an empty one (one field, so ``columns``). Other
     columns of the input are not carried; repeated records each give their own row; texts of any
     length are read whole.
     """
@@ -171,17 +235,21 @@ def parse_lines(lines: DataFrame, key: str = "line_id", raw: str = "raw") -> Dat
             )
 
     got = lines.select(F.col(key).cast("bigint"), F.col(raw)).mapInArrow(read, _LINES)
-    return _typed(got)
+    return got.withColumn("value", F.when(F.col("reason").isNull(), number_or_null(F.col("standard_value"))))
 
 
 def _typed(rows: DataFrame) -> DataFrame:
-    fail = F.when(relation_fails(F.col("standard_relation")), "relation").when(value_fails(F.col("standard_value")), "value")
-    return rows.withColumn("reason", F.coalesce("reason", fail)).withColumn("value", F.when(F.col("reason").isNull(), number_or_null(F.col("standard_value"))))
-
+    bad = {"relation": relation_fails(F.col("standard_relation")), "value": value_fails(F.col("standard_value"))}
+    edits = F.filter(F.array(*[F.when(c, f"replace standard_{n}") for n, c in bad.items()]), lambda e: e.isNotNull())
+    out = rows.withColumn("edits", edits).withColumn("cost", F.size("edits").cast("bigint"))
+    reason = F.substring_index(F.element_at("edits", 1), "_", -1)
+    out = out.withColumn("reason", F.when(F.col("cost") > 0, reason))
+    return out.withColumn("value", F.when(F.col("reason").isNull(), number_or_null(F.col("standard_value"))))
 
 def parse_fields(rows: DataFrame, key: str = "row_id") -> DataFrame:
-    """The same check for rows whose fields are apart already: all columns, ``reason`` and ``value``."""
-    return _typed(rows.withColumn("reason", F.lit(None).cast("string")))
+    """The same for rows whose fields are apart already, where only a type can be wrong: all columns, ``reason``,
+    ``cost``, ``edits`` and ``value``."""
+    return _typed(rows)
 
 
 @F.arrow_udf(BooleanType())
@@ -190,16 +258,27 @@ def _not_molecule(s: pa.Array) -> pa.Array:
 
 
 def parse_smiles(rows: DataFrame, key: str = "pair_id", smiles: str = "ligand_smiles") -> DataFrame:
-    """Key, SMILES without outer blanks, ``reason`` (``smiles`` where the text isn't one molecule) and all other columns.
+    """Key, SMILES without outer blanks, ``reason`` (``smiles`` where the text isn't one molecule), ``cost``, ``edits`` and all
+    other columns.
 
     A null or blank text is missing, not failing, and loads as null.
     """
     s = strip(F.col(smiles))
-    return rows.select(F.col(key).alias("row_id"), F.when(s != "", s).alias("smiles"), F.when(_not_molecule(F.col(smiles)), "smiles").alias("reason"), *[c for c in rows.columns if c not in (key, smiles)])
+    bad = _not_molecule(F.col(smiles))
+    own = {"row_id", "smiles", "reason", "cost", "edits"}
+    rest = [c for c in rows.columns if c not in own | {key, smiles}]
+    got = rows.select(F.col(key).alias("row_id"), F.when(s != "", s).alias("smiles"), F.when(bad, "smiles").alias("reason"), *rest)
+    reason = F.col("reason").isNotNull()
+    return got.select("row_id", "smiles", "reason", F.when(reason, 1).otherwise(0).cast("bigint").alias("cost"), F.when(reason, F.array(F.lit(f"replace {smiles}"))).otherwise(F.array().cast("array<string>")).alias("edits"), *rest)
+
+
+def parsed(lines: DataFrame, data: DataFrame, pairs: DataFrame) -> dict[str, DataFrame]:
+    """The three tables read, each with ``row_id, reason, cost, edits`` and its typed columns."""
+    return {"gpcrdb_lines": parse_lines(lines), "gpcrdb_data": parse_fields(data), "prepared_pairs": parse_smiles(pairs)}
 
 
 def rejects(lines: DataFrame, data: DataFrame, pairs: DataFrame) -> DataFrame:
-    """Every failing record of the three tables: ``(source_table, row_id, reason)``, one row each."""
-    parts = (("gpcrdb_lines", parse_lines(lines)), ("gpcrdb_data", parse_fields(data)), ("prepared_pairs", parse_smiles(pairs)))
-    out = [d.where("reason is not null").select(F.lit(n).alias("source_table"), F.col("row_id").cast("bigint").alias("row_id"), "reason") for n, d in parts]
+    """Every failing record of the three tables: ``(source_table, row_id, reason, cost, edits)``, one row each, with the
+    edits that state the reason."""
+    out = [d.where("cost > 0").select(F.lit(n).alias("source_table"), F.col("row_id").cast("bigint").alias("row_id"), "reason", "cost", F.array_join("edits", "; ").alias("edits")) for n, d in parsed(lines, data, pairs).items()]
     return out[0].unionByName(out[1]).unionByName(out[2])

@@ -14,10 +14,14 @@ HEAVY_SHARE = 0.02
 CELLS = ("ki_nm", "ic50_nm", "kd_nm", "ec50_nm", "other_nm")
 
 
-def p2_found(spark: SparkSession, d: str) -> DataFrame:
+def _rejects(spark: SparkSession, d: str) -> DataFrame:
     return parse.rejects(table(spark, d, "gpcrdb_lines"), table(spark, d, "gpcrdb_data"), table(spark, d, "prepared_pairs"))
 
 
+def p2_found(spark: SparkSession, d: str) -> DataFrame:
+    return _rejects(spark, d).select("source_table", "row_id", "reason")
+
+
 def p2_loaded(spark: SparkSession, d: str) -> DataFrame:
     """The valid raw records with typed values."""
     got = parse.parse_lines(table(spark, d, "gpcrdb_lines")).where("reason is null")
@@ -55,9 +59,8 @@ def p2_loaded_pairs(spark: SparkSession, d: str) -> DataFrame:
 
 
 def p2_edits(spark: SparkSession, d: str) -> DataFrame:
-    """Raw records whose quotes or fields are wrong, with the cheapest edits that mend them."""
-    got = parse.parse_lines(table(spark, d, "gpcrdb_lines")).where("cost > 0")
-    return got.select(F.col("row_id").alias("line_id"), "reason", "cost", F.array_join("edits", "; ").alias("edits"))
+    """Failing records of the three tables with the cheapest edits that mend them, which state the reason."""
+    return _rejects(spark, d)
 
 
 def filled(spark: SparkSession, d: str) -> DataFrame:
@@ -152,7 +155,27 @@ def _stats_sql(name: str, expression: str) -> str:
     return f"count({v}) AS {name}_count, round(sum({v}), 6) AS {name}_sum, min({v}) AS {name}_min, max({v}) AS {name}_max, round(avg({v}), 6) AS {name}_mean, round(stddev_pop({v}), 6) AS {name}_dev"
 
 
+# One field, quoted or bare; BLANKS are those that parse.strip knows.
+_CSV = '("[^"]*(?:""[^"]*)*"|[^",]*)'
+_RAW = "^" + ",".join([_CSV] * 7) + "$"
+_BLANKS = f"'{parse.BLANK}'"
+
+
+def _loaded_sql(source: str, key: str, fields: list[str]) -> str:
+    clean = [f"nullif(trim({f}, {_BLANKS}), '') AS {n}" for n, f in zip(parse.FIELDS, fields)]
+    v = "standard_value"
+    number = rf"regexp_full_match({v}, '[+-]?([0-9]+([.][0-9]*)?|[.][0-9]+)([eE][+-]?[0-9]+)?') AND try_cast({v} AS DOUBLE) > 0 AND isfinite(try_cast({v} AS DOUBLE))"
+    return f"""SELECT {key}, {', '.join(parse.FIELDS[:-1])}, try_cast({v} AS DOUBLE) AS {v} FROM (SELECT {key}, {', '.join(clean)} FROM {source})
+    WHERE (standard_relation IS NULL OR standard_relation IN ('=', '<', '>', '<=', '>=', '~')) AND ({v} IS NULL OR ({number}))"""
+
+
+_BODY = r"regexp_replace(raw, E'(\r\n|\n|\r)$', '')"
+_CUT = [f"regexp_extract(body, '{_RAW}', {i})" for i in range(1, 8)]
+_BARE = [f"""CASE WHEN {c} LIKE '"%' THEN replace(substr({c}, 2, length({c}) - 2), '""', '"') ELSE {c} END""" for c in _CUT]
+
 SQL: dict[str, str] = {
+    "p2_loaded": _loaded_sql(f"(SELECT line_id, {_BODY} AS body FROM gpcrdb_lines) WHERE regexp_full_match(body, '{_RAW}')", "line_id", _BARE),
+    "p2_loaded_data": _loaded_sql("gpcrdb_data", "row_id", parse.FIELDS),
     "p3_found": f"{_fill_sql('ph')} UNION ALL {_fill_sql('temp')}",
     "p4_found": f"""SELECT 'protein_ids' AS field_name, CAST(protein_ids AS VARCHAR) AS key_value FROM indexed_rows WHERE protein_ids IS NOT NULL GROUP BY protein_ids HAVING count(*) > 0.02 * (SELECT count(*) FROM indexed_rows)
     UNION ALL SELECT 'target_name', k FROM (SELECT {_NAME} AS k FROM prepared_pairs) WHERE k IS NOT NULL GROUP BY k HAVING count(*) > 0.02 * (SELECT count(*) FROM prepared_pairs)""",
