@@ -57,6 +57,7 @@ def value_fails(c: Column) -> Column:
 QUOTE_COST, DELIMITER_COST, TYPE_COST = 1 << 40, 1 << 20, 1
 _END = re.compile(r"(?:\r\n|\n|\r)\Z")
 _PIECE = re.compile(r'[",]|[;|\t]|[^",;|\t]+')
+_TAIL = re.compile(rf"[{BLANK}]*(?:,|\Z)")
 _NUMBER = re.compile(NUMBER, re.ASCII)
 
 
@@ -110,7 +111,7 @@ def zero_cost(body: str) -> list[str] | None:
 # Moves on reading a comma, a quote or anything else: from state, to state, cost, deleted. A comma that ends a field moves to the
 # next field's state 0, which is 4 further on.
 _MOVES = {
-    ",": [(0, 4, 0, 0), (1, 4, 0, 0), (3, 4, 0, 0), (2, 2, 0, 0), (0, 0, DELIMITER_COST, 1), (1, 1, DELIMITER_COST + 1, 1), (3, 3, DELIMITER_COST + 1, 1)],
+    ",": [(0, 4, 0, 0), (1, 4, 0, 0), (3, 4, 0, 0), (2, 2, 0, 0), (0, 0, DELIMITER_COST, 1), (1, 1, DELIMITER_COST, 1), (3, 3, DELIMITER_COST, 1)],
     '"': [(0, 2, 0, 0), (2, 3, 0, 0), (3, 2, 0, 0), *[(a, a, QUOTE_COST, 1) for a in range(4)]],
     "x": [(0, 1, 0, 0), (1, 1, 0, 0), (2, 2, 0, 0)],
 }
@@ -154,6 +155,8 @@ def min_cost_parse(text: str, fields: int = len(FIELDS)) -> list[str]:
     for m in _PIECE.finditer(body):
         c = m[0]
         moves = _MOVES.get(c) or _MOVES["x"]
+        # To join a field with what isn't blank speaks against a reading.
+        glued = TYPE_COST if c == "," and _TAIL.match(body, m.end()) is None else 0
         wrong = {f: c != '"' and (c == "," or not ok(c)) for f, ok in TYPES.items()}
         new, back = [none] * n, bytearray(n)
         for s in range(0, n, 4):
@@ -163,6 +166,8 @@ def min_cost_parse(text: str, fields: int = len(FIELDS)) -> list[str]:
                 if s + b < n and p < none:
                     if bad and b < 4 and not gone:
                         price += TYPE_COST
+                    elif gone and a:
+                        price += glued
                     if p + price < new[s + b]:
                         new[s + b] = p + price
                         back[s + b] = (s + a) * 2 + gone + 1
@@ -171,6 +176,7 @@ def min_cost_parse(text: str, fields: int = len(FIELDS)) -> list[str]:
         read_rows.append(bytes(back))
         starts.append(m.start())
         ends.append(m.end())
+    cost[n - 4] += TYPE_COST  # an empty last field
     here = min((n - 4, n - 3, n - 1), key=cost.__getitem__)
     edits: list[str] = []
     for i in range(len(read_rows), -1, -1):

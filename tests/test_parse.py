@@ -109,7 +109,7 @@ def test_edits_state_the_reason():
     assert twice[0] == "columns" and len(twice[2]) == 6 and all(e.startswith("delete delimiter") for e in twice[2])
     bars = parse.read_record("n|A|C|=|Ki|nM|1")
     assert bars[0] == "columns" and [e.split()[:2] for e in bars[2]] == [["insert", "delimiter"]] * 6 and len(set(bars[2])) == 6
-    assert parse.read_record("n,,A,C,=,Ki,nM,1")[2] == ["delete delimiter at 2"]
+    assert parse.read_record("n,,A,C,=,Ki,nM,1")[2] == ["delete delimiter at 1"]
     assert parse.read_record("n,A,C,=<,Ki,nM,-1") == ("relation", ["n", "A", "C", "=<", "Ki", "nM", "-1"], ["replace standard_relation", "replace standard_value"])
     assert parse.read_record('"n,A,C,=,Ki,nM,1')[0] == "quoting"
 
