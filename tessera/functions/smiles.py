@@ -213,7 +213,7 @@ class Graphs:
 
     def states(self, rounds: int, keep: np.ndarray) -> Iterator[np.ndarray]:
         """The atoms' states after 0, 1, ... rounds of taking in their neighbours', within ``keep``."""
-        state = _mix(self.label.astype(np.uint64))
+        state = _mix(self.label.astype(np.uint64, copy=False))
         live = keep[self.u] & keep[self.v]
         d, s = np.r_[self.u[live], self.v[live]], np.r_[self.v[live], self.u[live]]
         sort = np.argsort(d, kind="stable")
@@ -228,17 +228,65 @@ class Graphs:
             yield state
 
     def keys(self, keep: np.ndarray) -> list[tuple[int, int] | None]:
+        """Two hashes per text: of all atoms' states, and of these after one of equal atoms is singled out, for each of them.
+
+        Neighbours' states alone can't tell some rings apart, such as two fused six-rings from two linked five-rings.
+        Where atoms of rings have equal states, the fewest such are singled out in turn in copies of the molecule.
+        """
         out: list[tuple[int, int] | None] = [None] * self.n
         if not self.which:
             return out
         for state in self.states(_ROUNDS, keep):
             pass
-        total = np.add.reduceat(np.where(keep, _mix(state), np.uint64(0)), self.starts).view(np.int64)
-        second = np.add.reduceat(np.where(keep, _mix(state ^ _M1), np.uint64(0)), self.starts).view(np.int64)
-        for i, x, y in zip(self.which, total.tolist(), second.tolist()):
+        starts = np.array(self.starts, np.int64)
+        total = np.add.reduceat(np.where(keep, _mix(state), np.uint64(0)), starts)
+        second = np.add.reduceat(np.where(keep, _mix(state ^ _M1), np.uint64(0)), starts)
+        second += self._singled_out(state, keep & self.core(), keep, starts)
+        for i, x, y in zip(self.which, total.view(np.int64).tolist(), second.view(np.int64).tolist()):
             out[i] = (x, y)
         return out
 
+    def _singled_out(self, state: np.ndarray, ring: np.ndarray, keep: np.ndarray, starts: np.ndarray) -> np.ndarray:
+        ends = np.r_[starts[1:], len(keep)]
+        mol = np.repeat(np.arange(len(starts)), ends - starts)
+        at = np.flatnonzero(ring)
+        at = at[np.lexsort((state[at], mol[at]))]
+        none = np.zeros(len(starts), np.uint64)
+        if not len(at):
+            return none
+        new = np.r_[True, (state[at[1:]] != state[at[:-1]]) | (mol[at[1:]] != mol[at[:-1]])]
+        group = np.cumsum(new) - 1
+        size = np.bincount(group)
+        first = at[new]
+        tied = np.flatnonzero(size > 1)
+        if not len(tied):
+            return none
+        # Of each molecule the smallest group of equal atoms, the least state of equal sizes.
+        best = tied[np.lexsort((state[first[tied]], size[tied], mol[first[tied]]))]
+        best = best[np.r_[True, mol[first[best[1:]]] != mol[first[best[:-1]]]]]
+        chosen = at[np.isin(group, best)]
+        of = mol[chosen]
+        lengths = (ends - starts)[of]
+        base = np.cumsum(lengths) - lengths
+        back = np.repeat(starts[of] - base, lengths) + np.arange(lengths.sum())
+        copy = object.__new__(Graphs)
+        copy.label = state[back].copy()
+        copy.label[base + chosen - starts[of]] ^= _M1
+        # Bonds lie in the order of their molecules.
+        owner = mol[self.u]
+        order = np.argsort(owner, kind="stable")
+        many = np.bincount(owner, minlength=len(starts))
+        begin = np.cumsum(many) - many
+        reps = many[of]
+        shift = np.repeat(base - starts[of], reps)
+        bond = order[np.repeat(begin[of] - (np.cumsum(reps) - reps), reps) + np.arange(reps.sum())]
+        copy.u, copy.v = self.u[bond] + shift, self.v[bond] + shift
+        for last in copy.states(_ROUNDS, keep[back]):
+            pass
+        whole = np.add.reduceat(np.where(keep[back], _mix(last), np.uint64(0)), base)
+        np.add.at(none, of, _mix(whole))
+        return none
+
     def core(self) -> np.ndarray:
         """Atoms of rings, of chains between rings, and those bound to them by a double or triple bond."""
         keep = self.keep.copy()
@@ -262,12 +310,80 @@ def ligand_keys(texts: list[str | None]) -> list[tuple[int, int] | None]:
     Charges, isotopes, hydrogens, stereo marks, smaller parts, blanks, atom order, ring numbers and the
     style of aromatic rings don't matter. Bonds have no order in the key; instead each carbon knows if it
     is saturated, takes part in a double or aromatic bond, or in a triple one, which is the same for both
-    styles. Every atom's state takes in its neighbours' for 16 rounds; the key sums the final states.
+    styles. Every atom's state takes in its neighbours' for 16 rounds; the key sums the final states, the second
+    number those with equal ring atoms singled out as well.
     """
     g = Graphs(texts)
     return g.keys(g.keep)
 
 
+def same_ligands(left: list[str | None], right: list[str | None]) -> list[bool]:
+    """Whether the texts of each pair are the same ligand, by a match of all atoms and bonds of their largest parts.
+
+    The same marks count as for the keys. Texts that can't be read are the same as nothing.
+    """
+    out: list[bool] = []
+    for lo in range(0, len(left), 2048):
+        a, b = left[lo : lo + 2048], right[lo : lo + 2048]
+        g = Graphs([*a, *b])
+        state = None
+        for state in g.states(_ROUNDS, g.keep):
+            pass
+        near: dict[int, list[int]] = {}
+        for u, v in zip(g.u.tolist(), g.v.tolist()):
+            near.setdefault(u, []).append(v)
+            near.setdefault(v, []).append(u)
+        ends = dict(zip(g.which, zip(g.starts, [*g.starts[1:], len(g.keep)])))
+        colour = state.tolist() if state is not None else []
+        alive = g.keep.tolist()
+        for i in range(len(a)):
+            x, y = ends.get(i), ends.get(i + len(a))
+            out.append(x is not None and y is not None and _matches([k for k in range(*x) if alive[k]], [k for k in range(*y) if alive[k]], near, colour))
+    return out
+
+
+def _matches(xs: list[int], ys: list[int], near: dict[int, list[int]], colour: list[int]) -> bool:
+    """Whether some one-to-one map of atoms keeps colours and bonds; tried atom by atom along the bonds."""
+    if sorted(colour[k] for k in xs) != sorted(colour[k] for k in ys):
+        return False
+    order: list[tuple[int, int]] = []
+    seen: set[int] = set()
+    for root in xs:
+        todo = [(root, -1)]
+        while todo:
+            k, parent = todo.pop()
+            if k not in seen:
+                seen.add(k)
+                order.append((k, parent))
+                todo += [(m, k) for m in near.get(k, ()) if m not in seen]
+    place = {k: i for i, (k, _) in enumerate(order)}
+    back = [[m for m in near.get(k, ()) if place[m] < i] for i, (k, _) in enumerate(order)]
+    to: dict[int, int] = {}
+    used: set[int] = set()
+
+    def ways(i: int) -> Iterator[int]:
+        k, parent = order[i]
+        for y in near.get(to[parent], ()) if parent >= 0 else ys:
+            if y not in used and colour[y] == colour[k] and len(near.get(y, ())) == len(near.get(k, ())) and all(to[m] in near[y] for m in back[i]):
+                yield y
+
+    stack = [ways(0)] if order else []
+    while stack:
+        k = order[len(stack) - 1][0]
+        if k in to:
+            used.discard(to.pop(k))
+        y = next(stack[-1], None)
+        if y is None:
+            stack.pop()
+            continue
+        to[k] = y
+        used.add(y)
+        if len(stack) == len(order):
+            return True
+        stack.append(ways(len(stack)))
+    return not order
+
+
 def scaffold_keys(texts: list[str | None]) -> list[tuple[int, int] | None]:
     """The same for the ring systems and the chains between them; None without rings."""
     g = Graphs(texts)

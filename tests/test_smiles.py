@@ -77,3 +77,18 @@ def test_a_very_long_text():
     atoms, bonds, part = parse(text)
     assert len(atoms) == 50_000 and len(bonds) == 49_999 and set(part) == {0}
     assert is_molecule("C(" * 5_000 + "C" + ")" * 5_000)
+
+
+def test_rings_that_neighbours_cannot_tell_apart():
+    from tessera.functions.smiles import same_ligands, scaffold_keys
+
+    decalin, bicyclopentyl = "C1CCC2CCCCC2C1", "C1CCCC1C1CCCC1"
+    a, b, c = ligand_keys([decalin, bicyclopentyl, "C1CC2CCCCC2CC1"])
+    assert a != b and a == c
+    a, b, c = scaffold_keys([decalin + "O", bicyclopentyl + "O", "OC1CC2CCCCC2CC1"])
+    assert a != b and a == c
+    assert same_ligands([decalin, decalin, "C(", None, "CCO", "c1ccccc1C"], [bicyclopentyl, "C1CC2CCCCC2CC1", "C(", "C", "OCC.Cl", "CC1=CC=CC=C1"]) == [False, True, False, False, True, True]
+
+
+def test_plain_bonds_only():
+    assert not is_molecule("C$C") and not is_molecule("c1cccc$1")
