@@ -1,10 +1,11 @@
-"""Same or nearly same records across splits, by a sparse suffix array over concatenated texts.
-
-A record's text is its chain, under the key of its ligand. Texts are concatenated by ligand; of every text
-those suffixes are kept whose first residues are the least of their window (so that two texts that
-share a long enough stretch keep the same suffix of it), sorted by ligand and prefix; neighbours in
-that order that come from different splits share a span, which fixes how the two texts lie on each
-other. What lies so is compared residue by residue.
+"""Same or nearly same records across splits, by a sparse suffix array over partitioned texts.
+
+A record's text is its chain, under the key of its ligand. Of every text those suffixes are kept whose first
+residues are the least of their window by a hash, so that two texts that share a long enough stretch keep the
+same suffix of it. The suffixes of all texts are partitioned by ligand and prefix and sorted there in the
+order of their residues; what has no neighbour under the same ligand with a common prefix drops out. Suffixes from
+different splits that are left share a span, which fixes how their texts lie on each other. What lies so is compared
+residue by residue, which gives all shared spans, and these are merged into the coverage of a record.
 """
 
 from __future__ import annotations
@@ -16,51 +17,67 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from tessera.functions.smiles import ligand_keys
+from tessera.functions.smiles import ligand_keys, same_ligands
 from tessera.persist import cut
 
 #: At most so many residues may be missing or added at each end, and of 100 compared ones so many differ.
 END, PERCENT = 25, 3
-#: Prefix length and window of the kept suffixes: texts that share PREFIX + WINDOW - 1 = 25 residues share
-#: one. With 3 % differing, 100 compared residues have such a stretch; texts that may have fewer compared
-#: (up to SHORT long) also keep suffixes of the shorter kind, which need 17.
-PREFIX, WINDOW = 12, 14
-SHORT, SHORT_PREFIX, SHORT_WINDOW = 200, 6, 12
-#: Texts of one ligand that go into one task together; of a ligand with more the suffixes are shuffled, not the
-#: texts, and a prefix that more held-out texts share is parted into so many of them each.
+
+
+def least_run(n: int) -> int:
+    """Residues in a row that are equal in any two alike texts of which ``n`` residues are compared."""
+    differ = n * PERCENT // 100
+    return -(-(n - differ) // (differ + 1))
+
+
+#: Prefix length and window of the kept suffixes, and the lengths of the texts that keep such: texts that share
+#: prefix + window - 1 residues in a row keep a common suffix. A pair is compared over its shorter text's length less
+#: END at least, and ``least_run`` of that is shared: 25 from 100 residues on, 17 from 17 on. The pairs whose
+#: shorter text is below the first bound are found by the next line, whose upper bound is 2 * END more; the last
+#: keeps every suffix by its first residue, so no pair of texts of any length is lost.
+SCALES = ((12, 14, 125, 1 << 40), (6, 12, 42, 125 + 2 * END), (1, 1, 1, 42 + 2 * END))
+#: A prefix that more held-out texts of a ligand share is parted into so many of them each.
 TOGETHER = 4096
 
 _MULT = np.uint64(0x9E3779B97F4A7C15)
 
 
 def chain(c):  # noqa: ANN001, ANN201
-    """Without white space, ``-``, ``*`` and letter case; null where nothing is left."""
+    """Without white space, ``-``, ``*`` and letter case."""
     plain = ~c.rlike("[^A-Za-z]")
-    s = F.upper(F.when(plain, c).otherwise(F.regexp_replace(c, r"[\s\-*\x{85}\x{a0}\x{1680}\x{2000}-\x{200a}\x{2028}\x{2029}\x{202f}\x{205f}\x{3000}]+", "")))
-    return F.when(s != "", s)
+    return F.upper(F.when(plain, c).otherwise(F.regexp_replace(c, r"[\s\-*\x{85}\x{a0}\x{1680}\x{2000}-\x{200a}\x{2028}\x{2029}\x{202f}\x{205f}\x{3000}]+", "")))
+
 
+_LIGAND = ["k1", "k2", "k3"]
 
-def keyed(rows: DataFrame, row: str = "row_id", split: str = "split_name", smiles: str = "smiles", sequence: str = "sequence") -> tuple[DataFrame, DataFrame]:
-    """``(row, train, k1, k2, chain_id)`` of rows in a known split with a ligand and a chain, and ``(chain_id, chain)``.
 
-    Each distinct SMILES is read once. Texts that aren't SMILES and empty chains match nothing.
+def keyed(rows: DataFrame, row: str = "row_id", split: str = "split_name", smiles: str = "smiles", sequence: str = "sequence") -> tuple[DataFrame, DataFrame, DataFrame]:
+    """``(row, train, k1, k2, k3, smiles_id, chain_id)`` of rows in a known split with a ligand and a chain, ``(chain_id, chain)`` and
+    ``(smiles_id, smiles, k1, k2)``, all written to the shared folder.
+
+    Each distinct SMILES is read once and each distinct chain kept once, known by its 128-bit digest. Texts that aren't
+    SMILES and empty chains match nothing.
     """
     side = F.lower(F.trim(F.col(split)))
     base = rows.where(side.isin("train", "val", "test")).select(F.col(row).cast("bigint").alias("row"), (side == "train").alias("train"), F.col(smiles).alias("smiles"), chain(F.col(sequence)).alias("chain"))
-    base = base.where("row is not null and smiles is not null and chain is not null").withColumn("chain_id", F.xxhash64("chain"))
+    # The digest is taken from a column of its own and nothing filters by the chain, so each chain is cleaned once.
+    base = base.where("row is not null and smiles is not null").withColumn("chain_id", F.when(F.col("chain") != "", F.unhex(F.md5("chain"))))
 
     def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             texts = b.column(0).to_pylist()
             for lo in range(0, len(texts), 4096):
                 part = texts[lo : lo + 4096]
-                keys = ligand_keys(part)
-                ok = [(t, *k) for t, k in zip(part, keys) if k is not None]
+                ok = [(t, *k) for t, k in zip(part, ligand_keys(part)) if k is not None]
                 yield pa.RecordBatch.from_arrays([pa.array([x[0] for x in ok], pa.string()), pa.array([x[1] for x in ok], pa.int64()), pa.array([x[2] for x in ok], pa.int64())], names=["smiles", "k1", "k2"])
 
-    keys = base.select("smiles").distinct().mapInArrow(read, "smiles string, k1 bigint, k2 bigint")
-    narrow = cut(base.select("row", "train", "smiles", "chain_id").join(keys, "smiles").select("row", "train", "k1", "k2", "chain_id"), "keyed")
-    return narrow, base.select("chain").distinct().withColumn("chain_id", F.xxhash64("chain"))
+    # A number of partitions keeps adaptive execution from joining them; reading SMILES is work, not bytes.
+    parts = int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    keys = base.select("smiles").distinct().repartition(parts, "smiles").mapInArrow(read, "smiles string, k1 bigint, k2 bigint")
+    keys = cut(keys.withColumn("smiles_id", F.monotonically_increasing_id()), "keys")
+    narrow = base.select("row", "train", "smiles", "chain_id").join(keys, "smiles").select("row", "train", "k1", "k2", F.lit(0).alias("k3"), "smiles_id", "chain_id")
+    chains = cut(base.select("chain_id", "chain").dropDuplicates(["chain_id"]), "chains")
+    return cut(narrow, "keyed").where("chain_id is not null"), chains.where("chain_id is not null"), keys
 
 
 def _window_min(v: np.ndarray, w: int) -> np.ndarray:
@@ -74,40 +91,109 @@ def _window_min(v: np.ndarray, w: int) -> np.ndarray:
     return got
 
 
-def kept_suffixes(text: np.ndarray, starts: np.ndarray, ends: np.ndarray, k: int, w: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Text number, place and prefix hash of the suffixes kept of texts that lie in one array."""
+def _codes(texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
+    """The texts one behind the other as numbers of their residues, and their lengths."""
+    whole = "".join(texts)
+    flat = np.frombuffer(whole.encode(), np.uint8) if whole.isascii() else np.frombuffer(whole.encode("utf-32-le"), np.uint32)
+    return flat, np.array([len(t) for t in texts], np.int64)
+
+
+def kept_suffixes(text: np.ndarray, lengths: np.ndarray, k: int, w: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Text number, place and first ``k`` residues of the suffixes kept of texts that lie in one array.
+
+    The residues are packed five bits each, so numbers are in the order of the letters; what is no letter
+    shares the five codes behind them, which can add candidates but lose none.
+    """
+    ends = np.cumsum(lengths)
+    starts = ends - lengths
     none = (np.array([], np.int64),) * 2 + (np.array([], np.uint64),)
-    if len(text) < k:
+    if len(text) < k + w - 1:
         return none
-    code = np.zeros(len(text) - k + 1, np.uint64)
+    small = np.where((text >= 65) & (text <= 90), text - 64, 27 + text % 5).astype(np.uint64)
+    packed = np.zeros(len(text) - k + 1, np.uint64)
     for j in range(k):
-        code = code * _MULT + text[j : len(text) - k + 1 + j]
-    code = (code ^ (code >> np.uint64(29))) * _MULT
-    lengths = ends - starts
-    which, place = [], []
-    # A window has w prefixes, or all there are in a text with fewer.
-    long = np.flatnonzero(lengths >= k + w - 1)
-    if len(long) and len(code) >= w:
-        # The hash above and the place below in one number, so the least of a window is one suffix.
+        packed = (packed << np.uint64(5)) | small[j : len(text) - k + 1 + j]
+    if w == 1:
+        place = np.arange(len(packed))
+    else:
+        # Hash above and place below in one number, so the least of a window is one suffix.
+        code = packed * _MULT
+        code = (code ^ (code >> np.uint64(29))) * _MULT
         at = np.arange(len(code), dtype=np.uint64) & np.uint64(0xFFFFFF)
         least = _window_min((code & ~np.uint64(0xFFFFFF)) | at, w)
         owner = np.repeat(np.arange(len(starts)), lengths)
-        inside = np.arange(len(least)) + k + w - 1 <= ends[owner[: len(least)]]
-        first = np.flatnonzero(inside)
-        pick = (least[first] & np.uint64(0xFFFFFF)).astype(np.int64)
-        pick = (first & ~0xFFFFFF) | pick
-        pick = np.where(pick < first, pick + 0x1000000, pick)
-        pick = np.unique(pick)
-        which.append(owner[pick] if len(pick) else pick)
-        place.append(pick)
-    for i in np.flatnonzero((lengths >= k) & (lengths < k + w - 1)):
-        span = code[starts[i] : ends[i] - k + 1]
-        which.append(np.array([i]))
-        place.append(np.array([starts[i] + int(np.argmin(span))]))
-    if not place:
-        return none
-    which, place = np.concatenate(which), np.concatenate(place)
-    return which.astype(np.int64), place - starts[which], code[place]
+        first = np.flatnonzero(np.arange(len(least)) + k + w - 1 <= ends[owner[: len(least)]])
+        pick = (first & ~0xFFFFFF) | (least[first] & np.uint64(0xFFFFFF)).astype(np.int64)
+        place = np.unique(np.where(pick < first, pick + 0x1000000, pick))
+    which = np.searchsorted(ends, place, side="right")
+    inside = place + k <= ends[which]
+    which, place = which[inside], place[inside]
+    return which, place - starts[which], packed[place]
+
+
+def suffixes(texts: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Text number, place and prefix of all suffixes kept of ``texts``, prefixes of other lengths in other ranges."""
+    flat, lengths = _codes(texts)
+    ends = np.cumsum(lengths)
+    parts = []
+    for n, (k, w, low, high) in enumerate(SCALES):
+        of = np.flatnonzero((lengths >= low) & (lengths < high))
+        if len(of):
+            some = flat if len(of) == len(lengths) else np.concatenate([flat[ends[i] - lengths[i] : ends[i]] for i in of])
+            which, place, code = kept_suffixes(some, lengths[of], k, w)
+            parts.append((of[which], place, code | (np.uint64(n) << np.uint64(61))))
+    if not parts:
+        return np.array([], np.int64), np.array([], np.int64), np.array([], np.uint64)
+    which, place, code = (np.concatenate(x) for x in zip(*parts))
+    return which, place, code
+
+
+#: Residues whose suffixes are computed at once.
+_RESIDUES = 1 << 20
+_SUFFIX = "k1 bigint, prefix bigint, class bigint, spot bigint"
+
+
+def _suffix_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """``(k1, prefix, class, spot)`` of the kept suffixes of ``(k1, class, train, held, chain)``; a spot is the place times
+    four, plus one if the text is in train and two if it is held out."""
+    for b in batches:
+        k1, cls = b.column(0).to_numpy(), b.column(1).to_numpy()
+        side = b.column(2).to_numpy(zero_copy_only=False) + 2 * b.column(3).to_numpy(zero_copy_only=False)
+        texts = b.column(4).to_pylist()
+        lo = 0
+        while lo < len(texts):
+            hi, size = lo + 1, len(texts[lo])
+            while hi < len(texts) and size + len(texts[hi]) <= _RESIDUES:
+                size += len(texts[hi])
+                hi += 1
+            which, place, code = suffixes(texts[lo:hi])
+            which = which + lo
+            yield pa.RecordBatch.from_arrays([pa.array(k1[which]), pa.array(code.view(np.int64)), pa.array(cls[which]), pa.array(place * 4 + side[which].astype(np.int64))], names=["k1", "prefix", "class", "spot"])
+            lo = hi
+
+
+def _with_neighbour(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Of suffixes sorted by ligand and prefix those that share the prefix with the one before or behind.
+
+    Holds a batch and the one row before it.
+    """
+    held: pa.RecordBatch | None = None
+    linked = False
+    for b in batches:
+        if held is not None:
+            b = pa.Table.from_batches([held, b]).combine_chunks().to_batches()[0]
+        k, p = b.column(0).to_numpy(), b.column(1).to_numpy()
+        same = (k[1:] == k[:-1]) & (p[1:] == p[:-1])
+        keep = np.zeros(len(k), bool)
+        keep[1:] |= same
+        keep[:-1] |= same
+        keep[0] |= linked
+        # The last row waits for the one behind it.
+        linked, held = bool(keep[-1]), b.slice(len(k) - 1)
+        keep[-1] = False
+        yield b.filter(pa.array(keep))
+    if held is not None and linked:
+        yield held
 
 
 def _alike(a: np.ndarray, b: np.ndarray, shift: int) -> tuple[np.ndarray, np.ndarray] | None:
@@ -125,168 +211,96 @@ def _alike(a: np.ndarray, b: np.ndarray, shift: int) -> tuple[np.ndarray, np.nda
     return turns[::2], turns[1::2]
 
 
-def suffixes(chains: list[bytes]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Text number, place and prefix hash of all suffixes kept of ``chains``."""
-    lengths = np.array([len(c) for c in chains], np.int64)
-    ends = np.cumsum(lengths)
-    starts = ends - lengths
-    text = np.frombuffer(b"".join(chains), np.uint8).astype(np.uint64)
-    parts = [kept_suffixes(text, starts, ends, PREFIX, WINDOW)]
-    short = np.flatnonzero(lengths < SHORT)
-    if len(short):
-        small = np.concatenate([text[starts[i] : ends[i]] for i in short])
-        e = np.cumsum(lengths[short])
-        w, p, h = kept_suffixes(small, e - lengths[short], e, SHORT_PREFIX, SHORT_WINDOW)
-        parts.append((short[w], p, h ^ _MULT))
-    which, place, code = (np.concatenate(x) for x in zip(*parts))
-    return which, place, code
-
-
-def find_in_ligands(ligand: np.ndarray, chains: list[bytes], train: np.ndarray, held: np.ndarray) -> list[tuple[int, int, list[int], list[int]]]:
-    """``(text in train, text held out, starts, ends)`` of one block, with the equal spans on the held-out text.
-
-    One of each way that a pair lies on each other; texts lie sorted by ligand.
-    """
-    which, place, code = suffixes(chains)
-    order = np.lexsort((which, code, ligand[which]))
-    which, place, code = which[order], place[order], code[order]
-    owner = ligand[which]
-    out = []
-    tried: set[tuple[int, int, int]] = set()
-    step = 1
-    near = np.arange(len(which) - 1) if len(which) > 1 else np.array([], np.int64)
-    while len(near):
-        near = near[near + step < len(which)]
-        near = near[(code[near] == code[near + step]) & (owner[near] == owner[near + step])]
-        a, b = which[near], which[near + step]
-        cross = (a != b) & ((train[a] & held[b]) | (train[b] & held[a]))
-        shift = place[near] - place[near + step]
-        cross &= np.abs(shift) <= END
-        for x, y, s in set(zip(a[cross].tolist(), b[cross].tolist(), shift[cross].tolist())):
-            if (x, y, s) in tried:
-                continue
-            tried.add((x, y, s))
-            ca, cb = chains[x], chains[y]
-            spans = _alike(np.frombuffer(ca, np.uint8), np.frombuffer(cb, np.uint8), s)
-            if spans is None:
-                continue
-            lo, hi = spans
-            if train[x] and held[y]:
-                out.append((x, y, (lo - s).tolist(), (hi - s).tolist()))
-            if train[y] and held[x]:
-                out.append((y, x, lo.tolist(), hi.tolist()))
-        step += 1
-    return out
-
-
+_PAIR = [*_LIGAND, "train_chain", "held_chain"]
+_FOUND = "k1 bigint, k2 bigint, k3 int, train_chain binary, held_chain binary, held_length bigint, lo array<int>, hi array<int>"
 _TEXTS = 2000
-_PAIR = ["k1", "k2", "train_chain", "held_chain"]
-_FOUND = "k1 bigint, k2 bigint, train_chain bigint, held_chain bigint, held_length bigint, lo array<int>, hi array<int>"
 
 
 def _found(rows: Iterable[tuple]) -> pa.RecordBatch:
-    cols = list(zip(*rows)) or [[]] * 7
-    kinds = [pa.int64()] * 5 + [pa.list_(pa.int32())] * 2
+    cols = list(zip(*rows)) or [[]] * 8
+    kinds = [pa.int64()] * 2 + [pa.int32()] + [pa.binary()] * 2 + [pa.int64()] + [pa.list_(pa.int32())] * 2
     return pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(cols, kinds)], names=[x.split()[0] for x in _FOUND.split(", ")])
 
 
-def _find(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Over rows sorted by ligand: ligands are gathered whole, many small ones at a time."""
-
-    def search(rows: list[tuple]) -> pa.RecordBatch:
-        cell = np.cumsum([0] + [int(x[:2] != y[:2]) for x, y in zip(rows, rows[1:])])
-        got = find_in_ligands(cell, [r[3] for r in rows], np.array([r[4] for r in rows]), np.array([r[5] for r in rows]))
-        return _found((rows[x][0], rows[x][1], rows[x][2], rows[y][2], len(rows[y][3]), lo, hi) for x, y, lo, hi in got)
-
-    rows: list[tuple] = []
-    for b in batches:
-        names = ("k1", "k2", "chain_id", "chain", "train", "held")
-        cols = [b.column(b.schema.get_field_index(n)) for n in names]
-        cols[3] = cols[3].cast(pa.binary())
-        rows += zip(*[c.to_pylist() for c in cols])
-        if len(rows) >= _TEXTS:
-            end = len(rows) - 1
-            while end > 0 and rows[end][:2] == rows[end - 1][:2]:
-                end -= 1
-            if end:
-                yield search(rows[:end])
-                rows = rows[end:]
-    if rows:
-        yield search(rows)
-
-
-#: Residues whose suffixes are computed at once.
-_RESIDUES = 1 << 20
-
-
-def _suffix_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """``(chain_id, code, place)`` of the kept suffixes of ``(chain_id, chain)``."""
-    for b in batches:
-        ids, texts = b.column(0).to_numpy(), b.column(1).cast(pa.binary()).to_pylist()
-        lo = 0
-        while lo < len(texts):
-            hi, size = lo + 1, len(texts[lo])
-            while hi < len(texts) and size + len(texts[hi]) <= _RESIDUES:
-                size += len(texts[hi])
-                hi += 1
-            which, place, code = suffixes(texts[lo:hi])
-            yield pa.RecordBatch.from_arrays([pa.array(ids[lo:hi][which], pa.int64()), pa.array(code.view(np.int64)), pa.array(place, pa.int32())], names=["chain_id", "code", "place"])
-            lo = hi
-
-
 def _compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Of ``(k1, k2, train_chain, held_chain, shift, train_text, held_text)`` those that are the same chain."""
+    """Of ``(k1, k2, k3, train_chain, held_chain, shift, train_text, held_text)`` those that are the same chain."""
     for b in batches:
         for lo in range(0, b.num_rows, _TEXTS):
             out = []
-            for k1, k2, t, h, shift, a, c in zip(*[x.to_pylist() for x in b.slice(lo, _TEXTS).columns]):
-                c = c.encode()
-                spans = _alike(np.frombuffer(c, np.uint8), np.frombuffer(a.encode(), np.uint8), shift)
+            for k1, k2, k3, t, h, shift, a, c in zip(*[x.to_pylist() for x in b.slice(lo, _TEXTS).columns]):
+                spans = _alike(_codes([c])[0], _codes([a])[0], shift)
                 if spans is not None:
-                    out.append((k1, k2, t, h, len(c), spans[0].tolist(), spans[1].tolist()))
+                    out.append((k1, k2, k3, t, h, len(c), spans[0].tolist(), spans[1].tolist()))
             yield _found(out)
 
 
-def _spread(classes: DataFrame, large: DataFrame, chains: DataFrame) -> DataFrame:
-    """:func:`alignments` of unequal chains under ligands with so many of them that no task may hold one whole.
+def _within_reach(classes: DataFrame, chains: DataFrame) -> DataFrame:
+    """Classes with another of the other side under their ligand whose text is at most 2 * END longer or shorter, by bands of
+    lengths: ``classes`` with ``chain``."""
+    sized = classes.join(chains.select("chain_id", F.length("chain").alias("n")), "chain_id").withColumn("band", F.floor(F.col("n") / (2 * END + 1)))
+    by = sized.groupBy(*_LIGAND, "band").agg(F.count_if("train").alias("t"), F.count_if("held").alias("h"), F.count_if(F.col("train") & F.col("held")).alias("b"))
+    near = by.select(*_LIGAND, F.explode(F.array(F.col("band") - 1, "band", F.col("band") + 1)).alias("band"), "t", "h", "b").groupBy(*_LIGAND, "band").agg(*[F.sum(c).alias(c) for c in "thb"])
+    # A class of both sides isn't its own neighbour.
+    own = (F.col("train") & F.col("held")).cast("int")
+    ok = (F.col("train") & (F.col("h") > own)) | (F.col("held") & (F.col("t") > own))
+    return sized.join(near, [*_LIGAND, "band"]).where(ok).select(*_LIGAND, "chain_id", "train", "held").join(chains, "chain_id")
+
+
+def alignments(narrow: DataFrame, chains: DataFrame) -> DataFrame:
+    """Each way that two chains under one ligand lie on each other: ``(k1, k2, k3, train_chain, held_chain, held_length,
+    lo, hi)``, with starts and ends of the equal spans on the held chain. Written to the shared folder.
 
-    Suffixes are computed once per chain, and texts fetched for candidate pairs only.
+    Records with the same ligand and chain are one class, so copies cost nothing here. Equal chains are a match by
+    themselves. Suffixes are partitioned by ligand and prefix, so no task holds a ligand; texts are fetched for candidate
+    pairs only.
     """
-    lig = ["k1", "k2"]
-    of = cut(classes.join(large, lig).select(*lig, "chain_id", "train", "held"), "of")
-    kept = of.select("chain_id").distinct().join(chains, "chain_id").select("chain_id", "chain").mapInArrow(_suffix_rows, "chain_id bigint, code bigint, place int")
-    at = cut(of.join(kept, "chain_id"), "suffixes")
-    key = [*lig, "code"]
-    hot = at.groupBy(*key).agg(F.count_if("train").alias("t"), F.count_if("held").alias("h")).where("t > 0 and h > 0")
-    at = at.join(hot.select(*key, F.ceil(F.col("h") / TOGETHER).cast("int").alias("parts")), key)
-    held = at.where("held").select(*key, F.pmod(F.xxhash64("chain_id", "place"), "parts").cast("int").alias("part"), F.col("chain_id").alias("held_chain"), F.col("place").alias("held_place"))
-    train = at.where("train").select(*key, F.explode(F.sequence(F.lit(0), F.col("parts") - 1)).alias("part"), F.col("chain_id").alias("train_chain"), "place")
-    pairs = train.join(held, [*key, "part"]).where("train_chain <> held_chain").select(*_PAIR, (F.col("held_place") - F.col("place")).alias("shift"))
+    classes = cut(narrow.groupBy(*_LIGAND, "chain_id").agg(F.max("train").alias("train"), F.max(~F.col("train")).alias("held")), "classes")
+    texts = cut(_within_reach(classes, chains).withColumn("class", F.monotonically_increasing_id()), "texts")
+    kept = texts.select("k1", "class", "train", "held", "chain").mapInArrow(_suffix_rows, _SUFFIX)
+    shared = cut(kept.repartition("k1", "prefix").sortWithinPartitions("k1", "prefix").mapInArrow(_with_neighbour, _SUFFIX), "shared")
+    shared = shared.select("k1", "prefix", "class", F.shiftright("spot", 2).alias("place"), (F.col("spot") % 2 == 1).alias("train"), (F.shiftright("spot", 1) % 2 == 1).alias("held"))
+    sides = shared.groupBy("k1", "prefix").agg(F.count_if("train").alias("t"), F.count_if("held").alias("h")).where("t > 0 and h > 0")
+    cross = shared.join(sides.select("k1", "prefix", F.ceil(F.col("h") / TOGETHER).cast("int").alias("parts")), ["k1", "prefix"])
+    held = cross.where("held").select("k1", "prefix", F.pmod(F.xxhash64("class", "place"), "parts").cast("int").alias("part"), F.col("class").alias("h"), F.col("place").alias("held_place"))
+    train = cross.where("train").select("k1", "prefix", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)).alias("part"), F.col("class").alias("t"), "place")
+    pairs = train.join(held, ["k1", "prefix", "part"]).where("t <> h").select("t", "h", (F.col("held_place") - F.col("place")).cast("int").alias("shift"))
     pairs = pairs.where(F.abs("shift") <= END).distinct()
-    texts = pairs.join(chains.select(F.col("chain_id").alias("train_chain"), F.col("chain").alias("train_text")), "train_chain").join(chains.select(F.col("chain_id").alias("held_chain"), F.col("chain").alias("held_text")), "held_chain")
-    return texts.select(*_PAIR, "shift", "train_text", "held_text").mapInArrow(_compare, _FOUND)
+    left = texts.select(F.col("class").alias("t"), *_LIGAND, F.col("chain_id").alias("train_chain"), F.col("chain").alias("train_text"))
+    right = texts.select(F.col("class").alias("h"), *[F.col(k).alias(f"_{k}") for k in _LIGAND], F.col("chain_id").alias("held_chain"), F.col("chain").alias("held_text"))
+    both = pairs.join(left, "t").join(right, "h").where(" and ".join(f"{k} = _{k}" for k in _LIGAND))
+    near = both.select(*_PAIR, "shift", "train_text", "held_text").mapInArrow(_compare, _FOUND)
+    equal = classes.where("train and held").join(chains.select("chain_id", F.length("chain").alias("n")), "chain_id")
+    equal = equal.select(*_LIGAND, F.col("chain_id").alias("train_chain"), F.col("chain_id").alias("held_chain"), F.col("n").cast("bigint").alias("held_length"), F.array(F.lit(0)).alias("lo"), F.array("n").alias("hi"))
+    return cut(near.unionByName(equal), "matches")
 
 
-def alignments(narrow: DataFrame, chains: DataFrame) -> DataFrame:
-    """Each way that two chains under one ligand lie on each other: ``(k1, k2, train_chain, held_chain, held_length,
-    lo, hi)``, with starts and ends of the equal spans on the held chain.
+def _strays(found: DataFrame, narrow: DataFrame, keys: DataFrame) -> DataFrame:
+    """``(smiles_id)`` of the texts under a matched ligand key that are another ligand than the key's first text, atom by atom.
 
-    Records with the same ligand and chain are one class, so copies cost nothing here. Only ligands found
-    on both sides go on. Equal chains are a match by themselves.
+    Keys are hashes of the graphs; this is the exact check behind them.
     """
-    lig = ["k1", "k2"]
-    classes = narrow.groupBy(*lig, "chain_id").agg(F.max("train").alias("train"), F.max(~F.col("train")).alias("held"))
-    classes = cut(classes, "classes")
-    both = classes.groupBy(*lig).agg(F.max("train").alias("t"), F.max("held").alias("h"), F.count("*").alias("n")).where("t and h")
-    several = cut(both.where("n > 1").select(*lig, "n"), "several")
-    cells = classes.join(several.where(F.col("n") <= TOGETHER).select(*lig), lig).join(chains, "chain_id")
-    near = cells.repartition(*lig).sortWithinPartitions(*lig).mapInArrow(_find, _FOUND)
-    large = several.where(F.col("n") > TOGETHER).select(*lig)
-    if not large.isEmpty():
-        near = near.unionByName(_spread(classes, large, chains))
-    equal = classes.where("train and held").join(chains.select("chain_id", F.octet_length("chain").alias("n")), "chain_id")
-    equal = equal.select(*lig, F.col("chain_id").alias("train_chain"), F.col("chain_id").alias("held_chain"), F.col("n").cast("bigint").alias("held_length"), F.array(F.lit(0)).alias("lo"), F.array("n").alias("hi"))
-    return near.unionByName(equal)
+    used = narrow.join(found.select(*_LIGAND).distinct(), _LIGAND).select(*_LIGAND, "smiles_id").distinct()
+    texts = used.join(keys.select("smiles_id", "smiles"), "smiles_id")
+    first = texts.groupBy(*_LIGAND).agg(F.min("smiles").alias("first"))
+
+    def other(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            same = same_ligands(b.column(1).to_pylist(), b.column(2).to_pylist())
+            yield pa.RecordBatch.from_arrays([b.column(0).filter(pa.array([not x for x in same], pa.bool_()))], names=["smiles_id"])
+
+    return cut(texts.join(first, _LIGAND).where("smiles <> first").select("smiles_id", "smiles", "first").mapInArrow(other, "smiles_id bigint"), "strays")
+
+
+def resolved(rows: DataFrame, **columns: str) -> tuple[DataFrame, DataFrame]:
+    """Keyed rows and their alignments, the ligand keys exact: different ligands under one hash are told apart by ``k3``."""
+    narrow, chains, keys = keyed(rows, **columns)
+    while True:
+        found = alignments(narrow, chains)
+        strays = _strays(found, narrow, keys)
+        if strays.isEmpty():
+            return narrow, found
+        moved = narrow.join(strays.withColumn("_moved", F.lit(1)), "smiles_id", "left")
+        narrow = cut(moved.withColumn("k3", F.col("k3") + F.coalesce("_moved", F.lit(0))).drop("_moved"), "keyed")
 
 
 def overlaps(rows: DataFrame, **columns: str) -> DataFrame:
@@ -295,32 +309,47 @@ def overlaps(rows: DataFrame, **columns: str) -> DataFrame:
     The smaller row id comes first. Rows of unknown split, without ligand or without chain have no pairs;
     repeated records each have their own; an empty table gives an empty result.
     """
-    narrow, chains = keyed(rows, **columns)
-    pairs = cut(alignments(narrow, chains).select(*_PAIR).distinct(), "matches")
-    t = narrow.where("train").select("k1", "k2", F.col("chain_id").alias("train_chain"), F.col("row").alias("t"))
-    h = narrow.where("not train").select("k1", "k2", F.col("chain_id").alias("held_chain"), F.col("row").alias("h"))
-    out = pairs.join(t, ["k1", "k2", "train_chain"]).join(h, ["k1", "k2", "held_chain"])
+    narrow, found = resolved(rows, **columns)
+    pairs = found.select(*_PAIR).distinct()
+    t = narrow.where("train").select(*_LIGAND, F.col("chain_id").alias("train_chain"), F.col("row").alias("t"))
+    h = narrow.where("not train").select(*_LIGAND, F.col("chain_id").alias("held_chain"), F.col("row").alias("h"))
+    out = pairs.join(t, [*_LIGAND, "train_chain"]).join(h, [*_LIGAND, "held_chain"])
     return out.select(F.least("t", "h").alias("row_id_1"), F.greatest("t", "h").alias("row_id_2"))
 
 
+def links(rows: DataFrame, **columns: str) -> DataFrame:
+    """One row per row with a link: ``(row_id, class_id, n_links)``.
+
+    A class is all rows with one ligand and one chain, named by its smallest row; ``n_links`` counts the rows of the other
+    side whose chain is the same or nearly so. Copies aren't expanded into pairs.
+    """
+    narrow, found = resolved(rows, **columns)
+    sizes = cut(narrow.groupBy(*_LIGAND, "chain_id").agg(F.min("row").alias("class_id"), F.count_if("train").alias("n_train"), F.count_if(~F.col("train")).alias("n_held")), "sizes")
+    pairs = cut(found.select(*_PAIR).distinct(), "pairs")
+    n = sizes.select(*_LIGAND, "chain_id", "n_train", "n_held")
+    held = pairs.join(n.withColumnRenamed("chain_id", "train_chain"), [*_LIGAND, "train_chain"]).groupBy(*_LIGAND, F.col("held_chain").alias("chain_id")).agg(F.sum("n_train").alias("n_links")).withColumn("train", F.lit(False))
+    train = pairs.join(n.withColumnRenamed("chain_id", "held_chain"), [*_LIGAND, "held_chain"]).groupBy(*_LIGAND, F.col("train_chain").alias("chain_id")).agg(F.sum("n_held").alias("n_links")).withColumn("train", F.lit(True))
+    by = held.unionByName(train).join(sizes.select(*_LIGAND, "chain_id", "class_id"), [*_LIGAND, "chain_id"])
+    return narrow.join(by, [*_LIGAND, "chain_id", "train"]).select(F.col("row").alias("row_id"), "class_id", "n_links")
+
+
 def coverage(rows: DataFrame) -> DataFrame:
     """One row per held-out row that some train row overlaps: ``(row_id, train_rows, covered)``.
 
     ``covered`` is the share of its chain that train chains under the same ligand repeat, each where it
     lies on the held chain as the same chain: the equal spans of all of them united.
     """
-    narrow, chains = keyed(rows)
-    found = cut(alignments(narrow, chains), "matches")
-    at = ["k1", "k2", "held_chain"]
-    n = narrow.where("train").groupBy("k1", "k2", F.col("chain_id").alias("train_chain")).agg(F.count("*").alias("n"))
-    by = found.select(*_PAIR).distinct().join(n, ["k1", "k2", "train_chain"]).groupBy(*at).agg(F.sum("n").alias("train_rows"))
+    narrow, found = resolved(rows)
+    at = [*_LIGAND, "held_chain"]
+    n = narrow.where("train").groupBy(*_LIGAND, F.col("chain_id").alias("train_chain")).agg(F.count("*").alias("n"))
+    by = found.select(*_PAIR).distinct().join(n, [*_LIGAND, "train_chain"]).groupBy(*at).agg(F.sum("n").alias("train_rows"))
     # Of spans with one start the longest holds the others, so no held chain has more of them than residues.
     spans = found.select(*at, "held_length", F.inline(F.arrays_zip("lo", "hi"))).groupBy(*at, "lo").agg(F.max("hi").alias("hi"), F.max("held_length").alias("held_length"))
     before = F.max("hi").over(Window.partitionBy(*at).orderBy("lo").rowsBetween(Window.unboundedPreceding, -1))
     new = spans.withColumn("new", F.greatest(F.col("hi") - F.greatest("lo", F.coalesce(before, F.lit(0))), F.lit(0)))
     share = new.groupBy(*at).agg((F.sum("new") / F.max("held_length")).alias("covered"))
     by = by.join(share, at).withColumnRenamed("held_chain", "chain_id")
-    return narrow.where("not train").join(by, ["k1", "k2", "chain_id"]).select(F.col("row").alias("row_id"), "train_rows", "covered")
+    return narrow.where("not train").join(by, [*_LIGAND, "chain_id"]).select(F.col("row").alias("row_id"), "train_rows", "covered")
 
 
 def report(rows: DataFrame) -> DataFrame:

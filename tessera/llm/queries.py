@@ -50,6 +50,11 @@ def p5_found(spark: SparkSession, d: str) -> DataFrame:
     return overlap.overlaps(table(spark, d, "prepared_rows"))
 
 
+def p5_links(spark: SparkSession, d: str) -> DataFrame:
+    """Rows with an overlap, the class of equal ones they are in, and how many rows of the other side they meet."""
+    return overlap.links(table(spark, d, "prepared_rows"))
+
+
 def p5_coverage(spark: SparkSession, d: str) -> DataFrame:
     return overlap.coverage(table(spark, d, "prepared_rows"))
 
@@ -102,7 +107,7 @@ def p8_hosts(spark: SparkSession, d: str) -> DataFrame:
     return s.groupBy("host").agg(F.count("*").alias("n_pages"), F.count_if(F.col("smoothed") > 0.5).alias("n_spam"))
 
 
-QUERIES = {f.__name__: f for f in (p1_found, p1_assign, p1_report, p1_incremental, p5_found, p5_coverage, p5_report, p6_ids, p6_round_trip, p7_found, p7_mix, p7_report, p8_found, p8_hosts)}
+QUERIES = {f.__name__: f for f in (p1_found, p1_assign, p1_report, p1_incremental, p5_found, p5_links, p5_coverage, p5_report, p6_ids, p6_round_trip, p7_found, p7_mix, p7_report, p8_found, p8_hosts)}
 
 SQL: dict[str, str] = {
     "p6_round_trip": "SELECT doc_id FROM documents WHERE false",

@@ -155,15 +155,6 @@ def test_overlaps_by_brute_force(spark):
     assert sum(r.n_rows for r in rep) == sum(s in ("val", "test") for s in split.values()) and sum(r.n_overlapping for r in rep) == len(cover)
 
 
-def test_many_texts_of_one_ligand_are_spread(spark, monkeypatch):
-    rng = random.Random(3)
-    bases = ["".join(rng.choice("ACDEFGHIKLMNPQRSTVWY") for _ in range(300)) for _ in range(6)]
-    rows = [(i, rng.choice(["train", "val"]), "CCO", variant(rng, rng.choice(bases)), "s", 1) for i in range(80)]
-    whole = {tuple(r) for r in overlap.overlaps(prepared(spark, rows)).collect()}
-    monkeypatch.setattr(overlap, "TOGETHER", 10)
-    assert whole and {tuple(r) for r in overlap.overlaps(prepared(spark, rows)).collect()} == whole
-
-
 def test_empty_overlap(spark):
     assert overlap.overlaps(prepared(spark, [])).count() == 0
     assert overlap.report(prepared(spark, [])).count() == 0
@@ -171,15 +162,14 @@ def test_empty_overlap(spark):
 
 def test_shared_stretch_keeps_a_shared_suffix():
     rng = random.Random(4)
-    for _ in range(200):
-        span = "".join(rng.choice("ACDEFG") for _ in range(overlap.PREFIX + overlap.WINDOW - 1))
-        texts = ["".join(rng.choice("ACDEFG") for _ in range(rng.randrange(60))) + span + "".join(rng.choice("ACDEFG") for _ in range(rng.randrange(60))) for _ in range(2)]
-        raw = np.frombuffer("".join(texts).encode(), np.uint8).astype(np.uint64)
-        ends = np.cumsum([len(t) for t in texts])
-        starts = ends - [len(t) for t in texts]
-        which, place, code = overlap.kept_suffixes(raw, starts, ends, overlap.PREFIX, overlap.WINDOW)
-        at = {(w, p - texts[w].index(span)) for w, p in zip(which.tolist(), place.tolist())}
-        assert any((0, k) in at and (1, k) in at for k in range(overlap.WINDOW))
+    for k, w, _, _ in overlap.SCALES:
+        for _ in range(200):
+            span = "".join(rng.choice("ACDEFG") for _ in range(k + w - 1))
+            texts = ["".join(rng.choice("ACDEFG") for _ in range(rng.randrange(60))) + span + "".join(rng.choice("ACDEFG") for _ in range(rng.randrange(60))) for _ in range(2)]
+            flat, lengths = overlap._codes(texts)
+            which, place, _ = overlap.kept_suffixes(flat, lengths, k, w)
+            at = {(i, p - texts[i].index(span)) for i, p in zip(which.tolist(), place.tolist())}
+            assert any((0, x) in at and (1, x) in at for x in range(w))
 
 
 # Tokens
