@@ -5,8 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from tessera.operators.graph import connected_components
-from tessera.operators.prefix import hash_slot, running_sum
+from tessera.operators.graph import tied_units
+from tessera.operators.placement import place
 from tessera.persist import cut
 
 
@@ -59,61 +59,38 @@ def time_protein_split(df: DataFrame, protein: str, year: str, n_years: int = 1,
     return j.withColumn("fold", F.when(F.col("_first") >= cutoff, "val").otherwise("train")).drop("_p", "_first")
 
 
-def assign_blocks(sizes: DataFrame, block: str, n: str, shares: dict[str, float], seed: int = 42, large: int = 2000) -> DataFrame:
+def assign_blocks(sizes: DataFrame, block: str | list[str], n: str, shares: dict[str, float], seed: int = 42) -> DataFrame:
     """``(block, n, fold)``: whole blocks to folds near their shares of the rows.
 
-    Blocks with at least one part in ``large`` of the rows, of which there can't be more than ``large``, go one
-    by one, largest first, to the fold that lacks most, first name on a tie. The many small ones follow in
-    hash order along a running sum, cut in proportion to what the folds then lack, so they never meet on
-    the driver.
+    Blocks go largest first, equal ones in hash order, to the fold that lacks most, first name on a tie.
     """
-    names = list(shares)
-    sizes = cut(sizes.select(block, n), "blocks")
+    key = [block] if isinstance(block, str) else block
+    sizes = cut(sizes.select(*key, n), "blocks")
     total = sizes.agg(F.sum(n)).first()[0] or 0
-    edge = max(1, -(-total // large))
-    h = F.xxhash64(F.col(block), F.lit(seed))
-    big = sizes.where(F.col(n) >= edge).orderBy(F.desc(n), h, block).limit(large).collect()
-    lack = {s: shares[s] * total for s in names}
-    placed = []
-    for b in big:
-        best = max(names, key=lambda s: lack[s])
-        lack[best] -= b[n]
-        placed.append((b[block], best))
-    rest = total - sum(b[n] for b in big)
-    left = sum(max(0.0, x) for x in lack.values())
-    at, cuts = 0.0, []
-    for s in names:
-        at += max(0.0, lack[s]) * (rest / left if left else 0)
-        cuts.append((s, at))
-    small = running_sum(sizes.where(F.col(n) < edge).withColumns({"_all": F.lit(0), "_h": h}), ["_all"], {"_before": F.col(n)}, hash_slot(F.col("_h")), ["_h", block])
-    fold = F.coalesce(*[F.when(F.col("_before") + F.col(n) / 2 < c, s) for s, c in cuts], F.lit(cuts[-1][0]))
-    out = small.select(block, n, fold.alias("fold"))
-    if placed:
-        kind = sizes.schema[block].dataType.simpleString()
-        where = F.broadcast(sizes.sparkSession.createDataFrame(placed, f"`{block}` {kind}, fold string"))
-        out = out.unionByName(sizes.join(where, block).select(block, n, "fold"))
-    return out
+    return place(sizes, key, n, {s: share * total for s, share in shares.items()}, seed)
 
 
 def cold_split(df: DataFrame, key: str, shares: dict[str, float], seed: int = 42) -> DataFrame:
-    """All columns and ``fold``, no value of ``key`` in two folds (rows without it are a block of their own)."""
+    """All columns and ``fold``, no value of ``key`` in two folds; the rows without it are one block, in the first fold."""
     sizes = df.groupBy(F.col(key).alias("_b")).agg(F.count("*").alias("_n"))
     folds = assign_blocks(sizes.where("_b is not null"), "_b", "_n", shares, seed)
     first = next(iter(shares))
-    return df.join(folds.select("_b", "fold"), df[key] == folds["_b"], "left").drop("_b").withColumn("fold", F.coalesce("fold", F.lit(first)))
+    return df.join(folds.select("_b", F.col("fold").alias("_fold")), df[key] == folds["_b"], "left").withColumn("fold", F.coalesce("_fold", F.lit(first))).drop("_b", "_fold")
+
 
+def double_cold_split(df: DataFrame, row: str, protein: str, scaffold: str, shares: dict[str, float], seed: int = 42) -> DataFrame:
+    """All columns and ``fold``, no protein and no scaffold in two folds; a missing scaffold ties nothing.
 
-def double_cold_split(df: DataFrame, protein: str, scaffold: str, shares: dict[str, float], seed: int = 42) -> DataFrame:
-    """All columns and ``fold``, no protein and no scaffold in two folds; a missing scaffold ties nothing."""
-    ties = df.select(F.col(protein).alias("p"), F.when(F.col(scaffold) >= 0, F.col(scaffold)).alias("s")).where("p is not null").distinct()
-    hub = ties.where("s is not null").groupBy("s").agg(F.min("p").alias("src"))
-    edges = ties.join(hub, "s").select("src", F.col("p").alias("dst")).unionByName(ties.select(F.col("p").alias("src"), F.col("p").alias("dst")))
-    of = cut(connected_components(edges), "components")
-    tagged = df.join(of.select(F.col("node").alias("_p"), F.col("component").alias("_block")), df[protein] == F.col("_p"), "left").drop("_p")
-    return cold_split(tagged, "_block", shares, seed).drop("_block")
+    A row without protein stays with its scaffold's proteins, or with its scaffold alone; one with neither stands
+    alone. Row ids are unique.
+    """
+    units = cut(tied_units(df.withColumn(scaffold, F.when(F.col(scaffold) >= 0, F.col(scaffold))), row, protein, scaffold), "units")
+    folds = assign_blocks(units.groupBy("unit_kind", "unit").agg(F.count("*").alias("_n")), ["unit_kind", "unit"], "_n", shares, seed)
+    placed = units.join(folds, ["unit_kind", "unit"]).select(F.col("_row"), F.col("fold").alias("_fold"))
+    return df.join(placed, df[row] == placed["_row"]).withColumn("fold", F.col("_fold")).drop("_row", "_fold")
 
 
-def split_pool(df: DataFrame, strategy: str, shares: dict[str, float], protein: str, scaffold: str, year: str, seed: int = 42) -> DataFrame:
+def split_pool(df: DataFrame, strategy: str, shares: dict[str, float], row: str, protein: str, scaffold: str, year: str, seed: int = 42) -> DataFrame:
     """Partition by a named strategy: ``protein``, ``scaffold``, ``double-cold``, ``time`` or ``time-protein``."""
     names = list(shares)
     if strategy == "protein":
@@ -121,7 +98,7 @@ def split_pool(df: DataFrame, strategy: str, shares: dict[str, float], protein:
     if strategy == "scaffold":
         return cold_split(df, scaffold, shares, seed)
     if strategy == "double-cold":
-        return double_cold_split(df, protein, scaffold, shares, seed)
+        return double_cold_split(df, row, protein, scaffold, shares, seed)
     if strategy == "time":
         held = shares[names[-1]]
         mid = shares[names[1]] if len(names) > 2 else 0.0
@@ -134,7 +111,7 @@ def split_pool(df: DataFrame, strategy: str, shares: dict[str, float], protein:
     raise ValueError(f"unknown strategy {strategy!r}")
 
 
-def nested_split(df: DataFrame, test_by: str, val_by: str, val: float, test: float, protein: str, scaffold: str, year: str, seed: int = 42) -> DataFrame:
+def nested_split(df: DataFrame, test_by: str, val_by: str, val: float, test: float, row: str, protein: str, scaffold: str, year: str, seed: int = 42) -> DataFrame:
     """All columns and ``fold``: test is carved first, then validation from the rest, by its own strategy.
 
     Equal strategies are one joint partition. The validation share is of all rows, so it is scaled up for the
@@ -142,7 +119,7 @@ def nested_split(df: DataFrame, test_by: str, val_by: str, val: float, test: flo
     """
     if val < 0 or test < 0 or val + test >= 1:
         raise ValueError("shares must be at least 0 and sum to less than 1")
-    args = (protein, scaffold, year)
+    args = (row, protein, scaffold, year)
     if test_by == val_by and test_by != "time-protein":
         return split_pool(df, test_by, {"train": 1 - val - test, "val": val, "test": test}, *args, seed)
     one = cut(split_pool(df, test_by, {"train": 1 - test, "test": test}, *args, seed), "outer")

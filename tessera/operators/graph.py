@@ -2,55 +2,59 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tessera.persist import cut, drop_cut
+from tessera.persist import cut, cut_counting, drop_cut
 
 
 def connected_components(edges: DataFrame, src: str = "src", dst: str = "dst") -> DataFrame:
     """Component of each node that occurs in ``edges``: ``(node, component)``, component = smallest node.
 
-    Each round every node points at its smallest neighbour, pointers are jumped until all point at
-    roots, and the edges are relabelled by root and deduplicated; the graph at least halves per round,
-    so rounds grow with the logarithm of its size. Rounds are tables in the shared folder.
-    Edges with a null end are ignored; self loops only announce their node; repeated edges change
-    nothing; an empty table gives an empty result.
+    Each round every node points at its smallest neighbour, pointers are jumped until all point at roots, and the
+    edges are relabelled by root and deduplicated. A node with a smaller neighbour is never a root, so every component
+    with edges left loses nodes in each round, usually most of them; a star is done in two rounds whatever its
+    centre. Every table is one write to the shared folder, which also counts what is left; pointers are jumped twice
+    a write. Edges with a null end are ignored; self loops only announce their node; repeated edges change nothing;
+    an empty table gives an empty result.
     """
     spark = edges.sparkSession
     e = edges.select(F.col(src).alias("u"), F.col(dst).alias("v")).where("u is not null and v is not null")
-    first = cut(e.select(F.least("u", "v").alias("u"), F.greatest("u", "v").alias("v")).distinct(), "edges")
+    first, left = cut_counting(e.select(F.least("u", "v").alias("u"), F.greatest("u", "v").alias("v")).distinct(), F.count_if(F.col("u") < F.col("v")), "edges")
     live, labels = first.where("u < v"), None
-    made = [first]
-    while not live.isEmpty():
+    old: DataFrame | None = None
+    while left:
         both = live.select("u", "v").unionByName(live.select(F.col("v").alias("u"), F.col("u").alias("v")))
         parent = cut(both.groupBy(F.col("u").alias("node")).agg(F.least(F.first("u"), F.min("v")).alias("root")), "parent")
-        while True:
+        moved = 1
+        while moved:
             up = parent.select(F.col("node").alias("_n"), F.col("root").alias("_r")).where("_n <> _r")
-            jumped = cut(
-                parent.join(up, parent["root"] == up["_n"], "left").select("node", F.coalesce("_r", "root").alias("root"), F.col("_r").isNotNull().alias("moved")),
-                "parent",
-            )
+            over = up.select(F.col("_n").alias("_m"), F.col("_r").alias("_s"))
+            once = parent.join(up, parent["root"] == up["_n"], "left").select("node", F.coalesce("_r", "root").alias("root"))
+            twice = once.join(over, once["root"] == over["_m"], "left").select("node", F.coalesce("_s", "root").alias("root"), F.col("_s").isNotNull().alias("moved"))
+            jumped, moved = cut_counting(twice, F.count_if("moved"), "parent")
             drop_cut(parent)
             parent = jumped.select("node", "root")
-            if jumped.where("moved").isEmpty():
-                break
-        end = parent.select(F.col("node"), F.col("root"))
-        nxt = cut(
-            live.join(end.select(F.col("node").alias("u"), F.col("root").alias("ru")), "u")
-            .join(end.select(F.col("node").alias("v"), F.col("root").alias("rv")), "v")
+        nxt, left = cut_counting(
+            live.join(parent.select(F.col("node").alias("u"), F.col("root").alias("ru")), "u")
+            .join(parent.select(F.col("node").alias("v"), F.col("root").alias("rv")), "v")
             .where("ru <> rv")
             .select(F.least("ru", "rv").alias("u"), F.greatest("ru", "rv").alias("v"))
             .distinct(),
+            F.count("*"),
             "edges",
         )
         if labels is None:
-            labels = end
+            labels = parent
         else:
-            step = end.select(F.col("node").alias("component"), F.col("root").alias("_to"))
-            labels = cut(labels.join(step, labels["root"] == step["component"], "left").select("node", F.coalesce("_to", "root").alias("root")), "labels")
-        made.append(nxt)
-        live = nxt
+            step = parent.select(F.col("node").alias("component"), F.col("root").alias("_to"))
+            grown = cut(labels.join(step, labels["root"] == step["component"], "left").select("node", F.coalesce("_to", "root").alias("root")), "labels")
+            drop_cut(labels)
+            drop_cut(parent)
+            labels = grown
+        if old is not None:
+            drop_cut(old)
+        live = old = nxt
     if labels is None:
         labels = spark.createDataFrame([], e.selectExpr("u as node", "u as root").schema)
     alone = first.where("u = v").select(F.col("u").alias("node"), F.col("u").alias("root"))
@@ -58,12 +62,38 @@ def connected_components(edges: DataFrame, src: str = "src", dst: str = "dst") -
     return out.select("node", F.col("root").alias("component"))
 
 
-def star_edges(rows: DataFrame, member: str, group: str) -> DataFrame:
-    """Edges ``(src, dst)`` from the smallest member of each group to every member: one per distinct pair.
+def hubs(ties: DataFrame, member: str, group: str) -> DataFrame:
+    """``(group, hub)``: the smallest member of each group; rows with a null in either give none."""
+    return ties.where(F.col(member).isNotNull() & F.col(group).isNotNull()).groupBy(group).agg(F.min(member).alias("hub"))
+
+
+def star_edges(ties: DataFrame, hub: DataFrame, member: str, group: str) -> DataFrame:
+    """Edges ``(src, dst)`` from the hub of each group to every member, and from every member to itself.
 
-    A group of any size costs its number of distinct members, never their pairs. Rows with a null
-    member or group give no edge.
+    A group of any size costs its number of distinct members, never their pairs. ``ties`` is distinct.
     """
-    pairs = rows.where(F.col(member).isNotNull() & F.col(group).isNotNull()).select(F.col(member).alias("dst"), F.col(group).alias("_g")).distinct()
-    hub = pairs.groupBy("_g").agg(F.min("dst").alias("src"))
-    return pairs.join(hub, "_g").select("src", "dst").distinct()
+    stars = ties.where(F.col(member).isNotNull()).join(hub, group).select(F.col("hub").alias("src"), F.col(member).alias("dst"))
+    return stars.unionByName(ties.where(F.col(member).isNotNull()).select(F.col(member).alias("src"), F.col(member).alias("dst")))
+
+
+def tied_units(rows: DataFrame, row: str, member: str, group: str) -> DataFrame:
+    """``(row, unit_kind, unit)``: what each row has to stay with, as members and groups that occur together are tied.
+
+    A row with a member belongs to its component; one without to its group's component, or to the group alone where
+    no member has it, or else stands alone. A missing group is null.
+    """
+    ties = rows.select(F.col(member).alias("_m"), F.col(group).alias("_g")).distinct()
+    hub = hubs(ties, "_m", "_g")
+    of = cut(connected_components(star_edges(ties, hub, "_m", "_g")), "components")
+    groups = hub.join(of, hub["hub"] == of["node"]).select("_g", F.col("component").alias("_cg"))
+    return units_of(rows, row, F.col(member), F.col(group), of.select(F.col("node").alias("_m"), F.col("component").alias("_cm")), groups)
+
+
+def units_of(rows: DataFrame, row: str, member: Column, group: Column, members: DataFrame, groups: DataFrame, carry: dict[str, Column] | None = None) -> DataFrame:
+    """The same from the components ``members`` ``(_m, _cm)`` and ``groups`` ``(_g, _cg)``, with the columns ``carry``."""
+    base = rows.select(F.col(row).alias("_row"), member.alias("_m"), group.alias("_g"), *[c.alias(n) for n, c in (carry or {}).items()])
+    keep = list(carry or {})
+    whole = base.where("_m is not null").join(members, "_m").select("_row", *keep, F.lit("component").alias("unit_kind"), F.col("_cm").cast("bigint").alias("unit"))
+    rest = base.where("_m is null").join(groups, "_g", "left")
+    kind = F.when(F.col("_cg").isNotNull(), "component").when(F.col("_g").isNotNull(), "group").otherwise("row")
+    return whole.unionByName(rest.select("_row", *keep, kind.alias("unit_kind"), F.coalesce("_cg", "_g", "_row").cast("bigint").alias("unit")))

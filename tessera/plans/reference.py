@@ -426,14 +426,14 @@ def scaffold_split(spark: SparkSession, d: str) -> DataFrame:
 
 @query()
 def double_cold_split(spark: SparkSession, d: str) -> DataFrame:
-    return folds.double_cold_split(table(spark, d, "indexed_rows").select("row_id", "protein_ids", "scaffold_groups"), "protein_ids", "scaffold_groups", THREE).select("row_id", "fold")
+    return folds.double_cold_split(table(spark, d, "indexed_rows").select("row_id", "protein_ids", "scaffold_groups"), "row_id", "protein_ids", "scaffold_groups", THREE).select("row_id", "fold")
 
 
 @query()
 def nested_split(spark: SparkSession, d: str) -> DataFrame:
     """Test by year, validation by proteins first seen late."""
     rows = table(spark, d, "indexed_rows").select("row_id", "protein_ids", "scaffold_groups", "years")
-    return folds.nested_split(rows, "time", "time-protein", 0.1, 0.2, "protein_ids", "scaffold_groups", "years").select("row_id", "fold")
+    return folds.nested_split(rows, "time", "time-protein", 0.1, 0.2, "row_id", "protein_ids", "scaffold_groups", "years").select("row_id", "fold")
 
 
 @query(f"WITH {_FIRST}, s AS (SELECT CASE WHEN first >= cutoff THEN 'val' ELSE 'train' END AS fold FROM indexed_rows JOIN f ON protein_ids = p, cut) SELECT count(*) AS n, count(*) FILTER (fold = 'val') AS n_val, (count(*) FILTER (fold = 'train') > 0 AND count(*) FILTER (fold = 'val') >= greatest(1, floor(count(*) * (0.25 * 0.05))) AND count(*) FILTER (fold = 'train') >= count(*) FILTER (fold = 'val')) AS usable FROM s")
@@ -680,7 +680,7 @@ def split_leaks(spark: SparkSession, d: str) -> DataFrame:
     rows = table(spark, d, "indexed_rows").select("row_id", "protein_ids", "scaffold_groups")
     out = []
     for how in ("protein", "double-cold"):
-        s = cut(folds.split_pool(rows, how, THREE, "protein_ids", "scaffold_groups", "years"), "folds")
+        s = cut(folds.split_pool(rows, how, THREE, "row_id", "protein_ids", "scaffold_groups", "years"), "folds")
         p = s.where("protein_ids is not null").groupBy("protein_ids").agg(F.countDistinct("fold").alias("n")).agg(F.count_if(F.col("n") > 1)).scalar()
         c = s.where("scaffold_groups >= 0").groupBy("scaffold_groups").agg(F.countDistinct("fold").alias("n")).agg(F.count_if(F.col("n") > 1)).scalar()
         checked = F.lit(0).cast("bigint") if how == "protein" else c

@@ -5,7 +5,7 @@ import random
 import pytest
 from pyspark.sql import functions as F
 
-from tessera.operators import balance, eager, folds, graph, impute, metrics, prefix, prepare, vocab
+from tessera.operators import balance, eager, folds, graph, placement, graph, impute, metrics, prefix, prepare, vocab
 
 
 def test_components_by_brute_force(spark):
@@ -192,12 +192,51 @@ def test_time_protein(spark, years, targets, want):
     assert {r.id for r in got} == want
 
 
+@pytest.mark.parametrize("seed", range(6))
+def test_largest_first(seed):
+    rng = random.Random(seed)
+    sizes = collections.Counter(rng.choice([1, 1, 1, 2, 3, 7, 40, 1000]) for _ in range(rng.choice([5, 80, 3000])))
+    total = sum(k * v for k, v in sizes.items())
+    lack = {"train": 0.7 * total, "val": 0.1 * total, "test": 0.2 * total - rng.choice([0, 50])}
+    left, want = dict(lack), {}
+    for size in sorted(sizes, reverse=True):
+        for _ in range(sizes[size]):
+            best = max(left, key=left.__getitem__)
+            left[best] -= size
+            want[size, best] = want.get((size, best), 0) + 1
+    got = {(size, s): n for size, counts in placement.greedy_counts(sizes.items(), lack) for s, n in zip(lack, counts) if n}
+    assert got == want
+
+
+def test_place_blocks(spark):
+    blocks = [("a", i, n) for i, n in enumerate([500] + [20] * 10 + [1] * 300)]
+    df = spark.createDataFrame(blocks, "kind string, id bigint, n bigint").withColumn("fold", F.lit("clash"))
+    got = placement.place(df, ["kind", "id"], "n", {"train": 700.0, "val": 100.0, "test": 200.0})
+    rows = {(r.kind, r.id): (r.n, r.fold) for r in got.collect()}
+    assert len(rows) == len(blocks) and rows["a", 0] == (500, "train")
+    share = collections.Counter()
+    for n, f in rows.values():
+        share[f] += n
+    assert share == {"train": 700, "val": 100, "test": 200}
+    assert placement.place(df.limit(0), ["kind", "id"], "n", {"train": 0.0, "test": 0.0}).count() == 0
+
+
+def test_rows_without_protein_stay_with_their_scaffold(spark):
+    rows = [(i, i, i) for i in range(300)] + [(1000 + i, None, i) for i in range(300)] + [(2000 + i, None, 900 + i // 2) for i in range(100)] + [(3000 + i, None, -1) for i in range(50)]
+    df = spark.createDataFrame(rows, "id bigint, p bigint, s bigint")
+    got = folds.double_cold_split(df, "id", "p", "s", {"train": 0.7, "val": 0.1, "test": 0.2})
+    assert got.count() == len(rows)
+    assert got.where("s >= 0").groupBy("s").agg(F.countDistinct("fold").alias("n")).where("n > 1").count() == 0
+    share = {r.fold: r["count"] / len(rows) for r in got.groupBy("fold").count().collect()}
+    assert abs(share["train"] - 0.7) < 0.01 and abs(share["test"] - 0.2) < 0.01
+
+
 def test_blocks_and_nested(spark):
     rng = random.Random(11)
     rows = [(i, rng.choice([0] * 10 + list(range(30))), rng.choice([-1, None, *range(100)]), rng.choice([-1, None, *range(2000, 2020)])) for i in range(800)]
     df = spark.createDataFrame(rows, "id bigint, p int, s int, y int")
     for how in ("protein", "double-cold", "time", "time-protein"):
-        got = folds.nested_split(df, how if how != "time-protein" else "time", how, 0.1, 0.2, "p", "s", "y")
+        got = folds.nested_split(df, how if how != "time-protein" else "time", how, 0.1, 0.2, "id", "p", "s", "y")
         assert folds.check_partition(got, df, "id").first().asDict() == {"n_repeated": 0, "n_in_two_folds": 0, "n_missing": 0, "n_unknown": 0}
         if how in ("protein", "double-cold"):
             assert got.groupBy("p").agg(F.countDistinct("fold").alias("n")).where("n > 1").count() == 0
@@ -214,3 +253,38 @@ def test_explode_and_labels(spark):
     act = spark.createDataFrame([(7, 1, 2001), (7, 1, 2001), (7, 2, -1), (8, 2, None)], "l int, p int, y int")
     sets = {r.l: (r.families, r.targets, r.year) for r in vocab.label_sets(act, prot, "l", "p", "y").collect()}
     assert sets == {7: (["F1", "F2"], ["T1", "T2"], 2001), 8: ([], ["T2"], None)}
+
+
+def test_components(spark):
+    rng = random.Random(4)
+    chain = [(i, i + 1) for i in range(200)] + [(1000, j) for j in range(1001, 1200)] + [(5000 - j, 5000) for j in range(1, 150)]
+    loose = [(rng.randrange(6000, 6400), rng.randrange(6000, 6400)) for _ in range(300)] + [(7, 7), (9999, 9999), (None, 3), (3, None)]
+    edges = chain + loose
+    rng.shuffle(edges)
+    root = {}
+
+    def top(x):
+        root.setdefault(x, x)
+        while root[x] != x:
+            x = root[x]
+        return x
+
+    for a, b in edges:
+        if a is not None and b is not None:
+            x, y = top(a), top(b)
+            root[max(x, y)] = min(x, y)
+    got = {r.node: r.component for r in graph.connected_components(spark.createDataFrame(edges, "src bigint, dst bigint")).collect()}
+    assert got == {x: top(x) for x in root}
+    assert graph.connected_components(spark.createDataFrame([], "src bigint, dst bigint")).count() == 0
+
+
+def test_versions(spark, tmp_path):
+    from tessera.persist import Versions
+
+    v = Versions(spark, f"{tmp_path}/table")
+    assert v.load() is None and v.numbers() == []
+    assert v.commit(spark.range(3)) == 1 and v.commit(v.load().union(spark.range(2))) == 2
+    again = Versions(spark, f"{tmp_path}/table")
+    assert again.load().count() == 5 and again.load(1).count() == 3
+    again.keep(1)
+    assert v.numbers() == [2]
