@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from tessera.functions import scalars as S
 from tessera.operators import balance, eager, features, folds, metrics, prepare, vocab
 from tessera.persist import cut
+from tessera.plans.sqltext import greedy_sql
 from tessera.tables import table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -686,3 +687,21 @@ def split_leaks(spark: SparkSession, d: str) -> DataFrame:
         checked = F.lit(0).cast("bigint") if how == "protein" else c
         out.append(s.agg(F.count("*").alias("n_rows")).select(F.lit(how).alias("strategy"), "n_rows", p.alias("n_proteins_in_two"), checked.alias("n_scaffolds_in_two")))
     return out[0].unionByName(out[1])
+
+
+def _shares(rows: DataFrame) -> DataFrame:
+    return rows.groupBy("fold").agg(F.count("*").alias("n_rows"), F.count_distinct("block").alias("n_units"))
+
+
+@query(greedy_sql("SELECT count(*) AS n FROM indexed_rows WHERE protein_ids IS NOT NULL GROUP BY protein_ids", THREE))
+def cold_protein_shares(spark: SparkSession, d: str) -> DataFrame:
+    """Rows and proteins of each fold of the cold-protein split."""
+    rows = table(spark, d, "indexed_rows").where("protein_ids is not null").select("row_id", F.col("protein_ids").alias("block"))
+    return _shares(folds.cold_split(rows, "block", THREE))
+
+
+@query(greedy_sql("SELECT count(*) AS n FROM indexed_rows GROUP BY CASE WHEN scaffold_groups >= 0 THEN 's' || scaffold_groups ELSE 'r' || row_id END", THREE))
+def scaffold_shares(spark: SparkSession, d: str) -> DataFrame:
+    """Rows and scaffolds of each fold of the scaffold split; a row without scaffold stands alone."""
+    block = F.when(F.col("scaffold_groups") >= 0, F.concat(F.lit("s"), F.col("scaffold_groups"))).otherwise(F.concat(F.lit("r"), F.col("row_id")))
+    return _shares(folds.cold_split(table(spark, d, "indexed_rows").select("row_id", block.alias("block")), "block", THREE))
