@@ -1,22 +1,19 @@
 """Train, validation and test splits in which related records stay together.
 
 Proteins and scaffolds that occur in one record are related, and so on from record to record. The table of
-components is kept and grown: new records only merge what they tie.
+components is kept and grown, version by version: new records only merge what they tie.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tessera.operators.graph import connected_components, star_edges
-from tessera.operators.prefix import hash_slot, running_sum
-from tessera.persist import cut
+from tessera.operators.graph import connected_components, hubs, star_edges, units_of
+from tessera.operators.placement import place
+from tessera.persist import Versions, cut
 
 SPLITS = {"train": 0.8, "validation": 0.1, "test": 0.1}
-#: A component of at least this share of all rows is placed by itself, largest first; there can be no more
-#: than one over this number of them.
-LARGE = 1 / 2000
 
 
 def scaffold(c):  # noqa: ANN001, ANN201
@@ -35,9 +32,9 @@ def grow(rows: DataFrame, before: DataFrame | None = None, protein: str = "prote
     """
     ties = rows.select(F.col(protein).cast("bigint").alias("p"), scaffold(F.col(group)).cast("bigint").alias("s")).where("p is not null").distinct()
     if before is None:
-        hub = ties.where("s is not null").groupBy("s").agg(F.min("p").alias("hub"))
-        edges = ties.join(hub, "s").select(F.col("hub").alias("src"), F.col("p").alias("dst")).unionByName(ties.select(F.col("p").alias("src"), F.col("p").alias("dst")))
-        of = cut(connected_components(edges), "components")
+        ties = cut(ties, "ties")
+        hub = hubs(ties, "p", "s")
+        of = cut(connected_components(star_edges(ties, hub, "p", "s")), "components")
         scaffolds = hub.join(of, hub["hub"] == of["node"]).select(F.lit("scaffold").alias("kind"), F.col("s").alias("id"), "component")
         return cut(of.select(F.lit("protein").alias("kind"), F.col("node").alias("id"), "component").unionByName(scaffolds), "components")
     old_p = before.where("kind = 'protein'").select(F.col("id").alias("p"), F.col("component").alias("cp"))
@@ -54,19 +51,34 @@ def grow(rows: DataFrame, before: DataFrame | None = None, protein: str = "prote
     return cut(both.join(new, "component", "left").select("kind", "id", F.coalesce("to", "component").alias("component")), "components")
 
 
+class ComponentTable:
+    """The table of components under a name of its own: every batch of rows is merged into the last version and committed
+    as the next, so a later run, or one after a failure, goes on from where the last commit was.
+
+    ``path`` is a folder that all executors share.
+    """
+
+    def __init__(self, spark: SparkSession, path: str) -> None:
+        self.versions = Versions(spark, path)
+
+    def load(self, number: int | None = None) -> DataFrame | None:
+        return self.versions.load(number)
+
+    def extend(self, rows: DataFrame, protein: str = "protein_ids", group: str = "scaffold_groups") -> DataFrame:
+        """Merge what ``rows`` tie into the last version; the new one, as committed."""
+        return self.versions.load(self.versions.commit(grow(rows, self.load(), protein, group)))
+
+
 def units(rows: DataFrame, components: DataFrame, row: str = "row_id", protein: str = "protein_ids", group: str = "scaffold_groups") -> DataFrame:
-    """Each row's unit, the thing that is put into a split: ``(row, unit_kind, unit)``.
+    """Each row's unit, the thing that is put into a split: ``(_row, _y, unit_kind, unit)``.
 
     A row with a protein belongs to its component; one without to its scaffold's component, or to the
     scaffold alone where no protein has it, or else stands alone.
     """
-    base = rows.select(F.col(row).alias("_row"), F.col(protein).cast("bigint").alias("_p"), scaffold(F.col(group)).cast("bigint").alias("_s"), F.col("years").alias("_y"))
-    by_p = components.where("kind = 'protein'").select(F.col("id").alias("_p"), F.col("component").alias("_cp"))
-    whole = base.where("_p is not null").join(by_p, "_p").select("_row", "_y", F.lit("component").alias("unit_kind"), F.col("_cp").alias("unit"))
-    by_s = components.where("kind = 'scaffold'").select(F.col("id").alias("_s"), F.col("component").alias("_cs"))
-    rest = base.where("_p is null").join(by_s, "_s", "left")
-    kind = F.when(F.col("_cs").isNotNull(), "component").when(F.col("_s").isNotNull(), "scaffold").otherwise("row")
-    return whole.unionByName(rest.select("_row", "_y", kind.alias("unit_kind"), F.coalesce("_cs", "_s", "_row").alias("unit")))
+    members = components.where("kind = 'protein'").select(F.col("id").alias("_m"), F.col("component").alias("_cm"))
+    groups = components.where("kind = 'scaffold'").select(F.col("id").alias("_g"), F.col("component").alias("_cg"))
+    got = units_of(rows, row, F.col(protein).cast("bigint"), scaffold(F.col(group)).cast("bigint"), members, groups, {"_y": F.col("years")})
+    return got.replace({"group": "scaffold"}, subset=["unit_kind"])
 
 
 def assign(sized: DataFrame, shares: dict[str, float] | None = None, placed: DataFrame | None = None) -> DataFrame:
@@ -74,12 +86,10 @@ def assign(sized: DataFrame, shares: dict[str, float] | None = None, placed: Dat
 
     ``placed`` holds earlier assignments, ``(unit_kind, unit, split)``, its units already relabelled to the
     present components. A unit with one earlier split keeps it (``kept``); one that merges different splits
-    is in none of them (``quarantined``). New units fill what each split lacks: the few large ones one by
-    one, largest first, into the split that lacks most; all others in hash order along a running sum
-    that is cut in proportion to what is then still lacking.
+    is in none of them (``quarantined``). New units fill what each split lacks: largest first, equal ones in hash order,
+    each into the split that lacks most.
     """
     shares = shares or SPLITS
-    spark = sized.sparkSession
     names = list(shares)
     if placed is None:
         state = sized.withColumns({"split": F.lit(None).cast("string"), "state": F.lit("new")})
@@ -93,29 +103,9 @@ def assign(sized: DataFrame, shares: dict[str, float] | None = None, placed: Dat
     have = {r["split"]: r["n"] for r in state.groupBy("split").agg(F.sum("rows").alias("n")).collect()}
     total = sum(n for s, n in have.items() if s != "quarantine")
     lack = {s: shares[s] * total - have.get(s, 0) for s in names}
-    new = state.where("state = 'new'")
-    edge = max(1.0, total * LARGE)
-    large = new.where(F.col("rows") >= edge).orderBy(F.desc("rows"), "unit_kind", "unit").limit(int(1 / LARGE) + 1).collect()
-    chosen = []
-    for r in large:
-        best = max(names, key=lambda s: (lack[s], -names.index(s)))
-        lack[best] -= r["rows"]
-        chosen.append((r["unit_kind"], r["unit"], best))
-    schema = "unit_kind string, unit bigint, to string"
-    big = F.broadcast(spark.createDataFrame(chosen, schema))
-    small = new.where(F.col("rows") < edge)
-    left = sum(max(0.0, x) for x in lack.values())
-    rest = float(have.get(None, 0) - sum(r["rows"] for r in large))
-    at, cuts = 0.0, []
-    for s in names:
-        at += max(0.0, lack[s]) * (rest / left if left else 0.0)
-        cuts.append((s, at))
-    middle = F.col("_before") + F.col("rows") / 2
-    to = F.coalesce(*[F.when(middle < c, s) for s, c in cuts], F.lit(names[0] if not left else cuts[-1][0]))
-    summed = running_sum(small.withColumns({"_all": F.lit(0), "_h": F.xxhash64("unit_kind", "unit")}), ["_all"], {"_before": F.col("rows")}, hash_slot(F.col("_h")), ["_h", "unit_kind", "unit"])
-    out = state.where("state <> 'new'").unionByName(summed.select("unit_kind", "unit", "rows", to.alias("split"), "state"))
-    placed_big = new.where(F.col("rows") >= edge).join(big, ["unit_kind", "unit"]).select("unit_kind", "unit", "rows", F.col("to").alias("split"), "state")
-    return cut(out.unionByName(placed_big), "assigned")
+    new = place(state.where("state = 'new'"), ["unit_kind", "unit"], "rows", lack)
+    out = state.where("state <> 'new'").unionByName(new.select("unit_kind", "unit", "rows", F.col("fold").alias("split"), F.lit("new").alias("state")))
+    return cut(out, "assigned")
 
 
 def relabel(assigned: DataFrame, components: DataFrame) -> DataFrame:

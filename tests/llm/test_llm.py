@@ -55,6 +55,17 @@ def test_blocks_and_growth(spark):
     assert {r.id: r.component for r in two.where("kind = 'scaffold'").collect()} == {r.id: r.component for r in one.where("kind = 'scaffold'").collect()}
 
 
+def test_component_table_goes_on_from_its_last_version(spark, tmp_path):
+    rows = made(2)
+    for part in (rows[:200], rows[200:350], [], rows[350:], rows[:50]):
+        store = splits.ComponentTable(spark, f"{tmp_path}/components")
+        last = store.extend(fact(spark, part))
+    assert {r.id: r.component for r in last.where("kind = 'protein'").collect()} == brute_blocks(rows)
+    assert store.versions.numbers() == [1, 2, 3, 4, 5]
+    again = splits.ComponentTable(spark, f"{tmp_path}/components")
+    assert again.load().count() == last.count() and {r.id: r.component for r in again.load(1).where("kind = 'protein'").collect()} == brute_blocks(rows[:200])
+
+
 def place(spark, rows, comps, placed=None):
     u = splits.units(fact(spark, rows), comps)
     a = splits.assign(u.groupBy("unit_kind", "unit").agg(F.count("*").alias("rows")), placed=placed)
