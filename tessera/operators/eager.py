@@ -14,15 +14,16 @@ def norm_name(c: Column) -> Column:
     return F.when(s != "", s)
 
 
-def key_states(rows: DataFrame, keys: dict[str, Column], sums: dict[str, Column]) -> DataFrame:
+def key_states(rows: DataFrame, keys: dict[str, Column], sums: dict[str, Column], keyless: bool = False) -> DataFrame:
     """One row per key: ``rows`` and for each of ``sums`` its count, sum, squared distance from the mean, least and most.
 
     Spark sums within each input split before it shuffles, so a key with any share of the rows arrives as
-    one state per split. Rows with a null key fall into no group. NaN and infinities count as missing.
+    one state per split. Rows with a null key fall into no group, or with ``keyless`` into one of their own. NaN and
+    infinities count as missing.
     """
     real = {n: F.when(~F.isnan(c.cast("double")) & (F.abs(c.cast("double")) < float("inf")), c.cast("double")) for n, c in sums.items()}
     flat = rows.select(*[c.alias(k) for k, c in keys.items()], *[c.alias(f"_v_{n}") for n, c in real.items()])
-    flat = flat.where(reduce(lambda a, b: a & b, [F.col(k).isNotNull() for k in keys]))
+    flat = flat if keyless else flat.where(reduce(lambda a, b: a & b, [F.col(k).isNotNull() for k in keys]))
     aggs = [F.count("*").alias("rows")]
     for n in sums:
         v = F.col(f"_v_{n}")
@@ -58,11 +59,3 @@ def roll_up(states: DataFrame, keys: list[str], sums: list[str]) -> DataFrame:
         aggs += [count.alias(f"{n}_count"), total.alias(f"{n}_sum"), F.min(f"{n}_min").alias(f"{n}_min"), F.max(f"{n}_max").alias(f"{n}_max"), spread.alias(f"_{n}_spread")]
         out |= {f"{n}_mean": F.try_divide(F.col(f"{n}_sum"), F.col(f"{n}_count")), f"{n}_dev": F.sqrt(F.try_divide(F.col(f"_{n}_spread"), F.col(f"{n}_count")))}
     return states.groupBy(*keys).agg(*aggs).withColumns(out).drop(*[f"_{n}_spread" for n in sums])
-
-
-def heavy_keys(states: DataFrame, all_rows: DataFrame, key: str, share: float) -> DataFrame:
-    """Keys with more than ``share`` of all rows of the table, keyless rows included in the total.
-
-    ``all_rows`` is a frame of one number, used as a scalar subquery.
-    """
-    return states.where(F.col("rows") > all_rows.scalar() * F.lit(share)).select(key, "rows")

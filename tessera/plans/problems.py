@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from tessera.functions import scalars as S
 from tessera.operators import eager, impute, parse
+from tessera.persist import cut
 from tessera.tables import table
 
 PH, TEMP = (0.0, 14.0), (-80.0, 100.0)
@@ -75,7 +76,14 @@ def p3_found(spark: SparkSession, d: str) -> DataFrame:
 
 def p3_filled(spark: SparkSession, d: str) -> DataFrame:
     """Every row with its observed or filled values, filled cells marked."""
-    return filled(spark, d)
+    return filled(spark, d).withColumns({c: F.round(c, 6) for c in ("ph", "temp")})
+
+
+def p3_organisms(spark: SparkSession, d: str) -> DataFrame:
+    """Proteins without organism, with the likeliest one of their target name, else of their classification."""
+    name = lambda c: eager.norm_name(F.col(c))
+    got = impute.propagate_category(table(spark, d, "proteins"), "record_id", name("organism"), "organism", name("tid"), name("classification"), F.upper(F.substring("accession", 1, 1)))
+    return got.where("organism_from is not null")
 
 
 def _row_states(spark: SparkSession, d: str) -> DataFrame:
@@ -88,23 +96,46 @@ def _pair_states(spark: SparkSession, d: str) -> DataFrame:
     return eager.key_states(pairs, {"target_name": eager.norm_name(F.col("target_name"))}, {"activity": F.coalesce(*[9 - F.log10(x) for x in nm])})
 
 
-def _cell_states(spark: SparkSession, d: str) -> DataFrame:
+def _cell_states(spark: SparkSession, d: str, keyless: bool = False) -> DataFrame:
     """States per target name and cell of prepared_pairs; the pairs are counted with the first cell only."""
     sums = {c: 9 - F.log10(parse.number_or_null(F.col(c))) for c in CELLS}
-    states = eager.key_states(table(spark, d, "prepared_pairs"), {"target_name": eager.norm_name(F.col("target_name"))}, sums)
+    states = eager.key_states(table(spark, d, "prepared_pairs"), {"target_name": eager.norm_name(F.col("target_name"))}, sums, keyless)
     parts = ("count", "sum", "spread", "min", "max")
     cells = F.array(*[F.struct((F.col("rows") if c == CELLS[0] else F.lit(0).cast("bigint")).alias("rows"), *[F.col(f"{c}_{x}").alias(f"activity_{x}") for x in parts]) for c in CELLS])
     return states.select("target_name", F.explode(cells).alias("_c")).select("target_name", "_c.*")
 
 
-def _share(rows: DataFrame, states: DataFrame, key: str, name: str) -> DataFrame:
-    heavy = eager.heavy_keys(states, rows.agg(F.count("*").alias("total")), key, HEAVY_SHARE)
-    return heavy.select(F.lit(name).alias("field_name"), F.col(key).cast("string").alias("key_value"))
+def _reported(states: DataFrame, proteins: DataFrame, field: str) -> DataFrame:
+    """``(field_name, key_value, rows, total, n_proteins, activity statistics)`` of all keys of one table, from both sides' states.
+
+    ``states`` has ``key`` and a state of all rows without key; ``proteins`` is ``(key, n_proteins)``, one row each.
+    """
+    states = cut(states, "states")
+    total = states.agg(F.sum("rows").alias("total"))
+    joined = eager.join_states(states.where("key is not null"), proteins.where("key is not null").withColumn("rows", F.lit(1).cast("bigint")), "key", ["activity"], how="left")
+    stats = eager.roll_up(joined, ["key", "n_proteins"], ["activity"])
+    return stats.select(F.lit(field).alias("field_name"), F.col("key").cast("string").alias("key_value"), "rows", total.scalar().alias("total"), F.coalesce("n_proteins", F.lit(0)).alias("n_proteins"), *[f"activity_{x}" for x in ("count", "sum", "min", "max", "mean", "dev")])
+
+
+def keys_report(spark: SparkSession, d: str) -> DataFrame:
+    """Row counts and activity statistics of every protein of indexed_rows and every target name of prepared_pairs, with
+    the number of protein records the key has: both tables pre-aggregated, joined as states with the pre-aggregated
+    proteins, and rolled up. Written to the shared folder."""
+    dim = lambda c: table(spark, d, "proteins").groupBy(c.alias("key")).agg(F.count("*").alias("n_proteins"))
+    rows = eager.key_states(table(spark, d, "indexed_rows"), {"key": F.col("protein_ids")}, {"activity": F.col("activity_labels")}, keyless=True)
+    cells = _cell_states(spark, d, keyless=True).withColumnRenamed("target_name", "key")
+    a = _reported(rows, dim(F.col("protein_id")), "protein_ids")
+    return cut(a.unionByName(_reported(cells, dim(eager.norm_name(F.col("tid"))), "target_name")), "keys")
+
+
+def p4_keys(spark: SparkSession, d: str) -> DataFrame:
+    """Every key of both tables with its share of the rows and its activity statistics."""
+    return _rounded(keys_report(spark, d)).withColumn("share", F.round(F.col("rows") / F.col("total"), 9)).drop("total")
 
 
 def p4_found(spark: SparkSession, d: str) -> DataFrame:
-    a = _share(table(spark, d, "indexed_rows"), _row_states(spark, d), "protein_ids", "protein_ids")
-    return a.unionByName(_share(table(spark, d, "prepared_pairs"), _pair_states(spark, d), "target_name", "target_name"))
+    """The keys of the full report with more than HEAVY_SHARE of their table's rows."""
+    return keys_report(spark, d).where(F.col("rows") > F.col("total") * F.lit(HEAVY_SHARE)).select("field_name", "key_value")
 
 
 def _rounded(stats: DataFrame) -> DataFrame:
@@ -134,7 +165,7 @@ def p4_joined_stats(spark: SparkSession, d: str) -> DataFrame:
     return _rounded(eager.roll_up(joined, ["target_name"], ["active"]))
 
 
-QUERIES = {f.__name__: f for f in (p2_found, p2_loaded, p2_loaded_data, p2_loaded_pairs, p2_edits, p3_found, p3_filled, p4_found, p4_protein_stats, p4_target_stats, p4_target_measurements, p4_joined_stats)}
+QUERIES = {f.__name__: f for f in (p2_found, p2_loaded, p2_loaded_data, p2_loaded_pairs, p2_edits, p3_found, p3_filled, p3_organisms, p4_found, p4_keys, p4_protein_stats, p4_target_stats, p4_target_measurements, p4_joined_stats)}
 
 _VALID = {"ph": "CASE WHEN NOT isnan(ph) AND ph BETWEEN 0 AND 14 THEN ph END", "temp": "CASE WHEN NOT isnan(temp) AND temp BETWEEN -80 AND 100 THEN temp END"}
 
@@ -145,6 +176,31 @@ def _fill_sql(f: str) -> str:
     FROM (SELECT row_id, year, {v} AS v, CASE WHEN assay_id IS NOT NULL THEN count({v}) OVER (PARTITION BY assay_id) END AS a, count({v}) OVER (PARTITION BY year) AS y FROM prepared_rows) WHERE v IS NULL"""
 
 
+def _filled_sql(f: str) -> str:
+    """The closed form of what propagation comes to rest at, cells within kinds within groups."""
+    a, b, c = impute.WEIGHTS
+    fa, fc = impute.FAR_WEIGHTS
+    v = _VALID[f]
+    return f"""c{f} AS (SELECT assay_id, assay_type, year, coalesce(sum({v}), 0) AS s, count({v})::DOUBLE AS o, count(*) - count({v}) AS m, count(*)::DOUBLE AS n FROM prepared_rows GROUP BY ALL),
+    u{f} AS (SELECT *, {a} * s / (n * (1 - {a} * m / n)) AS u, 1 / (1 - {a} * m / n) AS v FROM c{f} WHERE assay_id IS NOT NULL),
+    k{f} AS (SELECT assay_id, assay_type, (sum(s) + sum(m * u)) / (sum(n) - {b} * sum(m * v)) AS b0, {c} * sum(m * v) / (sum(n) - {b} * sum(m * v)) AS b1, sum(s) AS s, sum(o) AS o, sum(n) AS n, sum(m * u) AS mu, sum(m * v) AS mv FROM u{f} GROUP BY ALL),
+    g{f} AS (SELECT assay_id, (sum(s) + sum(mu + mv * {b} * b0)) / (sum(n) - sum(mv * ({b} * b1 + {c}))) AS g FROM k{f} GROUP BY ALL HAVING sum(o) > 0),
+    x{f} AS (SELECT q.assay_id, q.assay_type, q.year, u + v * ({b} * (b0 + b1 * g) + {c} * g) AS x FROM u{f} q JOIN k{f} k ON q.assay_id = k.assay_id AND q.assay_type IS NOT DISTINCT FROM k.assay_type JOIN g{f} g ON g.assay_id = q.assay_id),
+    y{f} AS (SELECT c.year, c.assay_type, sum(s) AS s, sum(o) AS o, sum(CASE WHEN x IS NULL THEN m ELSE 0 END) AS m FROM c{f} c LEFT JOIN x{f} x ON c.assay_id = x.assay_id AND c.assay_type IS NOT DISTINCT FROM x.assay_type AND c.year IS NOT DISTINCT FROM x.year WHERE c.year IS NOT NULL GROUP BY ALL),
+    w{f} AS (SELECT *, o + m AS n, {fa} * s / ((o + m) * (1 - {fa} * m / (o + m))) AS u, 1 / (1 - {fa} * m / (o + m)) AS v FROM y{f} WHERE o + m > 0),
+    h{f} AS (SELECT year, (sum(s) + sum(m * u)) / (sum(n) - {fc} * sum(m * v)) AS g FROM w{f} GROUP BY ALL HAVING sum(o) > 0),
+    z{f} AS (SELECT w.year, w.assay_type, u + v * {fc} * g AS x FROM w{f} w JOIN h{f} h ON w.year = h.year)"""
+
+
+def _filled_join(f: str) -> str:
+    return f"LEFT JOIN x{f} ON r.assay_id = x{f}.assay_id AND r.assay_type IS NOT DISTINCT FROM x{f}.assay_type AND r.year IS NOT DISTINCT FROM x{f}.year LEFT JOIN z{f} ON r.year = z{f}.year AND r.assay_type IS NOT DISTINCT FROM z{f}.assay_type"
+
+
+def _filled_cells(f: str) -> str:
+    v = _VALID[f].replace(f"({f})", f"(r.{f})").replace(f"{f} BETWEEN", f"r.{f} BETWEEN").replace(f"THEN {f}", f"THEN r.{f}")
+    return f"round(coalesce({v}, x{f}.x, z{f}.x), 6) AS {f}, CASE WHEN {v} IS NULL THEN CASE WHEN x{f}.x IS NOT NULL THEN 'assay_id' WHEN z{f}.x IS NOT NULL THEN 'year' ELSE 'none' END END AS {f}_from"
+
+
 _NAME = "nullif(trim(regexp_replace(lower(target_name), '\\s+', ' ', 'g')), '')"
 _NUMBER = "CASE WHEN regexp_full_match(trim({c}), '[+-]?([0-9]+([.][0-9]*)?|[.][0-9]+)([eE][+-]?[0-9]+)?') AND try_cast(trim({c}) AS DOUBLE) > 0 AND isfinite(try_cast(trim({c}) AS DOUBLE)) THEN try_cast(trim({c}) AS DOUBLE) END"
 _ACTIVITY = "coalesce(" + ", ".join(f"9 - log10({_NUMBER.format(c=c)})" for c in ("ki_nm", "ic50_nm", "kd_nm", "ec50_nm", "other_nm")) + ")"
@@ -155,6 +211,8 @@ def _stats_sql(name: str, expression: str) -> str:
     return f"count({v}) AS {name}_count, round(sum({v}), 6) AS {name}_sum, min({v}) AS {name}_min, max({v}) AS {name}_max, round(avg({v}), 6) AS {name}_mean, round(stddev_pop({v}), 6) AS {name}_dev"
 
 
+_MEASURED = " UNION ALL ".join(f"SELECT k, 9 - log10({_NUMBER.format(c=c)}) AS v FROM n WHERE k IS NOT NULL" for c in CELLS)
+
 # One field, quoted or bare; BLANKS are those that parse.strip knows.
 _CSV = '("[^"]*(?:""[^"]*)*"|[^",]*)'
 _RAW = "^" + ",".join([_CSV] * 7) + "$"
@@ -177,6 +235,12 @@ SQL: dict[str, str] = {
     "p2_loaded": _loaded_sql(f"(SELECT line_id, {_BODY} AS body FROM gpcrdb_lines) WHERE regexp_full_match(body, '{_RAW}')", "line_id", _BARE),
     "p2_loaded_data": _loaded_sql("gpcrdb_data", "row_id", parse.FIELDS),
     "p3_found": f"{_fill_sql('ph')} UNION ALL {_fill_sql('temp')}",
+    "p3_filled": f"WITH {_filled_sql('ph')}, {_filled_sql('temp')} SELECT row_id, {_filled_cells('ph')}, {_filled_cells('temp')} FROM prepared_rows r {_filled_join('ph')} {_filled_join('temp')}",
+    "p4_keys": f"""WITH a AS (SELECT protein_ids AS k, count(*) AS rows, {_stats_sql('activity', 'activity_labels::DOUBLE')} FROM indexed_rows WHERE protein_ids IS NOT NULL GROUP BY 1),
+    n AS (SELECT {_NAME} AS k, * FROM prepared_pairs), b AS (SELECT k, count(*) AS rows FROM n WHERE k IS NOT NULL GROUP BY 1), m AS (SELECT k, {_stats_sql('activity', 'v')} FROM ({_MEASURED}) GROUP BY 1)
+    SELECT 'protein_ids' AS field_name, CAST(k AS VARCHAR) AS key_value, rows, round(rows / (SELECT count(*) FROM indexed_rows), 9) AS share, (SELECT count(*) FROM proteins WHERE protein_id = k) AS n_proteins, a.* EXCLUDE (k, rows) FROM a
+    UNION ALL SELECT 'target_name', b.k, rows, round(rows / (SELECT count(*) FROM prepared_pairs), 9), (SELECT count(*) FROM proteins WHERE {_NAME.replace('target_name', 'tid')} = b.k), coalesce(activity_count, 0), m.* EXCLUDE (k, activity_count) FROM b LEFT JOIN m ON b.k = m.k""",
+    "p4_target_measurements": f"WITH n AS (SELECT {_NAME} AS k, * FROM prepared_pairs), b AS (SELECT k, count(*) AS rows FROM n WHERE k IS NOT NULL GROUP BY 1), m AS (SELECT k, {_stats_sql('activity', 'v')} FROM ({_MEASURED}) GROUP BY 1) SELECT b.k AS target_name, rows, coalesce(activity_count, 0) AS activity_count, m.* EXCLUDE (k, activity_count) FROM b LEFT JOIN m ON b.k = m.k",
     "p4_found": f"""SELECT 'protein_ids' AS field_name, CAST(protein_ids AS VARCHAR) AS key_value FROM indexed_rows WHERE protein_ids IS NOT NULL GROUP BY protein_ids HAVING count(*) > 0.02 * (SELECT count(*) FROM indexed_rows)
     UNION ALL SELECT 'target_name', k FROM (SELECT {_NAME} AS k FROM prepared_pairs) WHERE k IS NOT NULL GROUP BY k HAVING count(*) > 0.02 * (SELECT count(*) FROM prepared_pairs)""",
     "p4_protein_stats": f"SELECT protein_ids, count(*) AS rows, {_stats_sql('active', 'activity_labels::DOUBLE')}, {_stats_sql('ph', 'ph::DOUBLE')}, {_stats_sql('temp', 'temp::DOUBLE')} FROM indexed_rows WHERE protein_ids IS NOT NULL GROUP BY 1",
