@@ -35,11 +35,11 @@ def sized_texts(docs: DataFrame, targets: DataFrame, **tokenizer: str) -> DataFr
 
 
 def plan(texts: DataFrame, targets: DataFrame) -> DataFrame:
-    """One row per listed source: its size, the tokens wanted, the factor its texts are repeated by, if it is short.
+    """One row per listed source: its size, the tokens wanted, the factor its texts are repeated by.
 
     The total is that of all listed sources. A text that a source holds ``k`` times is expected
     ``min(max_repeats, factor * k)`` times; the factor is solved from the tokens by ``k``, of which there
-    are few. A source is short if ``max_repeats`` times its size is below what is wanted.
+    are few.
     """
     t = targets.groupBy(source_name(F.col("source")).alias("source")).agg(F.first("target_share").alias("target_share"), F.first("max_repeats").alias("max_repeats"))
     by = texts.groupBy("source", "copies").agg(F.sum("n_tokens").alias("tokens"))
@@ -55,24 +55,26 @@ def plan(texts: DataFrame, targets: DataFrame) -> DataFrame:
     fits = steps.where((F.col("f") >= 0) & (F.col("f") * F.col("copies") <= F.col("max_repeats")))
     factor = fits.groupBy("source").agg(F.max(F.struct("copies", "f")).alias("b")).select("source", F.col("b.f").alias("factor"))
     out = base.join(factor, "source", "left").withColumn("factor", F.coalesce("factor", F.col("max_repeats").cast("double")))
-    return out.withColumn("short", F.col("max_repeats") * F.col("size_tokens") < F.col("wanted_tokens"))
+    return out
 
 
 def draw(texts: DataFrame, planned: DataFrame, seed: int = SEED) -> DataFrame:
-    """``(source, doc_id, n_tokens, repeats)``: how often each text is used, by systematic sampling.
+    """``(source, doc_id, n_tokens, copies, repeats)``: how often each text is used, by systematic sampling.
 
-    Within a source and a band of sizes the expected copies are summed in hash order, one random offset is
-    added, and a text is used once for each whole number its stretch of the sum crosses: never more than
-    its expectation rounded up. A band's texts differ by a fifth in size at most, so its tokens are right to
-    about one text, and the source's to about five of its largest.
+    Within a source the expected copies are summed, one random offset is added, and a text is used once for each whole
+    number its stretch of the sum crosses: never more than its expectation rounded up. Texts are summed by size, in
+    steps of a fifth, and within those by hash, so that sizes are drawn in proportion and the source's tokens come right to
+    about one of its largest texts. The sum runs in slots of size and hash, so no task holds a source.
     """
     few = planned.select("source", "max_repeats", "factor")
     e = F.least(F.col("max_repeats") * F.lit(PARTS), F.floor(F.col("factor") * F.col("copies") * F.lit(float(PARTS)))).cast("bigint")
-    want = texts.join(few, "source").withColumns({"expected": e, "band": F.floor(F.log2("n_tokens") * 4).cast("int")})
-    summed = running_sum(want.withColumn("h", F.xxhash64("text_key", F.lit(seed))), ["source", "band"], {"before": F.col("expected")}, hash_slot(F.col("h")), ["h", "text_key"])
-    start = F.col("before") + F.pmod(F.xxhash64("source", "band", F.lit(seed)), F.lit(PARTS))
+    want = texts.join(few, "source").withColumns({"expected": e, "h": F.xxhash64("text_key", F.lit(seed))})
+    # Slots fall along size first, hash second; hash_slot counts from -512 to 511.
+    slot = F.floor(F.log2("n_tokens") * 4) * 1024 + hash_slot(F.col("h"))
+    summed = running_sum(want, ["source"], {"before": F.col("expected")}, slot, ["h", "text_key"])
+    start = F.col("before") + F.pmod(F.xxhash64("source", F.lit(seed)), F.lit(PARTS))
     crossed = F.floor((start + F.col("expected")) / F.lit(PARTS)) - F.floor(start / F.lit(PARTS))
-    return summed.select("source", "doc_id", "n_tokens", crossed.cast("int").alias("repeats"))
+    return summed.select("source", "doc_id", "n_tokens", "copies", crossed.cast("int").alias("repeats"))
 
 
 def mix(drawn: DataFrame) -> DataFrame:
@@ -81,8 +83,16 @@ def mix(drawn: DataFrame) -> DataFrame:
 
 
 def report(planned: DataFrame, drawn: DataFrame) -> DataFrame:
-    """What each listed source contributes in fact: tokens, share of the mix, and if it was short."""
-    used = drawn.groupBy("source").agg(F.sum(F.col("repeats") * F.col("n_tokens")).alias("mixed_tokens"), F.max("repeats").alias("most_repeats"))
-    out = planned.join(used, "source", "left").withColumns({"mixed_tokens": F.coalesce("mixed_tokens", F.lit(0)), "most_repeats": F.coalesce("most_repeats", F.lit(0))})
+    """What each listed source contributes in fact: tokens, share of the mix, and if it was short.
+
+    A source is short where the mix has less of it than wanted and would have less even with every document at
+    ``max_repeats``. What short sources lack isn't given to others, so ``over_target`` tells what a source has more of the
+    mix than its target.
+    """
+    used = drawn.groupBy("source").agg(F.sum(F.col("repeats") * F.col("n_tokens")).alias("mixed_tokens"), F.sum(F.col("copies") * F.col("n_tokens")).alias("held_tokens"), F.max("repeats").alias("most_repeats"))
+    zero = {c: F.coalesce(c, F.lit(0)) for c in ("mixed_tokens", "held_tokens", "most_repeats")}
+    out = planned.join(used, "source", "left").withColumns(zero)
+    short = (F.col("mixed_tokens") < F.col("wanted_tokens")) & (F.col("max_repeats") * F.col("held_tokens") < F.col("wanted_tokens"))
     share = F.try_divide(F.col("mixed_tokens"), F.sum("mixed_tokens").over(Window.partitionBy(F.lit(0))))
-    return out.select("source", "target_share", "max_repeats", "size_tokens", "wanted_tokens", "mixed_tokens", "most_repeats", share.alias("reached_share"), "short")
+    got = out.select("source", "target_share", "max_repeats", "size_tokens", "wanted_tokens", "mixed_tokens", "most_repeats", share.alias("reached_share"), short.alias("short"))
+    return got.withColumn("over_target", F.col("reached_share") - F.col("target_share"))

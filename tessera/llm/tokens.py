@@ -16,7 +16,7 @@ import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark import TaskContext
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tessera.persist import cut
@@ -184,17 +184,24 @@ def count_tokens(docs: DataFrame, key: str = "doc_id", text: str = "text", name:
     return sized.groupBy("of").cogroup(packed.groupBy("block")).applyInArrow(total, f"`{key}` bigint, n_tokens bigint")
 
 
-def decode(encoded: DataFrame, key: str = "doc_id", name: str = "byte_bpe_50k", folder: str = VOCABULARIES) -> DataFrame:
-    """``(key, text)`` back from ``(key, ids)``: the bytes of each id, joined in order.
+def token_bytes(spark: SparkSession, name: str = "byte_bpe_50k", folder: str = VOCABULARIES) -> DataFrame:
+    """``(id, bytes)`` of every token of the vocabulary: some fifty thousand rows, whatever the corpus."""
+    with open(os.path.join(folder, f"{name}.tiktoken"), "rb") as f:
+        rows = [(int(b), bytearray(base64.b64decode(a))) for a, b in (line.split() for line in f if line.strip())]
+    return spark.createDataFrame(rows, "id int, bytes binary")
 
-    The table of the tokenizer's bytes has one row per id of the vocabulary, whatever the corpus, so each
-    worker holds it whole. Ids outside the vocabulary raise an error.
-    """
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        back = vocabulary(folder, name)._core_bpe.decode_bytes
-        for b in batches:
-            texts = [None if i is None else bytes(back(i)).decode("utf-8") for i in b.column(1).to_pylist()]
-            yield pa.RecordBatch.from_arrays([b.column(0).cast(pa.int64()), pa.array(texts, pa.string())], names=[key, "text"])
+def decode(encoded: DataFrame, key: str = "doc_id", name: str = "byte_bpe_50k", folder: str = VOCABULARIES) -> DataFrame:
+    """``(key, text)`` back from ``(key, ids)``: ids joined with the table of token bytes and put together by position.
 
-    return encoded.select(key, "ids").mapInArrow(run, f"`{key}` bigint, text string")
+    The table has one row per id of the vocabulary, so it is broadcast and a frequent id is no hot key. Each row is put
+    together by itself, rows repeated under one key too; a null list is a null text, an id outside the vocabulary
+    makes its text null. A text is as long as its row was.
+    """
+    tagged = encoded.select(F.col(key).alias("_key"), F.col("ids"), F.monotonically_increasing_id().alias("_row"))
+    each = tagged.select("_key", "_row", F.col("ids").isNull().alias("_null"), F.posexplode_outer("ids").alias("_at", "id"))
+    table = F.broadcast(token_bytes(encoded.sparkSession, name, folder))
+    spelled = each.join(table, "id", "left").select("_key", "_row", "_null", F.struct("_at", F.hex("bytes").alias("b")).alias("_e"), (F.col("id").isNotNull() & F.col("bytes").isNull()).alias("_lost"))
+    whole = spelled.groupBy("_row").agg(F.first("_key").alias("_key"), F.max("_null").alias("_null"), F.max("_lost").alias("_lost"), F.array_sort(F.collect_list("_e")).alias("_e"))
+    text = F.decode(F.unhex(F.array_join(F.transform("_e", lambda x: x["b"]), "")), "utf-8")
+    return whole.select(F.col("_key").cast("bigint").alias(key), F.when(~F.col("_null") & ~F.col("_lost"), text).alias("text"))
