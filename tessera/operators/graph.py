@@ -14,7 +14,7 @@ def connected_components(edges: DataFrame, src: str = "src", dst: str = "dst") -
     Each round every node points at its smallest neighbour, pointers are jumped until all point at roots, and the
     edges are relabelled by root and deduplicated. A node with a smaller neighbour is never a root, so every component
     with edges left loses nodes in each round, usually most of them; a star is done in two rounds whatever its
-    centre. Every table is one write to the shared folder, which also counts what is left; pointers are jumped twice
+    centre. Every table is written to the shared folder once, then counted; pointers are jumped twice
     a write. Edges with a null end are ignored; self loops only announce their node; repeated edges change nothing;
     an empty table gives an empty result.
     """

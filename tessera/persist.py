@@ -5,7 +5,7 @@ from __future__ import annotations
 import tempfile
 import uuid
 
-from pyspark.sql import Column, DataFrame, Observation, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 
 
 _made: list[str] = []
@@ -39,10 +39,9 @@ def cut(df: DataFrame, name: str = "t", rows_together: int | None = None) -> Dat
 
 
 def cut_counting(df: DataFrame, count: Column, name: str = "t") -> tuple[DataFrame, int]:
-    """The same, and the value of the aggregate ``count`` over the rows, taken while they are written."""
-    seen = Observation()
-    out = cut(df.observe(seen, count.alias("n")), name)
-    return out, seen.get["n"] or 0
+    """The same, and the value of the aggregate ``count`` over the rows, read from the columns it needs."""
+    out = cut(df, name)
+    return out, out.agg(count).first()[0] or 0
 
 
 class Versions:
