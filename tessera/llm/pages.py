@@ -1,4 +1,6 @@
-"""What a page is made of: shares of sentences, of data, and of neither, as features of spam pages."""
+"""What a page is made of: content and link features for the trees, and, read part by part, the shares of sentences, of
+data and of neither, which give weak labels and the last check. The two share no signal: the features know no
+words and no sentences, the shares no counts of marks, repeats or hosts."""
 
 from __future__ import annotations
 
@@ -35,9 +37,50 @@ _PARTICLE = re.compile("[的了在是为被和与未不个はをにがのでと
 _CYRILLIC = re.compile("[Ѐ-ӿ]")
 _END = re.compile(r"[.!?。！？:;)…]['\"”»)]*\s*$")
 _INVISIBLE = re.compile("[​-‏⁠﻿­]")
-_COUNTED = re.compile("[,;|/•★·–-]")
 
-FEATURES = ["sentences", "data", "neither", "links", "repeated", "distinct", "function", "separators", "hashes", "digits", "top_words", "part_words", "letters_apart"]
+FEATURES = [
+    *"stops commas bars stars hashes semicolons dots dashes slashes parens tabs digits upper odd".split(),
+    *"words letters_apart distinct top_words top_pairs line_length distinct_lines links link_hosts in_links".split(),
+]
+_STOPS = ("。", "！", "？", ". ", "! ", "? ", ".\n", "!\n", "?\n")
+_MARKS = (",", "|", "★", "#", ";", "·•", "–-", "/", "[]()", "\t", "0123456789")
+_HOST = re.compile(r"(?:[a-z]+://|www\.)(?:[^/@\s]*@)?([^/:?#\s\"'<>()\]]+)", re.I)
+
+
+def linked_hosts(text: str) -> list[str]:
+    """Hosts of all links of a page, in lower case, one per link."""
+    if "://" not in text and "www." not in text.lower():
+        return []
+    return [h.lower() for h in _HOST.findall(text)]
+
+
+def content(text: str) -> tuple[list[float], list[str]]:
+    """The FEATURES of a text but for ``in_links``, which is the host graph's, and the distinct hosts it links to."""
+    n = max(1, len(text))
+    lower = text.lower()
+    words = _WORD.findall(lower)
+    many = max(1, len(words))
+    seen = Counter(words)
+    pairs = Counter(zip(words, words[1:]))
+    lines = text.split("\n")
+    hosts = linked_hosts(text)
+    known = sorted(set(hosts))
+    per = 100 / n
+    return [
+        sum(map(text.count, _STOPS)) * per,
+        *[sum(map(text.count, m)) * per for m in _MARKS],
+        sum(map(str.isupper, text)) / n if not text.islower() else 0.0,
+        0.0 if text.isascii() else (n - len(text.encode("ascii", "ignore"))) / n,
+        len(words) * per,
+        sum(c for w, c in seen.items() if len(w) == 1) / many,
+        len(seen) / many,
+        sum(sorted(seen.values())[-5:]) / many,
+        sum(sorted(pairs.values())[-5:]) / many,
+        min(400.0, n / len(lines)),
+        len(set(lines)) / len(lines),
+        len(hosts) * 1000 / n,
+        len(known) / max(1, len(hosts)),
+    ], known
 
 
 def _marked(line: str) -> int:
@@ -63,22 +106,22 @@ def is_sentence(part: str, words: list[str], function: int) -> bool:
             return len(set(words)) * 3 > 2 * n
     if n < 4 or function * 8 < n or not function or len("".join(words)) < 2.5 * n:
         return False
-    return (n >= 7 or _END.search(part) is not None) and len(set(words)) * 2 > n
+    # Without an end mark a part is long and rich in function words, or a phrase with some in it.
+    if _END.search(part) is None and (n < 7 or function * 5 < n):
+        return False
+    return len(set(words)) * 2 > n
 
 
-def features(text: str) -> list[float]:
-    """The FEATURES of a text; shares are of its characters without blanks."""
+def shares(text: str) -> tuple[float, float, float]:
+    """Shares of sentences, of data and of neither, of a text's characters without blanks."""
     if not text.isascii():
         text = _INVISIBLE.sub("", text)
-    total = sentences = data = linked = parts = functions = 0
-    kinds: Counter[str] = Counter()
-    all_words: list[str] = []
+    total = sentences = data = 0
     lines = text.split("\n")
     for at, line in enumerate(lines):
         if not line or line.isspace():
             continue
         size = len(line) - line.count(" ")
-        parts += 1
         if (line.isupper() and line.isalpha() and size > 5) or (line[0] == ">" and size < 120):
             total += size
             data += size
@@ -92,9 +135,7 @@ def features(text: str) -> list[float]:
             continue
         if _MAYBE_LINK.search(line):
             plain = _LINK.sub(" ", line)
-            gone = size - (len(plain) - plain.count(" "))
-            linked += gone
-            total += gone
+            total += size - (len(plain) - plain.count(" "))
             line = plain
         for part in _CUT.split(line):
             size = len(part) - part.count(" ")
@@ -103,30 +144,10 @@ def features(text: str) -> list[float]:
             total += size
             words = _WORD.findall(part.lower())
             function = len(words) - len([w for w in words if w not in FUNCTION_WORDS])
-            functions += function
-            all_words += words
-            kinds[" ".join(words)] += size
             if is_sentence(part, words, function):
                 sentences += size
             elif size >= 12:
                 chains = _CHAIN.findall(part)
                 data += min(size, sum(map(len, chains)) + sum(map(len, _STRUCTURE.findall(part))) + _rows(part))
     total = max(total, 1)
-    seen = Counter(all_words)
-    n = max(1, len(all_words))
-    length = max(1, len(text))
-    return [
-        sentences / total,
-        data / total,
-        max(0.0, 1 - (sentences + data) / total),
-        linked / total,
-        1 - len(kinds) / max(1, parts) if len(kinds) < parts else 0.0,
-        len(seen) / n,
-        functions / n,
-        len(_COUNTED.findall(text)) / length,
-        text.count("#") / n,
-        sum(map(text.count, "0123456789")) / length,
-        sum(sorted(seen.values())[-5:]) / n,
-        n / max(1, parts),
-        sum(c for w, c in seen.items() if len(w) == 1) / n,
-    ]
+    return sentences / total, data / total, max(0.0, 1 - (sentences + data) / total)

@@ -134,13 +134,13 @@ def p7_report(spark: SparkSession, d: str) -> DataFrame:
 
 def p8_found(spark: SparkSession, d: str) -> DataFrame:
     """Pages most of whose text is keywords, lists or links."""
-    return spam.spam_pages(table(spark, d, "documents")).where("smoothed > 0.5").select("doc_id")
+    return spam.spam_pages(table(spark, d, "documents")).where("spam").select("doc_id")
 
 
 def p8_hosts(spark: SparkSession, d: str) -> DataFrame:
     """Pages and spam pages of each host."""
     s = spam.spam_pages(table(spark, d, "documents")).where("host is not null")
-    return s.groupBy("host").agg(F.count("*").alias("n_pages"), F.count_if(F.col("smoothed") > 0.5).alias("n_spam"))
+    return s.groupBy("host").agg(F.count("*").alias("n_pages"), F.count_if("spam").alias("n_spam"))
 
 
 QUERIES = {f.__name__: f for f in (p1_found, p1_one_shot, p1_assign, p1_report, p1_shares, p1_leaks, p1_incremental, p5_found, p5_links, p5_coverage, p5_report, p6_ids, p6_round_trip, p7_found, p7_mix, p7_report, p8_found, p8_hosts)}

@@ -1,4 +1,4 @@
-"""Keyword-stuffed and link-list pages: bagged trees on page features, smoothed by host."""
+"""Keyword-stuffed and link-list pages: bagged trees on content and link features, smoothed by host, then checked."""
 
 from __future__ import annotations
 
@@ -10,18 +10,19 @@ from pyspark.ml.functions import array_to_vector, vector_to_array
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tessera.llm.pages import FEATURES, features
-from tessera.persist import cut
+from tessera.llm import pages
+from tessera.persist import cut, cut_counting
 
 #: Shorter pages are never cases.
 MIN_CHARS = 100
-#: Weak labels: a page is taken for spam, or for honest, where this much or little of it is neither sentences
-#: nor data; pages between have no label.
-SPAM_ABOVE, HONEST_BELOW = 0.55, 0.5
-#: Bound of the labelled sample the trees are fitted on: about so many pages of each kind, of which there are at
-#: most 1200, few of which occur. Everything else runs over all pages.
-SAMPLE = 100
-TREES, DEPTH, SEED = 20, 5, 42
+#: More than this share of a case is neither sentences nor data; so are weak labels.
+MOST = 0.5
+#: Bound of the labelled sample the trees are fitted on: about so many pages, by hash of their key. Everything else runs
+#: over all pages.
+SAMPLE = 40_000
+TREES, DEPTH, BINS, SEED = 30, 12, 64, 42
+#: Pages whose smoothed vote is above this are read whole for the last check.
+DOUBT = 0.01
 #: A host counts as much as HOST_WEIGHT of the evidence of its other pages, of which HOST_PRIOR are taken to
 #: be as all pages are.
 HOST_WEIGHT, HOST_PRIOR = 0.25, 10.0
@@ -33,64 +34,65 @@ def host(url: Column) -> Column:
     return F.when(h != "", h)
 
 
-def page_features(docs: DataFrame, key: str = "doc_id", text: str = "text", url: str = "url") -> DataFrame:
-    """``(key, host, f)`` of each page of at least MIN_CHARS characters, written to the shared folder.
+def long_enough(docs: DataFrame, key: str, text: str) -> DataFrame:
+    return docs.where(F.length(text) >= MIN_CHARS).select(F.col(key).cast("bigint").alias(key), F.col(text).alias("text"))
 
-    Equal texts are measured once. Null and short texts are left out: they are never cases.
+
+def page_features(docs: DataFrame, key: str = "doc_id", text: str = "text", url: str = "url") -> tuple[DataFrame, int]:
+    """``(key, host, f)`` of each page of at least MIN_CHARS characters, written to the shared folder, and their number.
+
+    Content and links are counted page by page; from all pages' links comes the graph of hosts, whose feature is the
+    number of pages of other hosts that link to the page's host. Null and short texts are left out: they are never cases.
     """
     base = docs.where(F.length(text) >= MIN_CHARS).select(F.col(key).cast("bigint").alias(key), host(F.col(url)).alias("host"), F.col(text).alias("text"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            f = [features(t) for t in b.column(2).to_pylist()]
-            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(f, pa.list_(pa.float64()))], names=[key, "host", "f"])
-
-    return cut(base.mapInArrow(run, f"`{key}` bigint, host string, f array<double>"), "pages")
+            got = [pages.content(t) for t in b.column(2).to_pylist()]
+            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array([g[0] for g in got], pa.list_(pa.float64())), pa.array([g[1] for g in got], pa.list_(pa.string()))], names=[key, "host", "f", "to"])
 
+    made, n = cut_counting(base.mapInArrow(run, f"`{key}` bigint, host string, f array<double>, to array<string>"), F.count("*"), "pages")
+    links = made.select(F.col("host").alias("_from"), F.explode("to").alias("_to")).where("_from is null or _from <> _to")
+    inward = links.groupBy("_to").agg(F.count("*").alias("_in"))
+    return made.join(inward, made["host"] == inward["_to"], "left").select(key, "host", F.concat("f", F.array(F.log1p(F.coalesce("_in", F.lit(0)).cast("double")))).alias("f")), n
 
-def weak_label(f: Column) -> Column:
-    neither = F.element_at(f, FEATURES.index("neither") + 1)
-    return F.when(neither > SPAM_ABOVE, 1.0).when(neither < HONEST_BELOW, 0.0)
 
+def read_shares(texts: DataFrame, key: str = "doc_id") -> DataFrame:
+    """``(key, neither)`` of whole texts."""
 
-def coarse(f: Column) -> Column:
-    """Features in steps of a fiftieth, few enough for the trees to try every cut."""
-    return F.transform(f, lambda x: F.rint(F.least(x, F.lit(50.0)) * F.when(x > 1, 1).otherwise(50)) / F.when(x > 1, 1).otherwise(50))
-
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            yield pa.RecordBatch.from_arrays([b.column(0), pa.array([pages.shares(t)[2] for t in b.column(1).to_pylist()], pa.float64())], names=[key, "neither"])
 
-def kind(f: Column) -> Column:
-    """What sort of page it is, coarsely, so that rare sorts of honest and of spam pages are learned from too."""
-    of = lambda name: F.element_at(f, FEATURES.index(name) + 1)
-    fifths = F.least(F.floor(of("sentences") * 5), F.lit(4))
-    return F.concat_ws(" ", fifths, F.floor(of("data") * 2.99), of("links") > 0.2, of("function") < 0.05, F.floor(of("neither") * 9.99))
+    return texts.select(key, "text").mapInArrow(run, f"`{key}` bigint, neither double")
 
 
-def fit(pages: DataFrame, key: str = "doc_id") -> RandomForestClassificationModel | None:
-    """Trees, each on a bootstrap sample, with all features at every node; None where the pages don't give both labels.
+def fit(docs: DataFrame, featured: DataFrame, n: int, key: str = "doc_id", text: str = "text") -> RandomForestClassificationModel | None:
+    """Trees, each on a bootstrap sample, with a third of the features at each node; None where the sample hasn't both labels.
 
-    Of each kind and label about SAMPLE pages are taken, by hash of their key.
+    Weak labels come from the shares of sentences and data, which are no features.
     """
-    labelled = pages.select(key, "f", weak_label(F.col("f")).alias("label"), kind(F.col("f")).alias("kind")).where("label is not null")
-    sizes = labelled.groupBy("label", "kind").agg(F.count("*").alias("n"))
-    part = F.pmod(F.xxhash64(key, F.lit(SEED)), F.lit(1_000_000)) * F.col("n") < SAMPLE * 1_000_000
-    drawn = labelled.join(F.broadcast(sizes), ["label", "kind"]).where(part)
-    sample = cut(drawn.select("label", array_to_vector(coarse(F.col("f"))).alias("features")).repartition(4), "sample")
+    part = F.pmod(F.xxhash64(key, F.lit(SEED)), F.lit(1_000_000)) < SAMPLE * 1_000_000 / max(n, 1)
+    # Parted by number, as reading texts is work, not bytes.
+    parts = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    labelled = read_shares(long_enough(docs, key, text).where(part).repartition(parts), key).select(F.col(key).alias("_key"), (F.col("neither") > MOST).cast("double").alias("label"))
+    sample = cut(featured.where(part).join(labelled, F.col(key).eqNullSafe(F.col("_key"))).select("label", array_to_vector("f").alias("features")), "sample")
     if sample.select("label").distinct().count() < 2:
         return None
-    trees = RandomForestClassifier(labelCol="label", featuresCol="features", numTrees=TREES, maxDepth=DEPTH, featureSubsetStrategy="all", seed=SEED, bootstrap=True, minInstancesPerNode=2, maxBins=128)
+    trees = RandomForestClassifier(labelCol="label", featuresCol="features", numTrees=TREES, maxDepth=DEPTH, featureSubsetStrategy="onethird", seed=SEED, bootstrap=True, maxBins=BINS)
     return trees.fit(sample)
 
 
-def score(pages: DataFrame, model: RandomForestClassificationModel | None, key: str = "doc_id") -> DataFrame:
-    """``(key, host, p)``: the trees' vote, or the weak label itself where there is no model."""
+def score(featured: DataFrame, model: RandomForestClassificationModel | None, key: str = "doc_id") -> DataFrame:
+    """``(key, host, p)``: the trees' vote, or 0.5 where there is no model, which leaves all pages to the last check."""
     if model is None:
-        return pages.select(key, "host", F.coalesce(weak_label(F.col("f")), F.lit(0.5)).alias("p"))
-    voted = model.transform(pages.withColumn("features", array_to_vector(coarse(F.col("f")))))
+        return featured.select(key, "host", F.lit(0.5).alias("p"))
+    voted = model.transform(featured.withColumn("features", array_to_vector("f")))
     return voted.select(key, "host", F.element_at(vector_to_array("probability"), 2).alias("p"))
 
 
 def _logit(p: Column) -> Column:
-    q = F.least(F.greatest(p, F.lit(0.01)), F.lit(0.99))
+    q = F.least(F.greatest(p, F.lit(0.001)), F.lit(0.999))
     return F.log(q / (1 - q))
 
 
@@ -110,9 +112,16 @@ def smooth(scored: DataFrame, key: str = "doc_id") -> DataFrame:
 
 
 def spam_pages(docs: DataFrame, key: str = "doc_id", text: str = "text", url: str = "url") -> DataFrame:
-    """``(key, host, p, smoothed)`` of every page of at least MIN_CHARS characters; spam is ``smoothed > 0.5``.
+    """``(key, host, p, smoothed, neither, spam)`` of every page of at least MIN_CHARS characters.
 
-    Copies of a page get the same vote. Other columns aren't carried; an empty table gives an empty result.
+    ``spam`` is true where the smoothed vote is above DOUBT and the check of the whole text agrees: more than half is neither
+    sentences nor data. ``neither`` is null for pages below DOUBT, which aren't read again. Copies of a page get the same
+    vote. Other columns aren't carried; an empty table gives an empty result.
     """
-    pages = page_features(docs, key, text, url)
-    return smooth(cut(score(pages, fit(pages, key), key), "scored"), key)
+    featured, n = page_features(docs, key, text, url)
+    voted = cut(smooth(cut(score(featured, fit(docs, featured, n, key, text), key), "scored"), key), "voted")
+    doubtful = voted.where(F.col("smoothed") > DOUBT).select(F.col(key).alias("_key")).distinct()
+    texts = long_enough(docs, key, text).join(doubtful, F.col(key).eqNullSafe(F.col("_key")), "left_semi")
+    read = read_shares(texts, key).groupBy(F.col(key).alias("_key")).agg(F.max("neither").alias("neither"))
+    j = voted.join(read, F.col(key).eqNullSafe(F.col("_key")), "left").drop("_key")
+    return j.select(key, "host", "p", "smoothed", "neither", F.coalesce(F.col("neither") > MOST, F.lit(False)).alias("spam"))

@@ -245,8 +245,8 @@ def test_mix(spark):
 SENTENCES = "We measured the affinity of the compound at the receptor. The plates were read after an hour in buffer. No trend was seen between the two series, and the data were kept. "
 
 
-def share(text, name):
-    return pages.features(text)[pages.FEATURES.index(name)]
+def neither(text):
+    return pages.shares(text)[2]
 
 
 @pytest.mark.parametrize(
@@ -266,13 +266,14 @@ def share(text, name):
     ],
 )
 def test_share_of_neither(text, low, high):
-    assert low <= share(text, "neither") <= high
+    assert low <= neither(text) <= high
 
 
 def test_long_and_odd_texts():
     for t in ("x" * 300_000, "a, " * 100_000, "\n" * 200_000, "​" * 200, ";" * 50_000, "a.b" * 50_000):
-        f = pages.features(t)
-        assert len(f) == len(pages.FEATURES) and all(np.isfinite(f))
+        f, hosts = pages.content(t)
+        assert len(f) == len(pages.FEATURES) - 1 and all(np.isfinite(f)) and hosts == []
+        assert 0 <= neither(t) <= 1
 
 
 def test_spam_pages(spark):
@@ -284,11 +285,24 @@ def test_spam_pages(spark):
         docs.append((i, junk if bad else SENTENCES * rng.randint(1, 4), f"http://h{i % 5}.test/{i}" if i % 4 else None))
     docs += [(900, None, "http://a.test"), (901, "", None), (902, "buy buy", None), (903, docs[0][1], "::bad url::")]
     df = spark.createDataFrame(docs, "doc_id bigint, text string, url string").withColumns({"host": F.lit("clash"), "f": F.lit(1), "p": F.lit(2)})
-    got = {r.doc_id for r in spam.spam_pages(df).where("smoothed > 0.5").collect()}
+    got = {r.doc_id for r in spam.spam_pages(df).where("spam").collect()}
     assert got == {i for i in range(120) if i % 3 == 0} | {903}
     assert spam.spam_pages(df.limit(0)).count() == 0
     honest = spam.spam_pages(df.where("doc_id % 3 = 1")).collect()
-    assert honest and all(r.smoothed < 0.5 for r in honest)
+    assert honest and not any(r.spam for r in honest)
+    # Without the check too the trees tell most pages.
+    assert all((r.smoothed > 0.5) == r.spam for r in spam.spam_pages(df).collect())
+
+
+def test_links_and_host_graph(spark):
+    text = SENTENCES + " http://B.test/x https://u@b.test:8/y www.c.test/z [a](http://d.test)"
+    f, hosts = pages.content(text)
+    assert hosts == ["b.test", "c.test", "d.test"] and pages.linked_hosts(text) == ["b.test", "b.test", "c.test", "d.test"]
+    assert f[pages.FEATURES.index("link_hosts")] == 3 / 4
+    docs = spark.createDataFrame([(1, text, "http://a.test/1"), (2, text, "http://b.test/2"), (3, SENTENCES, "http://b.test/3"), (4, text, None)], "doc_id bigint, text string, url string")
+    got, n = spam.page_features(docs)
+    last = {r.doc_id: r.f[-1] for r in got.collect()}
+    assert n == 4 and last[1] == 0 and last[2] == last[3] == pytest.approx(np.log1p(2)) and last[4] == 0
 
 
 def test_host_moves_doubtful_pages_only(spark):
