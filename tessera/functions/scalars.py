@@ -18,7 +18,7 @@ CLASS_NO, CLASS_YES = ["n", "no", "inactive", "0", "false"], ["y", "yes", "activ
 FLAG_YES = ["1", "1.0", "true", "yes"]
 QUALITY = ["low", "medium", "high"]
 ASSAYS = ["IC50", "EC50", "Ki", "Kd", "Other"]
-ASSAY_OF_TYPE = {"Ki": "Ki", "Kd": "Kd", "IC50": "IC50", "EC50": "EC50", "Potency": "Other", "AC50": "Other", "ED50": "Other", "XC50": "Other"}
+ASSAY_OF_TYPE = {"Ki": "Ki", "IC50": "IC50", "EC50": "EC50", "Kd": "Kd", "Potency": "Other", "AC50": "Other", "ED50": "Other", "XC50": "Other"}
 
 
 def number(c: Column) -> Column:
@@ -164,3 +164,26 @@ def model_id(c: Column) -> Column:
 def short_count(n: Column) -> Column:
     """A count as people write it: 950, 1.2k, 3.4M."""
     return F.when(n >= 1_000_000, F.format_string("%.1fM", n / 1e6)).when(n >= 1_000, F.format_string("%.1fk", n / 1e3)).otherwise(n.cast("string"))
+
+
+def json_text(c: Column, *paths: str) -> Column:
+    """The first of the JSON paths that holds a text which isn't blank, else null."""
+    return F.coalesce(*[F.when(strip(F.get_json_object(c, p)) != "", strip(F.get_json_object(c, p))) for p in paths])
+
+
+def nm_to_pchembl(nm: Column) -> Column:
+    """The inverse of pchembl_to_nm, null for what isn't above zero."""
+    return F.when((nm > 0) & (nm < float("inf")), F.lit(9.0) - F.log10(nm))
+
+
+def tokens_of(spec: str, aliases: dict[str, str] | None = None) -> list[str]:
+    """A comma-separated list of names in lower case, aliases resolved (an alias may stand for several), repeats dropped."""
+    out: list[str] = []
+    for part in spec.split(","):
+        name = part.strip().lower()
+        for token in (aliases or {}).get(name, name).split(","):
+            if token.strip() and token.strip() not in out:
+                out.append(token.strip())
+    if not out:
+        raise ValueError("no name given")
+    return out

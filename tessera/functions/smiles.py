@@ -151,6 +151,69 @@ def _parts(base: int, end: int, us: list[int], vs: list[int]) -> list[int]:
     return [names.setdefault(top(i), len(names)) for i in range(end - base)]
 
 
+def write_smiles(symbols: list[str], bonds: list[tuple[int, int, int]]) -> str:
+    """A SMILES text of a graph of element symbols and bonds ``(atom, atom, order)``, order 4 being aromatic; "" without atoms.
+
+    Symbols that need no brackets are written bare, so hydrogens follow from the valence.
+    """
+    near: list[list[tuple[int, str]]] = [[] for _ in symbols]
+    marks = {1: "", 2: "=", 3: "#", 4: ":"}
+    for a, b, order in bonds:
+        near[a].append((b, marks.get(order, "")))
+        near[b].append((a, marks.get(order, "")))
+    atom = [s if s in BARE else f"[{s}]" for s in symbols]
+    seen: set[int] = set()
+    whole = []
+    for root in range(len(symbols)):
+        if root in seen:
+            continue
+        # The tree of a depth-first walk; what closes rings is numbered at both ends.
+        children: dict[int, list[tuple[int, str]]] = {}
+        rings: dict[int, list[str]] = {}
+        parent = {root: -1}
+        todo = [(root, iter(near[root]))]
+        seen.add(root)
+        number = 0
+        closed: set[tuple[int, int]] = set()
+        while todo:
+            at, rest = todo[-1]
+            step = next(rest, None)
+            if step is None:
+                todo.pop()
+                continue
+            to, mark = step
+            if to not in seen:
+                seen.add(to)
+                parent[to] = at
+                children.setdefault(at, []).append((to, mark))
+                todo.append((to, iter(near[to])))
+            elif to != parent[at] and (min(at, to), max(at, to)) not in closed:
+                closed.add((min(at, to), max(at, to)))
+                number += 1
+                name = str(number) if number < 10 else f"%{number:02d}" if number < 100 else f"%({number})"
+                rings.setdefault(at, []).append(mark + name)
+                rings.setdefault(to, []).append(name)
+        parts: list[str] = []
+        stack: list[tuple[str, int]] = [("", root)]
+        while stack:
+            mark, at = stack.pop()
+            if at < 0:
+                parts.append(mark)
+                continue
+            parts.append(mark + atom[at] + "".join(rings.get(at, ())))
+            below = children.get(at, [])
+            # The last branch needs no parentheses.
+            for i, (to, m) in reversed(list(enumerate(below))):
+                if i < len(below) - 1:
+                    stack.append((")", -1))
+                    stack.append((m, to))
+                    stack.append(("(", -1))
+                else:
+                    stack.append((m, to))
+        whole.append("".join(parts))
+    return ".".join(whole)
+
+
 def is_molecule(text: str | None) -> bool:
     """Whether the text, blanks around it removed, is one SMILES by the grammar."""
     return text is not None and parse(text.strip()) is not None

@@ -12,6 +12,26 @@ def half_even(c: Column) -> Column:
     return F.rint(c).cast("bigint")
 
 
+def goal_share(df: DataFrame, y: str, ratio: str | float) -> tuple[str, float]:
+    """Name and share of actives that a ratio stands for: ``equal`` is a half, ``dataset`` the share among the rows, a number is
+    itself. The share must lie between 0 and 1, both excluded."""
+    key = ratio.strip().lower() if isinstance(ratio, str) else ratio
+    if key == "equal":
+        return "equal", 0.5
+    if key == "dataset":
+        got = df.agg(F.avg((F.col(y) > 0.5).cast("int"))).first()[0]
+        if got is None or not 0 < got < 1:
+            raise ValueError(f"share of actives among the rows must be between 0 and 1, not {got}")
+        return "dataset", got
+    try:
+        share = float(key)
+    except ValueError:
+        raise ValueError(f"unknown ratio {ratio!r}") from None
+    if not 0 < share < 1:
+        raise ValueError(f"share must be between 0 and 1, not {share}")
+    return "custom", share
+
+
 def class_counts(df: DataFrame, target: str, y: str) -> DataFrame:
     return df.groupBy(target).agg(F.sum(F.col(y).cast("bigint")).alias("n_pos"), F.sum((1 - F.col(y)).cast("bigint")).alias("n_neg"))
 
@@ -66,12 +86,12 @@ def balance_summary(df: DataFrame, target: str, y: str, pi: float, upsample: boo
     ).withColumn("n_rows_after", F.coalesce(after, F.lit(0)))
 
 
-def size_weights(df: DataFrame, target: str, row: str, alpha: float) -> DataFrame:
-    """``(row, target, weight)``: the target's number of rows to the power ``-alpha``."""
+def size_weights(df: DataFrame, target: str, row: str, alpha: float, weight: str | None = None) -> DataFrame:
+    """``(row, target, weight)``: the target's number of rows to the power ``-alpha``, times the weights already there."""
     if alpha < 0:
         raise ValueError("alpha must be at least 0")
     c = df.groupBy(target).agg(F.count("*").alias("_n"))
-    return df.join(c, target).select(row, target, F.pow(F.col("_n").cast("double"), F.lit(-float(alpha))).alias("weight"))
+    return df.join(c, target).select(row, target, (F.pow(F.col("_n").cast("double"), F.lit(-float(alpha))) * (F.col(weight) if weight else F.lit(1.0))).alias("weight"))
 
 
 def cap_rows(df: DataFrame, target: str, row: str, most: int, seed: int = 42) -> DataFrame:
@@ -132,8 +152,25 @@ def batch_plan(df: DataFrame, target: str, y: str, row: str, targets: int, k: in
     return cells.select(F.floor(F.col("_place") / targets).cast("int").alias("batch"), slot.cast("int").alias("slot"), target, y, row)
 
 
-def row_shards(df: DataFrame, row: str, n_rows: int, size: int, shards: int) -> DataFrame:
-    """``(shard, row)``: contiguous runs of rows numbered from 0, each starting where the last ended, wrapping around."""
-    each = F.explode(F.sequence(F.lit(0), F.lit(shards - 1)))
-    s = df.select(row, each.alias("shard"))
-    return s.where(F.pmod(F.col(row) - F.col("shard") * size, F.lit(n_rows)) < size).select("shard", row)
+def row_shards(df: DataFrame, row: str, size: int, shards: int) -> DataFrame:
+    """``(shard, row)``: runs of ``size`` rows in the order of their ids, each starting where the last ended, wrapping around.
+
+    Rows are numbered without gaps by running sums, and each row's shards follow from its number, so only rows that are in
+    a shard are made.
+    """
+    from tessera.operators.prepare import dense_ids
+
+    placed = dense_ids(df, row, row, "_at")
+    n = placed.agg(F.count("*")).scalar()
+    turns = F.expr(f"CASE WHEN _at < {size * shards} THEN sequence(_at, CAST({size * shards - 1} AS BIGINT), _rows) ELSE array() END")
+    each = placed.withColumn("_rows", n).withColumn("_t", F.explode(turns))
+    return each.select(F.floor(F.col("_t") / size).cast("int").alias("shard"), row)
+
+
+def epoch_order(df: DataFrame, row: str, size: int, epoch: int, seed: int = 42) -> DataFrame:
+    """``(batch, place, row)``: every row once, in the hash order of the epoch, cut into batches of ``size``."""
+    from tessera.operators.prefix import running_sum, text_slot
+
+    h = F.md5(F.concat_ws("|", F.col(row).cast("string"), F.lit(str(seed)), F.lit(str(epoch))))
+    at = running_sum(df.select(row).withColumns({"_all": F.lit(0), "_md5": h}), ["_all"], {"_at": F.lit(1).cast("bigint")}, text_slot(F.col("_md5")), ["_md5", row])
+    return at.select(F.floor(F.col("_at") / size).alias("batch"), (F.col("_at") % size).cast("int").alias("place"), row)

@@ -80,13 +80,52 @@ def score_pairs(rows: DataFrame, valid: Column, score: Column) -> DataFrame:
     return rows.withColumn("p_active", F.when(valid, score).otherwise(float("nan")))
 
 
-def every_pair(ligands: DataFrame, proteins: DataFrame, most: int = 10_000) -> DataFrame:
-    """Each ligand with each protein of a query; the proteins are a user's list, checked to have ``most`` at most."""
-    few = proteins.limit(most + 1).collect()
-    if len(few) > most:
-        raise ValueError(f"more than {most} proteins; score them in several calls")
-    listed = F.array(*[F.struct(*[F.lit(v).cast(f.dataType).alias(f.name) for v, f in zip(r, proteins.schema)]) for r in few])
-    return ligands.select("*", F.explode(listed).alias("_p")).select(*ligands.columns, "_p.*")
+def every_pair(ligands: DataFrame, proteins: DataFrame, block: int = 10_000) -> DataFrame:
+    """Each ligand with each protein of a stated query set, which is read in blocks of ``block`` proteins."""
+    out = None
+    rows: list = []
+
+    def pairs(rows: list) -> DataFrame:
+        listed = F.array(*[F.struct(*[F.lit(v).cast(f.dataType).alias(f.name) for v, f in zip(r, proteins.schema)]) for r in rows])
+        return ligands.select("*", F.explode(listed).alias("_p")).select(*ligands.columns, "_p.*")
+
+    for r in proteins.toLocalIterator():
+        rows.append(r)
+        if len(rows) == block:
+            out = pairs(rows) if out is None else out.unionByName(pairs(rows))
+            rows = []
+    if rows or out is None:
+        last = pairs(rows) if rows else ligands.crossJoin(proteins.limit(0))
+        out = last if out is None else out.unionByName(last)
+    return out
+
+
+def screen(library: DataFrame, query: DataFrame, score: Callable[[DataFrame], DataFrame], row: str, k: int, p: str = "p_active") -> DataFrame:
+    """The ``k`` best of a library against each protein of a query set: ``score`` adds ``p`` to pairs; NaN scores come last."""
+    return top_rows(score(every_pair(library, query)), p, row, k)
+
+
+def decode_vectors(df: DataFrame, raw: str, out: str, width: int) -> DataFrame:
+    """Little-endian 32-bit vectors out of bytes; bytes of another length than ``width`` numbers are an error."""
+    import numpy as np
+    import pyarrow as pa
+    from pyspark.sql.types import ArrayType, FloatType
+
+    @F.arrow_udf(ArrayType(FloatType()))
+    def read(b: pa.Array) -> pa.Array:
+        rows = []
+        for x in b.to_pylist():
+            if x is not None and len(x) != 4 * width:
+                raise ValueError(f"{len(x)} bytes are no vector of {width}")
+            rows.append(None if x is None else np.frombuffer(x, "<f4"))
+        return pa.array(rows, pa.list_(pa.float32()))
+
+    return df.withColumn(out, read(raw))
+
+
+def put_cache(cached: DataFrame, new: DataFrame, key: str) -> DataFrame:
+    """The cache with ``new`` put in, which overwrites what it had under the same key."""
+    return cached.join(new.select(key), key, "left_anti").unionByName(new)
 
 
 def best_candidate(scores: DataFrame, candidate: str, score: str, fallback: str, order: str) -> DataFrame:

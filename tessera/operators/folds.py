@@ -142,3 +142,41 @@ def usable_holdout(folds: DataFrame, share: float) -> DataFrame:
     n, v = F.count("*"), F.count_if(F.col("fold") == "val")
     ok = (n - v > 0) & (v >= F.greatest(F.lit(1), F.floor(n * (0.25 * share)))) & (n - v >= v)
     return folds.agg(n.alias("n"), v.alias("n_val"), ok.alias("usable"))
+
+
+def holdout_cascade(df: DataFrame, share: float, row: str, protein: str, scaffold: str | None, year: str, seed: int = 42) -> tuple[str, DataFrame] | None:
+    """Name and folds of the first holdout that will do: proteins first seen late, then double-cold, then cold proteins.
+
+    Without scaffolds the second is left out. None where none will do, so a caller fits without early stopping.
+    """
+    n = df.count()
+    least = max(1, int(share * n))
+    ways = {"time-protein": lambda: time_protein_split(df, protein, year, 1, least)}
+    shares = {"train": 1 - share, "val": share}
+    if scaffold:
+        ways["double-cold"] = lambda: double_cold_split(df, row, protein, scaffold, shares, seed)
+    ways["protein"] = lambda: cold_split(df, protein, shares, seed)
+    for name, make in ways.items():
+        got = cut(make(), "holdout")
+        if usable_holdout(got, share).first()["usable"]:
+            return name, got
+    return None
+
+
+# Ready-made splits under their plain names.
+
+
+def train_test_split(df: DataFrame, row: str, protein: str, scaffold: str, test: float = 0.2, seed: int = 42) -> DataFrame:
+    return double_cold_split(df, row, protein, scaffold, {"train": 1 - test, "test": test}, seed)
+
+
+def train_val_test_split(df: DataFrame, row: str, protein: str, scaffold: str, val: float = 0.1, test: float = 0.1, seed: int = 42) -> DataFrame:
+    return double_cold_split(df, row, protein, scaffold, {"train": 1 - val - test, "val": val, "test": test}, seed)
+
+
+def percent_time_split(df: DataFrame, year: str, val: float = 0.1, test: float = 0.1) -> DataFrame:
+    return time_split(df, year, year_cutoffs(df, year, val, test))
+
+
+def scaffold_train_test_split(df: DataFrame, scaffold: str, test: float = 0.2, seed: int = 42) -> DataFrame:
+    return cold_split(df, scaffold, {"train": 1 - test, "test": test}, seed)

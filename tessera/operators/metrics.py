@@ -10,14 +10,16 @@ from tessera.operators.prefix import running_sum, unit_slot
 NAMES = ["auroc", "auprc", "accuracy", "precision", "recall", "f1"]
 
 
-def binary_metrics(df: DataFrame, group: list[str], y: str, score: str, threshold: float = 0.5) -> DataFrame:
+def binary_metrics(df: DataFrame, group: list[str], y: str, score: str, threshold: float = 0.5, weight: str | None = None) -> DataFrame:
     """One row per group: ``n, n_pos, n_neg`` and the metrics of 0/1 labels ``y`` and scores from 0 to 1.
 
     Rows are counted by group and score first, so ties are exact and a group of any size is as large as its
     distinct scores, which are then summed along in slots. A group with one class has AUROC 0.5 and its
-    share of positives as AUPRC. A ratio over nothing is 0. Rows with a null label or score are left out.
+    share of positives as AUPRC. A ratio over nothing is 0. Rows with a null label or score are left out. ``weight`` is a
+    column of whole numbers of rows that each row stands for.
     """
-    counts = df.where(F.col(y).isNotNull() & F.col(score).isNotNull()).groupBy(*group, F.col(score).alias("_s")).agg(F.sum((F.col(y) > 0.5).cast("bigint")).alias("_p"), F.sum((F.col(y) <= 0.5).cast("bigint")).alias("_n"))
+    w = F.col(weight).cast("bigint") if weight else F.lit(1).cast("bigint")
+    counts = df.where(F.col(y).isNotNull() & F.col(score).isNotNull()).groupBy(*group, F.col(score).alias("_s")).agg(F.sum((F.col(y) > 0.5).cast("bigint") * w).alias("_p"), F.sum((F.col(y) <= 0.5).cast("bigint") * w).alias("_n"))
     low = running_sum(counts, group, {"_pb": F.col("_p"), "_nb": F.col("_n")}, unit_slot(F.col("_s")), ["_s"])
     hit = F.col("_s") >= threshold
     totals = counts.groupBy(*group).agg(
@@ -65,9 +67,11 @@ def macro(per_group: DataFrame, by: list[str] | None = None) -> DataFrame:
 def novelty_cube(df: DataFrame, y: str, score: str, flags: tuple[str, str]) -> DataFrame:
     """The metrics overall, by each flag, and by both: nine rows, metrics null where a bucket has one class."""
     a, b = flags
+    # Counted by flags, label and score first, so what is multiplied by four is counts, not rows.
+    few = df.where(F.col(y).isNotNull() & F.col(score).isNotNull()).groupBy(a, b, (F.col(y) > 0.5).cast("int").alias(y), score).agg(F.count("*").alias("_w"))
     each = F.array(*[F.struct(x.alias("a"), z.alias("b")) for x in (F.col(a), F.lit(None).cast("boolean")) for z in (F.col(b), F.lit(None).cast("boolean"))])
-    long = df.select(F.col(y), F.col(score), F.explode(each).alias("_c")).select(y, score, F.col("_c.a").alias(a), F.col("_c.b").alias(b))
-    got = binary_metrics(long, [a, b], y, score)
+    long = few.select(F.col(y), F.col(score), "_w", F.explode(each).alias("_c")).select(y, score, "_w", F.col("_c.a").alias(a), F.col("_c.b").alias(b))
+    got = binary_metrics(long, [a, b], y, score, weight="_w")
     three = "(VALUES (true), (false), (CAST(NULL AS boolean)))"
     frame = df.sparkSession.sql(f"SELECT x, z FROM {three} t(x) JOIN {three} u(z) ON true")
     out = frame.join(got, frame["x"].eqNullSafe(got[a]) & frame["z"].eqNullSafe(got[b]), "left")
@@ -94,6 +98,20 @@ def head_metrics(cells: DataFrame, head: str, true: str, guess: str, bins: int)
     return base.join(f1, base[head] == f1["_h"]).select(head, "n", "accuracy", "macro_f1", "ordinal_mae")
 
 
+def head_mean(per_head: DataFrame, metric: str = "macro_f1", out: str = "mean_head_f1") -> DataFrame:
+    """One row: the mean of a metric over the heads where it is finite, null without any."""
+    ok = F.col(metric).isNotNull() & ~F.isnan(metric) & (F.abs(metric) < float("inf"))
+    return per_head.agg(F.avg(F.when(ok, F.col(metric))).alias(out), F.count_if(ok).alias("n_heads"))
+
+
+def every_head(per_head: DataFrame, head: str, heads: int) -> DataFrame:
+    """The metrics with a row for every head, NaN where a head has no rows."""
+    frame = per_head.sparkSession.range(heads).select(F.col("id").cast(per_head.schema[head].dataType).alias("_h"))
+    j = frame.join(per_head, frame["_h"] == per_head[head], "left")
+    cells = [F.coalesce(c, F.lit(0)).alias(c) if c == "n" else F.coalesce(c, F.lit(float("nan"))).alias(c) for c in per_head.columns if c != head]
+    return j.select(F.col("_h").alias(head), *cells)
+
+
 def log_loss(y: Column, p: Column) -> Column:
     q = F.least(F.greatest(p, F.lit(1e-12)), F.lit(1 - 1e-12))
     return -(y * F.log(q) + (1 - y) * F.log(1 - q))
@@ -102,7 +120,8 @@ def log_loss(y: Column, p: Column) -> Column:
 def rank_losses(df: DataFrame, group: str, y: str, logit: str) -> DataFrame:
     """Per group: mean binary cross-entropy, pairwise logistic loss of positives over negatives, listwise loss.
 
-    Rows with equal label and logit are counted, not paired one by one, so pairs are of distinct logits.
+    An evaluation of whole groups: rows with equal label and logit are counted, not paired one by one, but a group's pairs are
+    of its distinct logits. Training goes over losses.batch_losses, whose groups are of fixed size.
     """
     x, lab = F.col(logit), F.col(y)
     soft = F.greatest(x, F.lit(0.0)) - x * lab + F.log1p(F.exp(-F.abs(x)))

@@ -16,12 +16,12 @@ WIDE = {"IC50": "ic50_nm", "EC50": "ec50_nm", "Ki": "ki_nm", "Kd": "kd_nm", "Oth
 def unpivot_assays(wide: DataFrame, keep: list[str]) -> DataFrame:
     """One row per valid measurement: ``keep``, ``assay_type, assay_order, nm, pactivity``.
 
-    Censored, junk, null and non-positive cells give no row. One pass: the five cells of a row become an
-    array that is exploded, nothing is scanned twice.
+    Censored, junk, null and non-positive cells give no row. One pass: the five cells of a row are stacked, then each is
+    parsed once.
     """
-    cells = F.array(*[F.struct(F.lit(a).alias("assay_type"), F.lit(i).alias("assay_order"), S.activity_nm(F.col(c)).alias("nm")) for i, (a, c) in enumerate(WIDE.items())])
-    long = wide.select(*keep, F.explode(F.filter(cells, lambda x: x["nm"].isNotNull())).alias("_c"))
-    return long.select(*keep, "_c.*").withColumn("pactivity", S.pactivity(F.col("nm")))
+    cells = ", ".join(f"'{a}', {i}, `{c}`" for i, (a, c) in enumerate(WIDE.items()))
+    long = wide.select(*keep, F.expr(f"stack({len(WIDE)}, {cells}) AS (assay_type, assay_order, _cell)")).where("_cell is not null")
+    return long.select(*keep, "assay_type", "assay_order", S.activity_nm(F.col("_cell")).alias("nm")).where("nm is not null").withColumn("pactivity", S.pactivity(F.col("nm")))
 
 
 def prepared_long(wide: DataFrame, key: str = "pair_id") -> DataFrame:
@@ -104,12 +104,15 @@ def gpcr_pairs(raw: DataFrame, proteins: DataFrame) -> DataFrame:
 def dense_ids(df: DataFrame, key: str, order: str, out: str) -> DataFrame:
     """``(key, first, out)``: distinct keys numbered from 0 in the order they are first seen.
 
-    The numbering sums along ranges of the order, so no task holds all keys.
+    The numbering sums along ranges of the order, of which there are at most 65536, so no task holds all keys and the table
+    of ranges stays small.
     """
     from tessera.operators.prefix import running_sum
 
-    seen = df.where(F.col(key).isNotNull()).groupBy(key).agg(F.min(order).alias("first")).withColumn("_all", F.lit(0))
-    got = running_sum(seen, ["_all"], {out: F.lit(1).cast("bigint")}, F.floor(F.col("first") / 65536), ["first", key])
+    seen = df.where(F.col(key).isNotNull()).groupBy(F.col(key)).agg(F.min(order).alias("first")).withColumn("_all", F.lit(0))
+    span = df.agg((F.max(order) - F.min(order)).alias("s")).scalar()
+    width = F.greatest(F.lit(4096), F.ceil(F.coalesce(span, F.lit(0)) / 65536))
+    got = running_sum(seen, ["_all"], {out: F.lit(1).cast("bigint")}, F.floor(F.col("first") / width), ["first", key])
     return got.drop("_all")
 
 
@@ -117,6 +120,11 @@ def counts_by_reason(df: DataFrame, reason: Column) -> DataFrame:
     return df.groupBy(F.coalesce(reason, F.lit("kept")).alias("reason")).agg(F.count("*").alias("n"))
 
 
+def column_or(df: DataFrame, column: str | None, default: object) -> Column:
+    """The column with null cells filled by the default, or the default alone where there is no such column."""
+    return F.coalesce(F.col(column), F.lit(default)) if column and column in df.columns else F.lit(default)
+
+
 def union_all(frames: list[DataFrame]) -> DataFrame:
     """All rows of all frames, columns by name, missing ones null; nothing is deduplicated."""
     return reduce(lambda a, b: a.unionByName(b, allowMissingColumns=True), frames)

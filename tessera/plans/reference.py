@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tessera.functions import scalars as S
-from tessera.operators import balance, eager, features, folds, metrics, prepare, vocab
+from tessera.operators import balance, build, eager, features, folds, losses, metrics, prepare, vocab
 from tessera.persist import cut
 from tessera.plans.sqltext import greedy_sql
 from tessera.tables import table
@@ -519,12 +519,10 @@ def stratified_batches(spark: SparkSession, d: str) -> DataFrame:
     return balance.batch_plan(_rows(spark, d), *BALANCE, 8, 4)
 
 
-@query("WITH n AS (SELECT max(row_id) + 1 AS n FROM indexed_rows) SELECT CAST(s AS INTEGER) AS shard, row_id FROM indexed_rows, n, range(0, 3) AS t(s) WHERE (((row_id - s * (n // 2)) % n) + n) % n < n // 2")
+@query("WITH p AS (SELECT row_id, row_number() OVER (ORDER BY row_id) - 1 AS pos FROM indexed_rows), n AS (SELECT count(*) AS n FROM p) SELECT CAST(s AS INTEGER) AS shard, row_id FROM p, n, range(0, 3) AS t(s) WHERE (((pos - s * 5000) % n) + n) % n < 5000")
 def row_shards(spark: SparkSession, d: str) -> DataFrame:
-    rows = _rows(spark, d)
-    n = rows.agg(F.max("row_id")).first()[0]
-    n = 0 if n is None else n + 1
-    return balance.row_shards(rows, "row_id", max(n, 1), n // 2, 3)
+    """Three runs of five thousand rows, each going on where the last ended."""
+    return balance.row_shards(_rows(spark, d), "row_id", 5000, 3)
 
 
 @query("SELECT CAST(dim AS INTEGER) AS dim, count(*) AS n, round(avg(x), 6) AS mean, round(stddev_pop(x), 6) AS dev FROM (SELECT unnest(embedding)::DOUBLE AS x, generate_subscripts(embedding, 1) - 1 AS dim FROM embeddings) GROUP BY 1")
@@ -705,3 +703,99 @@ def scaffold_shares(spark: SparkSession, d: str) -> DataFrame:
     """Rows and scaffolds of each fold of the scaffold split; a row without scaffold stands alone."""
     block = F.when(F.col("scaffold_groups") >= 0, F.concat(F.lit("s"), F.col("scaffold_groups"))).otherwise(F.concat(F.lit("r"), F.col("row_id")))
     return _shares(folds.cold_split(table(spark, d, "indexed_rows").select("row_id", block.alias("block")), "block", THREE))
+
+
+_PLAN = SQL["stratified_batches"]
+_LOGIT = "(((row_id * 7919 + activity_labels * 20) % 101) - 50) / 10.0::DOUBLE"
+
+
+@query(
+    f"""WITH plan AS ({_PLAN}), s AS (SELECT batch, slot // 8 AS place, activity_labels AS y, {_LOGIT} AS x FROM plan), p AS (SELECT a.batch, a.place, avg(greatest(b.x - a.x, 0) + ln(1 + exp(-abs(b.x - a.x)))) AS r FROM s a JOIN s b ON a.batch = b.batch AND a.place = b.place AND a.y = 1 AND b.y = 0 GROUP BY ALL),
+    t AS (SELECT batch, place, avg(greatest(x, 0) - x * y + ln(1 + exp(-abs(x)))) AS bce, ln(sum(exp(x))) - avg(CASE WHEN y = 1 THEN x END) AS l FROM s GROUP BY ALL)
+    SELECT t.batch, round(avg(bce), 6) AS bce, round(avg(r), 6) AS ranknet, round(avg(l), 6) AS listwise FROM t JOIN p ON t.batch = p.batch AND t.place = p.place GROUP BY t.batch"""
+)
+def batch_losses(spark: SparkSession, d: str) -> DataFrame:
+    """The three losses of every batch of the stratified plan."""
+    x = ((F.col("row_id") * 7919 + F.col("activity_labels") * 20) % 101 - 50) / 10.0
+    return _round(losses.batch_losses(stratified_batches(spark, d).withColumn("x", x), "activity_labels", "x", 4), ["bce", "ranknet", "listwise"])
+
+
+@query("SELECT 'equal' AS ratio, 0.5::DOUBLE AS share UNION ALL SELECT 'dataset', round(avg(CASE WHEN activity_labels > 0.5 THEN 1 ELSE 0 END), 9) FROM indexed_rows UNION ALL SELECT 'custom', 0.3::DOUBLE")
+def goal_shares(spark: SparkSession, d: str) -> DataFrame:
+    """What each kind of balance ratio stands for."""
+    rows = _rows(spark, d)
+    return spark.createDataFrame([(n, round(v, 9)) for n, v in (balance.goal_share(rows, "activity_labels", r) for r in ("equal", " Dataset ", 0.3))], "ratio string, share double")
+
+
+# A raw table as dumps have it, made from the wide one: flags, relations and values of a pair in lists.
+_CELL = {"type_ki": "ki_nm", "type_kd": "kd_nm", "type_ic50": "ic50_nm", "type_ec50": "ec50_nm", "type_other": "other_nm"}
+
+
+def _raw(spark: SparkSession, d: str) -> DataFrame:
+    pairs = table(spark, d, "prepared_pairs")
+    cells = F.filter(F.array(*[F.struct(F.lit(f).alias("f"), F.col(c).alias("v")) for f, c in _CELL.items()]), lambda x: F.coalesce(S.strip(x["v"]) != "", F.lit(False)))
+    base = pairs.select("pair_id", S.text(F.col("activity_label")).alias("cls"), cells.alias("c"))
+    join = lambda f: F.array_join(F.transform("c", f), ";")
+    is_of = lambda f: lambda x: F.when(x["f"] == f, "1").otherwise("0")
+    flags = [join(is_of(f)).alias(f) for f in _CELL]
+    relation = join(lambda x: F.when(x["v"].rlike("[<>]"), ">").otherwise("=")).alias("relation")
+    return base.select("pair_id", F.nullif("cls", F.lit("")).alias("activity_class"), *flags, relation, join(lambda x: F.translate(S.strip(x["v"]), ";", " ")).alias("pchembl_value"))
+
+
+_ITEMS = " UNION ALL ".join(f"SELECT pair_id, nullif({_t('activity_label')}, '') AS activity_class, '{a}' AS assay, {i} AS o, {c} AS v FROM prepared_pairs WHERE {_t(c)} <> ''" for i, (a, c) in enumerate((build.TYPE_FLAGS[f], c) for f, c in _CELL.items()))
+_FLAGGED = f"i AS ({_ITEMS}), n AS (SELECT *, count(*) OVER (PARTITION BY pair_id) AS many, row_number() OVER (PARTITION BY pair_id ORDER BY o) - 1 AS item, regexp_matches(v, '[<>]') AS bound FROM i), a AS (SELECT pair_id, activity_class, CASE WHEN many > 1 THEN item END AS item, assay, replace({_t('v')}, ';', ' ') AS pchembl_value FROM n WHERE many = 1 OR NOT bound)"
+
+
+@query(f"WITH {_FLAGGED} SELECT pair_id, CAST(item AS INTEGER) AS item, assay, pchembl_value FROM a")
+def flagged_activities(spark: SparkSession, d: str) -> DataFrame:
+    """Activities of the raw table by type flag, lists exploded and held to an exact relation."""
+    return build.activity_rows(_raw(spark, d), ["pair_id", "activity_class"]).select("pair_id", "item", "assay", "pchembl_value")
+
+
+@query(f"WITH {_FLAGGED} SELECT pair_id, CAST(item AS INTEGER) AS item, CASE WHEN activity_class IS NULL THEN 'quantitative' ELSE 'class' END AS pass FROM a ORDER BY activity_class IS NOT NULL, pair_id, item NULLS FIRST LIMIT 4000")
+def limited_passes(spark: SparkSession, d: str) -> DataFrame:
+    """The first four thousand activities, those without class before those with one."""
+    rows = build.activity_rows(_raw(spark, d), ["pair_id", "activity_class"])
+    return build.passes(rows, "activity_class", ["pair_id", "item"], 4000).select("pair_id", "item", "pass")
+
+
+@query(f"WITH {_FLAGGED} SELECT count(*) FILTER (activity_class IS NULL) AS n_quantitative, count(*) FILTER (activity_class IS NOT NULL) AS n_class FROM a")
+def pass_counts(spark: SparkSession, d: str) -> DataFrame:
+    return build.count_passes(build.activity_rows(_raw(spark, d), ["pair_id", "activity_class"]), "activity_class")
+
+
+_SIDE = f"s AS (SELECT {_t('chain_sequence')} AS sequence, arg_max(target_id, record_id) AS target_id FROM proteins WHERE {_t('chain_sequence')} <> '' GROUP BY 1), q AS (SELECT {_t('target_chain_sequence')} AS sequence, coalesce({_t('target_name')}, '') AS name, pair_id FROM prepared_pairs WHERE {_t('target_chain_sequence')} <> '')"
+
+
+def _sidecar(spark: SparkSession, d: str) -> DataFrame:
+    own = table(spark, d, "proteins").select("record_id", S.text(F.col("chain_sequence")).alias("sequence"), "target_id").where("sequence <> ''")
+    return prepare.last_by(own, "sequence", "record_id", ["target_id"])
+
+
+@query(f"WITH {_SIDE}, f AS (SELECT sequence, arg_min(name, pair_id) AS name FROM q GROUP BY 1) SELECT f.sequence, name, target_id FROM f LEFT JOIN s ON f.sequence = s.sequence")
+def protein_sidecar(spark: SparkSession, d: str) -> DataFrame:
+    """Distinct chains of the pairs with the name first seen and the protein table's target."""
+    return build.protein_sidecar(table(spark, d, "prepared_pairs"), _sidecar(spark, d), "pair_id", "target_chain_sequence", "target_name")
+
+
+@query(f"WITH {_SIDE} SELECT count(*) FILTER (s.sequence IS NOT NULL) AS n_found, count(*) FILTER (s.sequence IS NULL) AS n_missed FROM q LEFT JOIN s ON q.sequence = s.sequence")
+def sidecar_misses(spark: SparkSession, d: str) -> DataFrame:
+    """How many pairs find their chain in the protein table."""
+    pairs = table(spark, d, "prepared_pairs").select("pair_id", S.text(F.col("target_chain_sequence")).alias("sequence")).where("sequence <> ''")
+    return build.join_sidecar(pairs, _sidecar(spark, d))[1]
+
+
+@query(f"WITH m AS (SELECT parent_molecule_chembl_id AS id, min(row_id) AS r FROM gpcrdb_data WHERE {_t('parent_molecule_chembl_id')} <> '' GROUP BY 1 HAVING min(row_id) % 5 > 0) SELECT row_id, parent_molecule_chembl_id, 'C' || r AS smiles FROM gpcrdb_data JOIN m ON parent_molecule_chembl_id = id")
+def molecule_join(spark: SparkSession, d: str) -> DataFrame:
+    """Activities joined with a dimension of molecules of which a fifth have no structure."""
+    data = table(spark, d, "gpcrdb_data").select("row_id", "parent_molecule_chembl_id")
+    first = data.where(S.text(F.col("parent_molecule_chembl_id")) != "").groupBy("parent_molecule_chembl_id").agg(F.min("row_id").alias("r"))
+    molecules = first.select("parent_molecule_chembl_id", F.when(F.col("r") % 5 > 0, F.concat(F.lit("C"), "r")).alias("smiles"))
+    return build.with_molecules(data, molecules, "parent_molecule_chembl_id")
+
+
+@query("SELECT row_id, md5(row_id || '|42|3') AS h, CAST((row_number() OVER (ORDER BY md5(row_id || '|42|3'), row_id) - 1) // 1000 AS BIGINT) AS batch FROM indexed_rows")
+def epoch_batches(spark: SparkSession, d: str) -> DataFrame:
+    """Every row once in the order of the third epoch, in batches of a thousand."""
+    got = balance.epoch_order(_rows(spark, d), "row_id", 1000, 3)
+    return got.select("row_id", F.md5(F.concat_ws("|", "row_id", F.lit("42"), F.lit("3"))).alias("h"), "batch")
