@@ -4,8 +4,11 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import ArrayType, FloatType
 
 from tessera.functions import scalars as S
 
@@ -107,10 +110,6 @@ def screen(library: DataFrame, query: DataFrame, score: Callable[[DataFrame], Da
 
 def decode_vectors(df: DataFrame, raw: str, out: str, width: int) -> DataFrame:
     """Little-endian 32-bit vectors out of bytes; bytes of another length than ``width`` numbers are an error."""
-    import numpy as np
-    import pyarrow as pa
-    from pyspark.sql.types import ArrayType, FloatType
-
     @F.arrow_udf(ArrayType(FloatType()))
     def read(b: pa.Array) -> pa.Array:
         rows = []

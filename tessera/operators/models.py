@@ -52,3 +52,44 @@ def select_by_macro(fold: DataFrame, candidates: dict[str, Model], group: str) -
         if got > most:
             best, most = name, got
     return best, most
+
+
+def evaluate_folds(df: DataFrame, model: Model, group: str, on: tuple[str, ...] = ("val", "test")) -> DataFrame:
+    """``(fold, n, auroc, auprc, ..., macro_auroc, macro_auprc, n_evaluable)`` of a model on folds of ``(x, y, fold, group)``."""
+    scored = score(model, df.where(F.col("fold").isin(*on)).select("x", "y", "fold", group))
+    pooled = metrics.binary_metrics(scored, ["fold"], "y", "p_active")
+    per = metrics.macro(metrics.binary_metrics(scored, ["fold", group], "y", "p_active"), ["fold"])
+    return pooled.join(per.select("fold", "n_evaluable", *[f"macro_{m}" for m in metrics.NAMES]), "fold")
+
+
+def fit_on_fold(df: DataFrame, kind: str, width: int, fold: str = "train", **options: object) -> Model:
+    """Fit on the rows of a fold of ``(x, y, fold[, weight])``."""
+    return fit(df.where(F.col("fold") == fold).drop("fold"), kind, width, **options)
+
+
+def grid_search(df: DataFrame, kinds: dict[str, dict[str, list]], width: int, group: str) -> tuple[str, dict[str, object], float]:
+    """Kind and options of the best model on the fold ``val`` after a fit on ``train``, by macro AUROC, the first on a tie."""
+    from tessera.operators.nets import grid
+
+    tried = [(kind, o) for kind, options in kinds.items() for o in grid(options)]
+    held = df.where("fold = 'val'")
+    models = {str(i): fit_on_fold(df, kind, width, **o) for i, (kind, o) in enumerate(tried)}
+    name, got = select_by_macro(held, models, group)
+    return (*tried[int(name)], got)
+
+
+def save(model: Model, path: str) -> None:
+    """Write a model in MLlib's own format, over what is there."""
+    model.write().overwrite().save(path)
+
+
+def load(path: str) -> Model:
+    """A model that save wrote, of whatever kind."""
+    from pyspark.ml.classification import LogisticRegressionModel, MultilayerPerceptronClassificationModel, RandomForestClassificationModel
+
+    for kind in (RandomForestClassificationModel, LogisticRegressionModel, MultilayerPerceptronClassificationModel):
+        try:
+            return kind.load(path)
+        except Exception as e:  # noqa: BLE001  the reader says only by an error of which kind a model is
+            last = e
+    raise ValueError(f"no model at {path}") from last

@@ -799,3 +799,22 @@ def epoch_batches(spark: SparkSession, d: str) -> DataFrame:
     """Every row once in the order of the third epoch, in batches of a thousand."""
     got = balance.epoch_order(_rows(spark, d), "row_id", 1000, 3)
     return got.select("row_id", F.md5(F.concat_ws("|", "row_id", F.lit("42"), F.lit("3"))).alias("h"), "batch")
+
+
+@query(
+    f"""WITH l AS (SELECT pair_id, assay_type, assay_order, {_t('p.ligand_smiles')} AS smiles, {_t('p.target_chain_sequence')} AS sequence FROM ({_LONG}) l JOIN prepared_pairs p USING (pair_id) WHERE nm IS NOT NULL AND {_t('p.ligand_smiles')} <> '' AND {_t('p.target_chain_sequence')} <> ''),
+    a AS (SELECT sequence, row_number() OVER (ORDER BY min(pair_id * 5 + assay_order)) - 1 AS protein_ids FROM l GROUP BY 1), b AS (SELECT smiles, row_number() OVER (ORDER BY min(pair_id * 5 + assay_order)) - 1 AS ligand_ids FROM l GROUP BY 1)
+    SELECT pair_id * 5 + assay_order AS row_id, protein_ids, ligand_ids FROM l JOIN a ON l.sequence = a.sequence JOIN b ON l.smiles = b.smiles"""
+)
+def pair_index(spark: SparkSession, d: str) -> DataFrame:
+    """The pair table with sequences and SMILES numbered as first seen."""
+    from tessera.sources.snapshots import index_rows
+
+    return index_rows(prepare.prepared_long(table(spark, d, "prepared_pairs")), scaffold=None)["rows"].select("row_id", "protein_ids", "ligand_ids")
+
+
+@query("WITH h AS (SELECT CAST(row_id % 3 AS INTEGER) AS head, CASE WHEN row_id % 3 = 1 THEN NULL ELSE avg(activity_labels) OVER (PARTITION BY row_id % 3) END AS f FROM indexed_rows) SELECT round(avg(f), 6) AS mean_head_f1, count(*) FILTER (f IS NOT NULL) AS n_heads FROM (SELECT head, any_value(f) AS f FROM h GROUP BY 1)")
+def head_mean(spark: SparkSession, d: str) -> DataFrame:
+    """The mean over heads of a metric that one of three heads lacks."""
+    per = table(spark, d, "indexed_rows").groupBy((F.col("row_id") % 3).cast("int").alias("head")).agg(F.avg("activity_labels").alias("f"))
+    return _round(metrics.head_mean(per.withColumn("macro_f1", F.when(F.col("head") != 1, F.col("f")).otherwise(float("nan")))), ["mean_head_f1"])

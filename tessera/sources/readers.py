@@ -229,8 +229,8 @@ def read_protein_dimension(spark: SparkSession, path: str, fallback: str = "sequ
         return spark.createDataFrame([], fallback)
     names = [c.split()[0] for c in fallback.split(", ")]
     df = spark.read.parquet(path)
-    order = F.struct("_metadata.file_path", "_metadata.file_block_start", F.monotonically_increasing_id())
-    best = df.where("sequence is not null").groupBy("sequence").agg(F.max_by(F.struct(*names[1:]), order).alias("_b"))
+    placed = df.select(*names, F.struct(F.col("_metadata.file_path"), F.monotonically_increasing_id().alias("at")).alias("_at")).where("sequence is not null")
+    best = placed.groupBy("sequence").agg(F.max_by(F.struct(*names[1:]), "_at").alias("_b"))
     return best.select("sequence", *[F.col(f"_b.{c}").alias(c) for c in names[1:]])
 
 
