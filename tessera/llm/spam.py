@@ -19,7 +19,7 @@ MIN_CHARS = 100
 MOST = 0.5
 #: Bound of the labelled sample the trees are fitted on: about so many pages, by hash of their key. Everything else runs
 #: over all pages.
-SAMPLE = 40_000
+SAMPLE = 20_000
 TREES, DEPTH, BINS, SEED = 30, 12, 64, 42
 #: Pages whose smoothed vote is above this are read whole for the last check.
 DOUBT = 0.01
@@ -52,8 +52,10 @@ def page_features(docs: DataFrame, key: str = "doc_id", text: str = "text", url:
             yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array([g[0] for g in got], pa.list_(pa.float64())), pa.array([g[1] for g in got], pa.list_(pa.string()))], names=[key, "host", "f", "to"])
 
     made, n = cut_counting(base.mapInArrow(run, f"`{key}` bigint, host string, f array<double>, to array<string>"), F.count("*"), "pages")
+    # Only hosts that pages lie on count, so the table joined back is of those that are linked to among them.
+    own = made.where("host is not null").select(F.col("host").alias("_to")).distinct()
     links = made.select(F.col("host").alias("_from"), F.explode("to").alias("_to")).where("_from is null or _from <> _to")
-    inward = links.groupBy("_to").agg(F.count("*").alias("_in"))
+    inward = cut(links.groupBy("_to").agg(F.count("*").alias("_in")).join(own, "_to", "left_semi"), "inward")
     return made.join(inward, made["host"] == inward["_to"], "left").select(key, "host", F.concat("f", F.array(F.log1p(F.coalesce("_in", F.lit(0)).cast("double")))).alias("f")), n
 
 

@@ -297,7 +297,7 @@ def test_spam_pages(spark):
 def test_links_and_host_graph(spark):
     text = SENTENCES + " http://B.test/x https://u@b.test:8/y www.c.test/z [a](http://d.test)"
     f, hosts = pages.content(text)
-    assert hosts == ["b.test", "c.test", "d.test"] and pages.linked_hosts(text) == ["b.test", "b.test", "c.test", "d.test"]
+    assert hosts == ["b.test", "c.test", "d.test"] and pages.linked_hosts(text) == ["b.test", "b.test", "d.test", "c.test"]
     assert f[pages.FEATURES.index("link_hosts")] == 3 / 4
     docs = spark.createDataFrame([(1, text, "http://a.test/1"), (2, text, "http://b.test/2"), (3, SENTENCES, "http://b.test/3"), (4, text, None)], "doc_id bigint, text string, url string")
     got, n = spam.page_features(docs)
