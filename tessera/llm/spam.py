@@ -122,7 +122,8 @@ def spam_pages(docs: DataFrame, key: str = "doc_id", text: str = "text", url: st
     """
     featured, n = page_features(docs, key, text, url)
     voted = cut(smooth(cut(score(featured, fit(docs, featured, n, key, text), key), "scored"), key), "voted")
-    doubtful = voted.where(F.col("smoothed") > DOUBT).select(F.col(key).alias("_key")).distinct()
+    # Written, so that the optimizer knows its size before it reads texts and ships it where it is small.
+    doubtful = cut(voted.where(F.col("smoothed") > DOUBT).select(F.col(key).alias("_key")).distinct(), "doubtful")
     texts = long_enough(docs, key, text).join(doubtful, F.col(key).eqNullSafe(F.col("_key")), "left_semi")
     read = read_shares(texts, key).groupBy(F.col(key).alias("_key")).agg(F.max("neither").alias("neither"))
     j = voted.join(read, F.col(key).eqNullSafe(F.col("_key")), "left").drop("_key")
