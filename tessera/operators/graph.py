@@ -2,12 +2,40 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tessera.persist import cut, cut_counting, drop_cut
 
 
+#: Edges between components that one task may finish; two whole numbers each, so some 16 MB.
+LOCAL = 1 << 20
+
+
+def _finish(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """The same hooking and pointer jumping on the arrays of one task: ``(node, root)`` of all nodes of its edges."""
+    held = [b for b in batches if b.num_rows]
+    if not held:
+        return
+    t = pa.Table.from_batches(held)
+    u, v = (np.asarray(t[c].combine_chunks()) for c in ("u", "v"))
+    nodes, at = np.unique(np.r_[u, v], return_inverse=True)
+    a, b = at[: len(u)], at[len(u) :]
+    root = np.arange(len(nodes))
+    while True:
+        ra, rb = root[a], root[b]
+        if (ra == rb).all():
+            break
+        np.minimum.at(root, np.maximum(ra, rb), np.minimum(ra, rb))
+        while (root[root] != root).any():
+            root = root[root]
+    yield pa.RecordBatch.from_arrays([pa.array(nodes, pa.int64()), pa.array(nodes[root], pa.int64())], names=["node", "root"])
+
+
 def connected_components(edges: DataFrame, src: str = "src", dst: str = "dst") -> DataFrame:
     """Component of each node that occurs in ``edges``: ``(node, component)``, component = smallest node.
 
@@ -15,7 +43,8 @@ def connected_components(edges: DataFrame, src: str = "src", dst: str = "dst") -
     edges are relabelled by root and deduplicated. A node with a smaller neighbour is never a root, so every component
     with edges left loses nodes in each round, usually most of them; a star is done in two rounds whatever its
     centre. Every table is written to the shared folder once, then counted; pointers are jumped twice
-    a write. Edges with a null end are ignored; self loops only announce their node; repeated edges change nothing;
+    a write. After the first round, once no more than LOCAL edges are left between whole numbers, one task finishes them in the
+    same way and with the same result. Edges with a null end are ignored; self loops only announce their node; repeated edges change nothing;
     an empty table gives an empty result.
     """
     spark = edges.sparkSession
@@ -23,7 +52,12 @@ def connected_components(edges: DataFrame, src: str = "src", dst: str = "dst") -
     first, left = cut_counting(e.select(F.least("u", "v").alias("u"), F.greatest("u", "v").alias("v")).distinct(), F.count_if(F.col("u") < F.col("v")), "edges")
     live, labels = first.where("u < v"), None
     old: DataFrame | None = None
+    whole = e.schema["u"].dataType.typeName() in ("long", "integer")
     while left:
+        if labels is not None and left <= LOCAL and whole:
+            last = cut(live.select(F.col("u").cast("bigint"), F.col("v").cast("bigint")).coalesce(1).mapInArrow(_finish, "node bigint, root bigint"), "parent")
+            labels = _moved(labels, last)
+            break
         both = live.select("u", "v").unionByName(live.select(F.col("v").alias("u"), F.col("u").alias("v")))
         parent = cut(both.groupBy(F.col("u").alias("node")).agg(F.least(F.first("u"), F.min("v")).alias("root")), "parent")
         moved = 1
@@ -47,8 +81,7 @@ def connected_components(edges: DataFrame, src: str = "src", dst: str = "dst") -
         if labels is None:
             labels = parent
         else:
-            step = parent.select(F.col("node").alias("component"), F.col("root").alias("_to"))
-            grown = cut(labels.join(step, labels["root"] == step["component"], "left").select("node", F.coalesce("_to", "root").alias("root")), "labels")
+            grown = cut(_moved(labels, parent), "labels")
             drop_cut(labels)
             drop_cut(parent)
             labels = grown
@@ -62,6 +95,11 @@ def connected_components(edges: DataFrame, src: str = "src", dst: str = "dst") -
     return out.select("node", F.col("root").alias("component"))
 
 
+def _moved(labels: DataFrame, parent: DataFrame) -> DataFrame:
+    step = parent.select(F.col("node").alias("component"), F.col("root").alias("_to"))
+    return labels.join(step, labels["root"] == step["component"], "left").select("node", F.coalesce("_to", "root").alias("root"))
+
+
 def hubs(ties: DataFrame, member: str, group: str) -> DataFrame:
     """``(group, hub)``: the smallest member of each group; rows with a null in either give none."""
     return ties.where(F.col(member).isNotNull() & F.col(group).isNotNull()).groupBy(group).agg(F.min(member).alias("hub"))

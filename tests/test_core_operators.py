@@ -288,7 +288,9 @@ def test_explode_and_labels(spark):
     assert sets == {7: (["F1", "F2"], ["T1", "T2"], 2001), 8: ([], ["T2"], None)}
 
 
-def test_components(spark):
+@pytest.mark.parametrize("local", [0, 1 << 20])
+def test_components(spark, monkeypatch, local):
+    monkeypatch.setattr(graph, "LOCAL", local)
     rng = random.Random(4)
     chain = [(i, i + 1) for i in range(200)] + [(1000, j) for j in range(1001, 1200)] + [(5000 - j, 5000) for j in range(1, 150)]
     loose = [(rng.randrange(6000, 6400), rng.randrange(6000, 6400)) for _ in range(300)] + [(7, 7), (9999, 9999), (None, 3), (3, None)]
